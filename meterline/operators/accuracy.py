@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions import violates_limits
+from meterline.functions import salted_join, violates_limits
 from meterline.operators.dictionary import limits
 
 KEYS = ["machine", "sensor"]
@@ -14,13 +14,13 @@ KEYS = ["machine", "sensor"]
 def accuracy(series: DataFrame, dictionary: DataFrame, value: str = "mean") -> DataFrame:
     """(machine, sensor, n, issues, issue_pct, status) of every sensor in the dictionary.
 
-    The share is over non-null values.  Values fold to (sensor, limits) counts
-    before anything is shuffled.
+    The share is over non-null values.  With a dictionary small enough to broadcast,
+    values fold to counts before anything is shuffled.
     """
     known = limits(dictionary).select("sensor", "low_limit", "high_limit")
+    values = series.select("machine", F.lower("sensor").alias("sensor"), "ts", F.col(value).alias("x"))
     assessed = (
-        series.select("machine", F.lower("sensor").alias("sensor"), F.col(value).alias("x"))
-        .join(known, "sensor")
+        salted_join(values, known, ["sensor"], "ts")
         .groupBy(*KEYS)
         .agg(F.count("x").alias("n"), F.count_if(violates_limits("x")).alias("issues"))
     )

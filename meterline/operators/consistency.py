@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from meterline.functions import seconds_between
+from meterline.operators.rollup import tick_frequency
 
 
 def _duplicate_totals(groups: DataFrame, by: list[str]) -> DataFrame:
@@ -32,21 +33,25 @@ def duplicate_records(rows: DataFrame, columns: list[str], by: list[str] | None
     return _duplicate_totals(rows.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("c")), by)
 
 
-def duplicate_ticks(grid: DataFrame, value: str = "mean") -> DataFrame:
+def duplicate_ticks(series: DataFrame, value: str = "mean") -> DataFrame:
     """Duplicate totals per machine where a record is all sensors' values of one tick.
 
-    An order-free hash finds candidate ticks; only those are compared value by value.
+    An absent value equals NULL, so the sparse form of a rollup needs no grid.  An
+    order-free hash finds candidate ticks; only those are compared value by value.
     """
     by_tick = ["machine", "ts"]
     x = F.col(value) + F.lit(0.0)  # folds -0.0 into 0.0
-    signed = grid.groupBy(*by_tick).agg(F.bit_xor(F.xxhash64("sensor", x)).alias("sig"))
+    signed = series.groupBy(*by_tick).agg(
+        F.bit_xor(F.when(F.col(value).isNotNull(), F.xxhash64("sensor", x))).alias("sig"))
     sizes = signed.groupBy("machine", "sig").agg(F.count(F.lit(1)).alias("c"))
-    unique = sizes.where("c = 1").select("machine", "c")
-    candidates = signed.join(sizes.where("c > 1").select("machine", "sig"), ["machine", "sig"], "left_semi")
-    exact = (grid.join(candidates.select(*by_tick), by_tick, "left_semi")
-             .groupBy(*by_tick).agg(F.array_sort(F.collect_list(F.struct("sensor", x.alias("x")))).alias("record"))
+    repeated = sizes.where("c > 1").withColumnRenamed("machine", "m").withColumnRenamed("sig", "s")
+    candidates = signed.join(repeated, (F.col("machine") == F.col("m")) & F.col("sig").eqNullSafe(F.col("s")),
+                             "left_semi")
+    cell = F.when(F.col(value).isNotNull(), F.struct("sensor", x.alias("x")))
+    exact = (series.join(candidates.select(*by_tick), by_tick, "left_semi")
+             .groupBy(*by_tick).agg(F.array_sort(F.collect_list(cell)).alias("record"))
              .groupBy("machine", "record").agg(F.count(F.lit(1)).alias("c")).select("machine", "c"))
-    return _duplicate_totals(unique.unionByName(exact), ["machine"])
+    return _duplicate_totals(sizes.where("c = 1").select("machine", "c").unionByName(exact), ["machine"])
 
 
 def timestamp_order(readings: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
@@ -82,8 +87,5 @@ def time_steps(tick_rows: DataFrame) -> DataFrame:
 
 def infer_frequency(tick_rows: DataFrame, orig_freq_s: int = 10) -> DataFrame:
     """(machine, freq_s, agg_freq, status): bucket length and expected readings per bucket."""
-    from meterline.operators.rollup import tick_frequency
-
-    return (tick_frequency(tick_rows)
-            .withColumn("agg_freq", F.expr(f"freq_s div {int(orig_freq_s)}"))
+    return (tick_frequency(tick_rows, orig_freq_s).drop("rows")
             .withColumn("status", F.when(F.col("freq_s").isNull(), "not_assessable").otherwise("ok")))

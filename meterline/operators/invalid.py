@@ -8,30 +8,31 @@ from pyspark.sql import functions as F
 KEYS = ["machine", "sensor"]
 
 
-def alarms_by_sensor(grid: DataFrame) -> DataFrame:
+def alarms_by_sensor(rolled: DataFrame) -> DataFrame:
     """(machine, sensor, alarms) of the sensors with at least one alarm."""
-    return (grid.groupBy(*KEYS).agg(F.sum("n_invalid").alias("alarms"), F.max("n_invalid").alias("worst"))
+    return (rolled.groupBy(*KEYS).agg(F.sum("n_invalid").alias("alarms"), F.max("n_invalid").alias("worst"))
             .where("worst > 0").drop("worst"))
 
 
-def alarm_totals(grid: DataFrame) -> DataFrame:
+def alarm_totals(rolled: DataFrame, frame: DataFrame) -> DataFrame:
     """Per machine, over the sensors with alarms.
 
-    ``total_readings`` is ticks times expected readings per bucket, for one sensor;
+    *frame* is the ``machine_frame``: buckets without a reading count as buckets without an
+    alarm.  ``total_readings`` is ticks times expected readings per bucket, for one sensor;
     ``total_readings_all_sensors`` counts all of them.  ``avg_alarms`` is the mean of the
     per-sensor bucket means.  The first sensor in name order wins a tie for the most alarms.
     """
-    per_sensor = grid.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("rows"), F.max("agg_freq").alias("agg_freq"),
-        F.sum("n_invalid").alias("alarms"), F.avg("n_invalid").alias("avg_alarms"),
-        F.max("n_invalid").alias("worst"))
+    per_sensor = rolled.groupBy(*KEYS).agg(
+        F.sum("n_invalid").alias("alarms"), F.max("n_invalid").alias("worst"),
+        F.count_if(F.col("n_invalid").isNull()).alias("unknown")).join(frame, "machine")
     alarming = F.col("worst") > 0
+    avg_alarms = F.try_divide(F.col("alarms"), F.col("rows") - F.col("unknown"))
     totals = per_sensor.groupBy("machine").agg(
         (F.max("rows") * F.max("agg_freq")).alias("total_readings"),
         (F.sum("rows") * F.max("agg_freq")).alias("total_readings_all_sensors"),
         F.count_if(alarming).alias("sensors_with_alarms"),
         F.coalesce(F.sum(F.when(alarming, F.col("alarms"))), F.lit(0)).alias("total_alarms"),
-        F.avg(F.when(alarming, F.col("avg_alarms"))).alias("avg_alarms"),
+        F.avg(F.when(alarming, avg_alarms)).alias("avg_alarms"),
         F.min(F.when(alarming, F.struct((-F.col("alarms")).alias("order"), F.col("sensor").alias("sensor"))))
         .alias("top"))
     return totals.select(

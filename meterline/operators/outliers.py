@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions import percent_true, salted_join
+from meterline.functions import salted_join
+from meterline.operators.profile import with_cells
 from meterline.operators.quantiles import exact_quantiles
 
 KEYS = ["machine", "sensor"]
@@ -25,10 +26,23 @@ def outside_fences(value: str) -> Column:
     return (F.col(value) < F.col("low_fence")) | (F.col(value) > F.col("high_fence"))
 
 
-def iqr_outliers(series: DataFrame, value: str = "mean", method: str = "percentile") -> DataFrame:
-    """(machine, sensor, outlier_pct): share over all rows, NULL rows included."""
+def missing_and_outliers(series: DataFrame, value: str = "mean", method: str = "percentile",
+                         frame: DataFrame | None = None) -> DataFrame:
+    """(machine, sensor, missing_pct, outlier_pct), both over all cells (see ``profile``)."""
     fenced = salted_join(series, iqr_fences(series, value, method), KEYS, "ts", how="left")
-    return fenced.groupBy(*KEYS).agg(percent_true(outside_fences(value)).alias("outlier_pct"))
+    counts = fenced.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("cells"), F.count(value).alias("points"),
+        F.count_if(outside_fences(value)).alias("outliers"))
+    cells = F.col("cells")
+    return with_cells(counts, frame).select(
+        *KEYS, (F.try_divide(cells - F.col("points"), cells) * 100).alias("missing_pct"),
+        (F.try_divide(F.col("outliers"), cells) * 100).alias("outlier_pct"))
+
+
+def iqr_outliers(series: DataFrame, value: str = "mean", method: str = "percentile",
+                 frame: DataFrame | None = None) -> DataFrame:
+    """(machine, sensor, outlier_pct): share over all cells, NULL ones included."""
+    return missing_and_outliers(series, value, method, frame).drop("missing_pct")
 
 
 def _with_moments(series: DataFrame, value: str, how: str) -> DataFrame:
@@ -51,11 +65,3 @@ def anomalies(series: DataFrame, k: float = 2.0, value: str = "mean") -> DataFra
     """(machine, sensor, ts, value): the rows beyond *k* sample deviations."""
     return (_with_moments(series, value, "inner").where(far_from_mean(value, k))
             .select(*KEYS, "ts", F.col(value).alias("value")))
-
-
-def missing_and_outliers(series: DataFrame, value: str = "mean") -> DataFrame:
-    """(machine, sensor, missing_pct, outlier_pct) in one pass after the fences."""
-    fenced = salted_join(series, iqr_fences(series, value), KEYS, "ts", how="left")
-    return fenced.groupBy(*KEYS).agg(
-        percent_true(F.col(value).isNull()).alias("missing_pct"),
-        percent_true(outside_fences(value)).alias("outlier_pct"))

@@ -2,72 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from meterline.functions import salted_join
+from meterline.session import settle
+
+BINS = 4096
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    method: str = "percentile", accuracy: int = 10000, salts: int = 64) -> DataFrame:
+                    method: str = "percentile", levels: int = 2, spread_by: str = "ts") -> DataFrame:
     """(keys..., quantiles ARRAY<DOUBLE>) of the non-null values, in the order of *probs*.
 
     ``percentile``  the built-in: one shuffle, but one task holds every distinct value
                     of a key.  Right for rollups, whose keys have one value per bucket.
-    ``bracket``     for raw readings, where one key may own a third of all rows: a
-                    bounded sketch brackets each rank, then exact counts by value
-                    inside the brackets find it.  Same result, no large group.
+    ``refine``      for raw readings, where one key may own a third of all rows: counts in
+                    bins find the bin of each rank, *levels* times over, then counts by
+                    value find it exactly.  Same result; only counts are ever shuffled.
+                    *spread_by* scatters a key's rows should the targets not fit a broadcast.
     """
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"))
+    x = F.col(value).cast("double").alias("x")
+    present = df.where(F.col(value).isNotNull())
     if method == "percentile":
-        return values.groupBy(*keys).agg(
+        return present.select(*keys, x).groupBy(*keys).agg(
             F.percentile("x", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles"))
-    if method != "bracket":
-        raise ValueError("method is 'percentile' or 'bracket'")
-    return _bracketed(values, keys, [float(p) for p in probs], accuracy, salts)
-
-
-def _bracketed(values: DataFrame, keys: list[str], probs: list[float], accuracy: int, salts: int) -> DataFrame:
-    # The sketch answers a rank within n/accuracy, so asking 2/accuracy to either
-    # side brackets the true order statistics once n >= 4*accuracy.  Smaller keys
-    # have few values: their bracket is everything.
-    margin = 2.0 / accuracy
-    asked = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    infinity = float("inf")
-    sketch = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("x", F.array(*[F.lit(q) for q in asked]), accuracy).alias("s"))
-    small = F.col("n") < 4 * accuracy
-    targets = []
+    if method != "refine":
+        raise ValueError("method is 'percentile' or 'refine'")
+    values = present.select(*keys, x, F.col(spread_by).alias("_by"))
+    return _refined(values, keys, [float(p) for p in probs], levels)
+
+
+def _squashed(x: Column) -> Column:
+    """Increasing and slow: a far outlier does not push all other values into one bin."""
+    return F.signum(x) * F.log1p(F.abs(x))
+
+
+def _bin(x: Column, lo: Column, hi: Column) -> Column:
+    place = F.try_divide(x - lo, hi - lo) * BINS
+    return F.coalesce(F.least(F.floor(place), F.lit(BINS - 1).cast("bigint")), F.lit(0).cast("bigint"))
+
+
+def _refined(values: DataFrame, keys: list[str], probs: list[float], levels: int) -> DataFrame:
+    # Both order statistics around every rank p*(n-1).  A target is a value range known to
+    # hold one of them, and its rank inside the range.
+    bounds = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    wanted = []
     for i, p in enumerate(probs):
-        lo = F.lit(-infinity) if p <= margin else F.when(small, -infinity).otherwise(F.col("s")[i])
-        hi = F.lit(infinity) if p >= 1 - margin else F.when(small, infinity).otherwise(F.col("s")[len(probs) + i])
-        targets.append(F.struct(F.lit(i).alias("q"), F.lit(p).alias("p"), lo.alias("lo"), hi.alias("hi")))
-    brackets = sketch.select(*keys, "n", F.array(*targets).alias("targets"))
-
-    # Below the bracket only the count matters: those rows share one NULL value
-    # and fold together before the shuffle.
-    hits = (
-        salted_join(values, brackets, keys, "x", salts)
-        .select(*keys, "n", "x", F.explode("targets").alias("t"))
-        .where(F.col("x") <= F.col("t.hi"))
-        .groupBy(*keys, "n", F.col("t.q").alias("q"), F.col("t.p").alias("p"),
-                 F.when(F.col("x") >= F.col("t.lo"), F.col("x")).alias("x"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    rank = F.col("p") * (F.col("n") - 1)
-    upto = Window.partitionBy(*keys, "q").orderBy(F.col("x").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = hits.withColumn("cum", F.sum("c").over(upto)).withColumn("rank", rank)
-    found = ranked.groupBy(*keys, "q").agg(
-        F.min(F.when(F.col("cum") > F.floor("rank"), F.col("x"))).alias("x0"),
-        F.min(F.when(F.col("cum") > F.ceil("rank"), F.col("x"))).alias("x1"),
-        F.first(F.col("rank") - F.floor("rank")).alias("weight"),
-        F.bool_or(F.col("x").isNull() & (F.col("cum") > F.floor("rank"))).alias("missed"))
-    answer = F.when(F.col("missed") | F.col("x1").isNull(),
-                    F.raise_error(F.lit("quantile outside its bracket: raise accuracy")).cast("double"))
-    answer = answer.otherwise(F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("weight"))
+        rank = F.lit(p) * (F.col("n") - 1)
+        for side, r in (("low", F.floor(rank)), ("high", F.ceil(rank))):
+            wanted.append(F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), r.alias("rank"),
+                                   (rank - F.floor(rank)).alias("weight"),
+                                   F.col("lo").alias("lo"), F.col("hi").alias("hi")))
+    targets = bounds.select(*keys, F.array(*wanted).alias("targets"))
+    # The target table has one row per key and is written each time: its real size then
+    # decides whether the next scan broadcasts it, and no scan repeats an earlier one.
+    for level in range(levels):
+        targets = settle(_narrowed(values, keys, targets, _squashed if level == 0 else lambda x: x), "targets")
+    exact = _ranked(_hits(values, keys, targets).groupBy(*keys, "t", "x").agg(F.count(F.lit(1)).alias("c")),
+                    keys, F.col("x"))
+    found = exact.groupBy(*keys, F.col("t.q").alias("q"), F.col("t.weight").alias("weight")).agg(
+        F.max(F.when(F.col("t.side") == "low", F.col("x"))).alias("x0"),
+        F.max(F.when(F.col("t.side") == "high", F.col("x"))).alias("x1"))
+    answer = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("weight")
     return (found.groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct("q", answer.alias("v")))).alias("a"))
             .select(*keys, F.col("a.v").alias("quantiles")))
+
+
+def _hits(values: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
+    """(keys, t, x): every value inside the range of a target."""
+    return (salted_join(values, targets, keys, "_by")
+            .select(*keys, "x", F.explode(F.expr("filter(targets, t -> x >= t.lo AND x <= t.hi)")).alias("t")))
+
+
+def _ranked(counts: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """The count row that holds each target's rank, with ``before``: values ahead of it."""
+    upto = Window.partitionBy(*keys, "t").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (counts.withColumn("before", F.sum("c").over(upto) - F.col("c"))
+            .where((F.col("before") <= F.col("t.rank")) & (F.col("t.rank") < F.col("before") + F.col("c"))))
+
+
+def _narrowed(values: DataFrame, keys: list[str], targets: DataFrame, scale) -> DataFrame:
+    """Targets shrunk to the bin that holds their rank, with the bin's real smallest and largest value."""
+    bins = _bin(scale(F.col("x")), scale(F.col("t.lo")), scale(F.col("t.hi")))
+    counts = (_hits(values, keys, targets).groupBy(*keys, "t", bins.alias("bin"))
+              .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("x0"), F.max("x").alias("x1")))
+    chosen = _ranked(counts, keys, F.col("bin"))
+    narrowed = F.struct(
+        F.col("t.q").alias("q"), F.col("t.side").alias("side"),
+        (F.col("t.rank") - F.col("before")).alias("rank"), F.col("t.weight").alias("weight"),
+        F.col("x0").alias("lo"), F.col("x1").alias("hi"))
+    return chosen.groupBy(*keys).agg(F.collect_list(narrowed).alias("targets"))

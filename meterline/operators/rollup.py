@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from meterline.functions import no_nan, seconds_between, violates_limits
+from meterline.functions import no_nan, salted_join, seconds_between, violates_limits
 from meterline.operators.dictionary import limits
 
 KEYS = ("machine", "sensor")
@@ -15,13 +15,14 @@ KEYS = ("machine", "sensor")
 def with_validity(readings: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Clean readings plus ``is_invalid`` (outside the dictionary limits).
 
-    The dictionary is one row per sensor; Catalyst broadcasts it below its size
-    threshold and shuffles otherwise.
+    The dictionary is one row per sensor: below its size threshold Catalyst broadcasts
+    it, above it the salt keeps a hot sensor's readings apart.
     """
     clean = readings.withColumn("sensor", F.lower("sensor")).withColumn("value", no_nan("value"))
     if dictionary is None:
         return clean.withColumn("is_invalid", F.lit(False))
-    return (clean.join(limits(dictionary).select("sensor", "low_limit", "high_limit"), "sensor", "left")
+    known = limits(dictionary).select("sensor", "low_limit", "high_limit")
+    return (salted_join(clean, known, ["sensor"], "ts", how="left")
             .withColumn("is_invalid", violates_limits("value"))
             .drop("low_limit", "high_limit"))
 
@@ -79,14 +80,12 @@ def apply_aggregation_rule(rolled: DataFrame, dictionary: DataFrame) -> DataFram
 
 
 def with_mean(rolled: DataFrame) -> DataFrame:
-    return rolled.withColumn("mean", F.try_divide("sum_v", "n"))
+    return rolled if "mean" in rolled.columns else rolled.withColumn("mean", F.try_divide("sum_v", "n"))
 
 
 def annotate(rolled: DataFrame) -> DataFrame:
     """(machine, sensor, ts, mean, alarms) of a rollup or a grid."""
-    ts = "ts" if "ts" in rolled.columns else "bucket_start"
-    mean = F.col("mean") if "mean" in rolled.columns else F.try_divide("sum_v", "n")
-    return rolled.select(*KEYS, F.col(ts).alias("ts"), mean.alias("mean"), F.col("n_invalid").alias("alarms"))
+    return as_series(rolled).select(*KEYS, "ts", "mean", F.col("n_invalid").alias("alarms"))
 
 
 def ticks(rolled: DataFrame) -> DataFrame:
@@ -107,11 +106,23 @@ def calendar_ticks(rolled: DataFrame, bucket: str) -> DataFrame:
                        .alias("idx", "ts")).select("machine", "ts", "idx")
 
 
-def tick_frequency(tick_rows: DataFrame) -> DataFrame:
-    """(machine, freq_s): commonest step between ticks, smallest on ties; NULL for one tick."""
+def tick_frequency(tick_rows: DataFrame, orig_freq_s: int = 10) -> DataFrame:
+    """(machine, rows, freq_s, agg_freq): ticks, their commonest step (smallest on ties, NULL
+    for a single tick) and the readings expected per bucket."""
     order = Window.partitionBy("machine").orderBy("ts")
     return (tick_rows.withColumn("step", seconds_between(F.lag("ts").over(order), "ts"))
-            .groupBy("machine").agg(F.mode("step", True).alias("freq_s")))
+            .groupBy("machine").agg(F.count(F.lit(1)).alias("rows"), F.mode("step", True).alias("freq_s"))
+            .withColumn("agg_freq", F.expr(f"freq_s div {int(orig_freq_s)}")))
+
+
+def machine_frame(rolled: DataFrame, orig_freq_s: int = 10) -> DataFrame:
+    """One row per machine of a rollup: see ``tick_frequency``."""
+    return tick_frequency(ticks(rolled), orig_freq_s)
+
+
+def as_series(rolled: DataFrame) -> DataFrame:
+    """A rollup as a sparse series: ``ts`` and ``mean`` next to the measures."""
+    return with_mean(rolled).withColumnRenamed("bucket_start", "ts")
 
 
 _MEASURE_DEFAULTS = {"n": 0, "n_valid": 0, "n_invalid": 0}
@@ -124,7 +135,8 @@ def _fill_grid(rolled: DataFrame, tick_rows: DataFrame, orig_freq_s: int) -> Dat
     Ticks and sensors meet on (machine, run of ticks), not on the machine alone:
     a machine with most of the cells is then built by many tasks.
     """
-    tick_rows = (tick_rows.join(tick_frequency(tick_rows), "machine")
+    frame = tick_frequency(tick_rows, orig_freq_s).drop("rows")
+    tick_rows = (tick_rows.join(frame, "machine")
                  .withColumn("run", F.expr(f"idx div {_GRID_CHUNK}")))
     runs = tick_rows.select("machine", "run").distinct()
     sensors = rolled.select(*KEYS).distinct().join(runs, "machine")
@@ -135,9 +147,7 @@ def _fill_grid(rolled: DataFrame, tick_rows: DataFrame, orig_freq_s: int) -> Dat
     for name, default in _MEASURE_DEFAULTS.items():
         filled = filled.withColumn(
             name, F.when(F.col("_present").isNull(), F.lit(default).cast("bigint")).otherwise(F.col(name)))
-    return (filled.drop("_present")
-            .withColumn("agg_freq", F.expr(f"freq_s div {int(orig_freq_s)}"))
-            .withColumn("mean", F.try_divide("sum_v", "n")))
+    return with_mean(filled.drop("_present"))
 
 
 def machine_grid(rolled: DataFrame, orig_freq_s: int = 10) -> DataFrame:

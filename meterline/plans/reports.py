@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions import percent_true, salted_join, violates_limits
+from meterline.functions import salted_join, violates_limits
 from meterline.operators import correlation as corr
 from meterline.operators import distribution, invalid, missing, outliers, profile, timeseries
 from meterline.operators.consistency import duplicate_ticks, infer_frequency, timestamp_order
 from meterline.operators.dictionary import limits, machine_groups, machine_tags, present_tags, sensors_per_group
 from meterline.operators.reshape import annotated_to_wide, select_sensors, wide_to_long
-from meterline.operators.rollup import annotate, machine_grid, ticks
+from meterline.operators.rollup import annotate, as_series, machine_frame, machine_grid, ticks
 from meterline.schema import QualityConfig
 from meterline.session import settle
 
@@ -63,25 +63,25 @@ def _tidy(stats: DataFrame, keys: list[str], metrics: dict[str, tuple[str, objec
     return stats.select("machine", sensor, F.inline(cells))
 
 
-def quality_report(grid: DataFrame, dictionary: DataFrame, config: QualityConfig = QualityConfig(),
+def quality_report(rolled: DataFrame, dictionary: DataFrame, config: QualityConfig = QualityConfig(),
                    readings: DataFrame | None = None) -> DataFrame:
-    """Tidy data-quality report (machine, sensor, check, metric, value, status).
+    """Tidy data-quality report (machine, sensor, check, metric, value, status) of a stored rollup.
 
     One aggregation for the profile, one more pass against it for outliers and
     accuracy, then duplicates, timestamp order (of *readings* in arrival order, when
-    given) and correlation.  The profile, one row per sensor, is settled because two
-    passes use it.
+    given) and correlation.  No grid: cells without a reading follow from the tick count.
+    The profile, one row per sensor, is settled because two passes use it.
     """
     ok = F.lit("ok")
     x = F.col("mean")
+    series = as_series(rolled)
     known = limits(dictionary).select("sensor", "low_limit", "high_limit", F.lit(True).alias("known"))
-    stats = settle(
-        grid.groupBy(*KEYS).agg(
-            F.count(F.lit(1)).alias("cells"), F.count(x).alias("points"),
-            F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-            F.avg(x).alias("_avg"), F.stddev_samp(x).alias("_std"), F.min(x).alias("x0"), F.max(x).alias("x1"),
-            F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-        .join(known, "sensor", "left"), "profile")
+    stats = series.groupBy(*KEYS).agg(
+        F.count(x).alias("points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.avg(x).alias("_avg"), F.stddev_samp(x).alias("_std"), F.min(x).alias("x0"), F.max(x).alias("x1"),
+        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    stats = settle(profile.with_cells(stats, machine_frame(rolled, config.orig_freq_s))
+                   .join(known, "sensor", "left"), "profile")
     reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
     fenced = stats.withColumn("low_fence", F.col("q")[0] - reach).withColumn("high_fence", F.col("q")[2] + reach)
 
@@ -113,13 +113,15 @@ def quality_report(grid: DataFrame, dictionary: DataFrame, config: QualityConfig
                                  F.when(overall < config.completeness_threshold, "below_threshold").otherwise(ok)),
     })
 
-    judged = salted_join(grid.select(*KEYS, "ts", "mean"), fenced, KEYS, "ts").groupBy(*KEYS, "known").agg(
-        percent_true(outliers.outside_fences("mean")).alias("outlier_pct"),
+    judged = salted_join(series.select(*KEYS, "ts", "mean"), fenced.drop("points"), KEYS, "ts").groupBy(
+        *KEYS, "known", "cells").agg(
+        F.count_if(outliers.outside_fences("mean")).alias("outliers"),
         F.count_if(outliers.far_from_mean("mean", config.zscore_k)).alias("zscore_outliers"),
         F.count("mean").alias("points"), F.count_if(violates_limits("mean")).alias("issues"))
     issue_pct = F.try_divide(F.col("issues"), F.col("points")) * 100
     deviation_rows = _tidy(judged, KEYS, {
-        "outlier_pct": ("outliers", F.col("outlier_pct"), F.when(F.col("outlier_pct") > 0, "outliers").otherwise(ok)),
+        "outlier_pct": ("outliers", F.try_divide(F.col("outliers"), F.col("cells")) * 100,
+                        F.when(F.col("outliers") > 0, "outliers").otherwise(ok)),
         "zscore_outliers": ("outliers", F.col("zscore_outliers"),
                             F.when(F.col("zscore_outliers") > 0, "outliers").otherwise(ok)),
     }).unionByName(_tidy(judged.where("known"), KEYS, {
@@ -127,11 +129,11 @@ def quality_report(grid: DataFrame, dictionary: DataFrame, config: QualityConfig
                       .when(F.col("issues") > 0, "accuracy_issues").otherwise(ok)),
     }))
 
-    duplicate_rows = _tidy(duplicate_ticks(grid), ["machine"], {
+    duplicate_rows = _tidy(duplicate_ticks(series), ["machine"], {
         name: ("duplicates", F.col(name), F.when(F.col("dup_rows") > 0, "duplicates").otherwise(ok))
         for name in ("dup_rows", "dup_half", "dup_extra", "dup_pct")})
 
-    pairs = corr.strong_pairs(corr.correlation(grid), config.strong_correlation)
+    pairs = corr.strong_pairs(corr.correlation(series), config.strong_correlation)
     pair_rows = pairs.select("machine", F.col("sensor_a").alias("sensor"), F.lit("correlation").alias("check"),
                              F.concat(F.lit("r:"), F.col("sensor_b")).alias("metric"),
                              F.col("r").alias("value"), F.lit("strong").alias("status"))
@@ -178,14 +180,15 @@ class InvalidReport:
     summary: DataFrame
 
 
-def invalid_report(grid: DataFrame, config: QualityConfig = QualityConfig()) -> InvalidReport:
+def invalid_report(rolled: DataFrame, config: QualityConfig = QualityConfig()) -> InvalidReport:
     """Alarm totals, alarms per sensor, the alarming buckets, and a per-sensor summary of both."""
     threshold = config.alarm_threshold
-    summary = grid.groupBy(*KEYS).agg(
+    summary = rolled.groupBy(*KEYS).agg(
         F.sum("n_invalid").alias("alarms"), F.count_if(F.col("n_invalid") >= threshold).alias("alarm_buckets"),
         F.max("n_invalid").alias("worst_bucket"))
-    return InvalidReport(invalid.alarm_totals(grid), invalid.alarms_by_sensor(grid),
-                         invalid.alarm_buckets(annotate(grid), threshold), summary.where("worst_bucket > 0"))
+    return InvalidReport(invalid.alarm_totals(rolled, machine_frame(rolled, config.orig_freq_s)),
+                         invalid.alarms_by_sensor(rolled),
+                         invalid.alarm_buckets(annotate(rolled), threshold), summary.where("worst_bucket > 0"))
 
 
 @dataclass(frozen=True)

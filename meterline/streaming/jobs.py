@@ -127,7 +127,6 @@ def start_quality_watch(rolled: DataFrame, dictionary: DataFrame, config: Qualit
     The upsert log at *table* grows by the batch first; the report then covers the current
     rows of the touched buckets, so a bucket that changes twice is judged on its full content.
     """
-    from meterline.operators.rollup import machine_grid
     from meterline.plans.reports import quality_report
     from meterline.session import settle
 
@@ -136,8 +135,7 @@ def start_quality_watch(rolled: DataFrame, dictionary: DataFrame, config: Qualit
         batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
         changed = spark.read.parquet(f"{table}/batch_id={batch_id}").select("machine", "bucket_start").distinct()
         current = latest(spark, table).join(changed, ["machine", "bucket_start"], "left_semi")
-        grid = settle(machine_grid(settle(current, "touched"), config.orig_freq_s), "touched-grid")
-        quality_report(grid, dictionary, config).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        quality_report(settle(current, "touched"), dictionary, config).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = (rolled.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
               .foreachBatch(watch))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.operators.rollup import calendar_grid, machine_grid, rollup
+from meterline.operators.rollup import as_series, calendar_grid, machine_frame, machine_grid, rollup
 from meterline.schema import QualityConfig
 from meterline.session import settle
 from meterline.sources.dictionary import normalise
@@ -66,8 +66,13 @@ def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_mean(machine_grid(stored, EVENTS.orig_freq_s))
 
 
-def stored_event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(event_grid(spark, sf_dir), "hourly-grid")
+def stored_event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored hourly rollup with stable means; one row per bucket that has a reading."""
+    return settle(stable_mean(as_series(event_rollup(spark, sf_dir))), "hourly")
+
+
+def frame_of(series: DataFrame) -> DataFrame:
+    return machine_frame(series.withColumnRenamed("ts", "bucket_start"), EVENTS.orig_freq_s)
 
 
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +87,13 @@ def line_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "l_extendedprice")
 
 
+def stored_line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(stable_mean(as_series(rollup(line_readings(spark, sf_dir), bucket=LINES.bucket))), "daily")
+
+
 def line_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = settle(rollup(line_readings(spark, sf_dir), bucket=LINES.bucket), "daily")
-    return settle(stable_mean(machine_grid(stored, LINES.orig_freq_s)), "daily-grid")
+    return stable_mean(machine_grid(stored, LINES.orig_freq_s))
 
 
 def order_readings(spark: SparkSession, sf_dir: str) -> DataFrame:

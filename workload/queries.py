@@ -87,7 +87,7 @@ def wide_round_trip(spark, sf):
 
 @query
 def wide_export(spark, sf):
-    grid = inputs.stored_event_grid(spark, sf)
+    grid = settle(inputs.event_grid(spark, sf), "grid")  # the pivot first asks for the sensor ids
     return tables.csv_round_trip(rollup.annotate(grid))
 
 
@@ -172,35 +172,38 @@ def time_steps(spark, sf):
 
 @query
 def general_info(spark, sf):
-    return rounded(profile.general_info(inputs.event_grid(spark, sf)), "missing_pct")
+    series = inputs.stored_event_series(spark, sf)
+    return rounded(profile.general_info(series, frame=inputs.frame_of(series)), "missing_pct")
 
 
 @query
 def points_per_sensor(spark, sf):
-    return profile.points_per_sensor(inputs.event_grid(spark, sf))
+    return profile.points_per_sensor(rollup.as_series(inputs.event_rollup(spark, sf)))
 
 
 @query
 def describe_stats(spark, sf):
-    series = inputs.stable_mean(rollup.with_mean(inputs.event_rollup(spark, sf)))
+    series = inputs.stable_mean(rollup.as_series(inputs.event_rollup(spark, sf)))
     return rounded(profile.describe(series), "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 @query
 def describe_raw_readings(spark, sf):
-    """Raw rows, without a rollup: quartiles by bracketing, no sensor gathered in one task."""
-    stats = profile.describe(inputs.line_readings(spark, sf), "value", method="bracket")
+    """Raw rows, without a rollup: quartiles by refined counts, no sensor gathered in one task."""
+    stats = profile.describe(inputs.line_readings(spark, sf), "value", method="refine")
     return rounded(stats, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 @query
 def missing_pct(spark, sf):
-    return rounded(profile.missing_share(inputs.event_grid(spark, sf)), "missing_pct")
+    series = inputs.stored_event_series(spark, sf)
+    return rounded(profile.missing_share(series, frame=inputs.frame_of(series)), "missing_pct")
 
 
 @query
 def completeness(spark, sf):
-    result = profile.completeness(inputs.event_grid(spark, sf), 77.7)
+    series = inputs.stored_event_series(spark, sf)
+    result = profile.completeness(series, 77.7, frame=inputs.frame_of(series))
     return rounded(result, "missing_pct", "complete_pct", "overall_pct")
 
 
@@ -286,7 +289,8 @@ def gap_list(spark, sf):
 
 @query
 def alarm_stats(spark, sf):
-    return rounded(invalid.alarm_totals(inputs.event_grid(spark, sf)), "avg_alarms")
+    stored = settle(inputs.event_rollup(spark, sf), "hourly")
+    return rounded(invalid.alarm_totals(stored, rollup.machine_frame(stored, EVENTS.orig_freq_s)), "avg_alarms")
 
 
 @query
@@ -313,12 +317,12 @@ def means_at_bad_buckets(spark, sf):
 
 @query
 def invalid_report(spark, sf):
-    return reports.invalid_report(inputs.event_grid(spark, sf), EVENTS).summary
+    return reports.invalid_report(inputs.event_rollup(spark, sf), EVENTS).summary
 
 
 @query
 def accuracy_of_means(spark, sf):
-    series = inputs.stable_mean(rollup.with_mean(inputs.event_rollup(spark, sf)))
+    series = inputs.stable_mean(rollup.as_series(inputs.event_rollup(spark, sf)))
     return rounded(accuracy.accuracy(series, inputs.event_dictionary(spark)), "issue_pct")
 
 
@@ -333,74 +337,77 @@ def accuracy_issues(spark, sf):
 
 @query
 def iqr_outliers(spark, sf):
-    return rounded(outliers.iqr_outliers(inputs.stored_event_grid(spark, sf)), "outlier_pct")
+    series = inputs.stored_event_series(spark, sf)
+    return rounded(outliers.iqr_outliers(series, frame=inputs.frame_of(series)), "outlier_pct")
 
 
 @query
 def iqr_outliers_raw(spark, sf):
     readings = inputs.line_readings(spark, sf)
-    return rounded(outliers.iqr_outliers(readings, "value", method="bracket"), "outlier_pct")
+    return rounded(outliers.iqr_outliers(readings, "value", method="refine"), "outlier_pct")
 
 
 @query
 def zscore_outliers(spark, sf):
-    return outliers.zscore_outliers(inputs.stored_event_grid(spark, sf))
+    return outliers.zscore_outliers(inputs.stored_event_series(spark, sf))
 
 
 @query
 def anomalies(spark, sf):
-    return outliers.anomalies(inputs.stored_event_grid(spark, sf))
+    return outliers.anomalies(inputs.stored_event_series(spark, sf))
 
 
 @query
 def missing_and_outliers(spark, sf):
-    result = outliers.missing_and_outliers(inputs.stored_event_grid(spark, sf))
+    series = inputs.stored_event_series(spark, sf)
+    result = outliers.missing_and_outliers(series, frame=inputs.frame_of(series))
     return rounded(result, "missing_pct", "outlier_pct")
 
 
 @query
 def histogram(spark, sf):
-    bins = distribution.histogram(inputs.stored_event_grid(spark, sf))
+    bins = distribution.histogram(inputs.stored_event_series(spark, sf))
     return rounded(bins, "bin_low", "bin_high")
 
 
 @query
 def kde(spark, sf):
-    return rounded(distribution.density(inputs.stored_event_grid(spark, sf)), "x", "density")
+    return rounded(distribution.density(inputs.stored_event_series(spark, sf)), "x", "density")
 
 
 @query
 def box_stats(spark, sf):
-    stats = distribution.box_stats(inputs.stored_event_grid(spark, sf))
+    stats = distribution.box_stats(inputs.stored_event_series(spark, sf))
     return rounded(stats, "q1", "median", "q3", "low_whisker", "high_whisker")
 
 
 @query
 def box_fliers(spark, sf):
-    return distribution.box_fliers(inputs.stored_event_grid(spark, sf))
+    return distribution.box_fliers(inputs.stored_event_series(spark, sf))
 
 
 @query
 def correlation_blocks(spark, sf):
-    return rounded(correlation.correlation(inputs.stored_event_grid(spark, sf)), "r")
+    return rounded(correlation.correlation(inputs.stored_event_series(spark, sf)), "r")
 
 
 @query
 def correlation_pivot(spark, sf):
     sensors = ["click", "error", "purchase", "signup", "view"]
-    return rounded(correlation.correlation_pivot(inputs.event_grid(spark, sf), sensors), "r")
+    series = inputs.stable_mean(rollup.as_series(inputs.event_rollup(spark, sf)))
+    return rounded(correlation.correlation_pivot(series, sensors), "r")
 
 
 @query
 def correlation_cells(spark, sf):
-    grid = inputs.line_grid(spark, sf)
-    pairs = correlation.correlation(grid, time_slice="2000 days")
-    return rounded(correlation.correlation_cells(pairs, grid), "r")
+    series = inputs.stored_line_series(spark, sf)
+    pairs = correlation.correlation(series, time_slice="2000 days")
+    return rounded(correlation.correlation_cells(pairs, series), "r")
 
 
 @query
 def strong_pairs(spark, sf):
-    pairs = correlation.correlation(inputs.stored_event_grid(spark, sf))
+    pairs = correlation.correlation(inputs.stored_event_series(spark, sf))
     return rounded(correlation.strong_pairs(pairs, 0.04), "r")
 
 
@@ -443,9 +450,9 @@ def decomposition_status(spark, sf):
 
 @query
 def quality_report(spark, sf):
-    grid = inputs.stored_event_grid(spark, sf)
+    stored = inputs.stored_event_series(spark, sf).withColumnRenamed("ts", "bucket_start")
     report = reports.quality_report(
-        grid, inputs.event_dictionary(spark), EVENTS, inputs.event_readings(spark, sf))
+        stored, inputs.event_dictionary(spark), EVENTS, inputs.event_readings(spark, sf))
     return rounded(report, "value")
 
 

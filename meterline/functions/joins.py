@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def salted_join(rows: DataFrame, stats: DataFrame, keys: list[str], spread_by: str,
-                salts: int = 16, how: str = "inner") -> DataFrame:
+                salts: int = 8, how: str = "inner") -> DataFrame:
     """Join many *rows* to one *stats* row per key without a hot partition.
 
     Rows of a key scatter over *salts* partitions by a hash of *spread_by*; the

@@ -10,43 +10,41 @@ from meterline.functions import salted_join
 from meterline.session import settle
 
 BINS = 4096
+MAX_LEVELS = 8
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    method: str = "percentile", levels: int = 2, spread_by: str = "ts") -> DataFrame:
+                    method: str = "percentile", gather: int = 1_000_000, spread_by: str = "ts") -> DataFrame:
     """(keys..., quantiles ARRAY<DOUBLE>) of the non-null values, in the order of *probs*.
 
     ``percentile``  the built-in: one shuffle, but one task holds every distinct value
                     of a key.  Right for rollups, whose keys have one value per bucket.
     ``refine``      for raw readings, where one key may own a third of all rows: counts in
-                    bins find the bin of each rank, *levels* times over, then counts by
-                    value find it exactly.  Same result; only counts are ever shuffled.
-                    *spread_by* scatters a key's rows should the targets not fit a broadcast.
+                    bins shrink the value range of each rank until at most *gather* values
+                    are left in it, then counts by value find it.  Same result; only
+                    counts are shuffled.  The built-in still serves when no key has more
+                    than *gather* values.  *spread_by* scatters a key's rows should the
+                    ranges not fit a broadcast.
     """
     x = F.col(value).cast("double").alias("x")
     present = df.where(F.col(value).isNotNull())
     if method == "percentile":
-        return present.select(*keys, x).groupBy(*keys).agg(
-            F.percentile("x", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles"))
+        return _built_in(present.select(*keys, x), keys, probs)
     if method != "refine":
         raise ValueError("method is 'percentile' or 'refine'")
     values = present.select(*keys, x, F.col(spread_by).alias("_by"))
-    return _refined(values, keys, [float(p) for p in probs], levels)
+    return _refined(values, keys, [float(p) for p in probs], gather)
 
 
-def _squashed(x: Column) -> Column:
-    """Increasing and slow: a far outlier does not push all other values into one bin."""
-    return F.signum(x) * F.log1p(F.abs(x))
-
-
-def _bin(x: Column, lo: Column, hi: Column) -> Column:
-    place = F.try_divide(x - lo, hi - lo) * BINS
-    return F.coalesce(F.least(F.floor(place), F.lit(BINS - 1).cast("bigint")), F.lit(0).cast("bigint"))
+def _built_in(values: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    return values.groupBy(*keys).agg(
+        F.percentile("x", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles"))
 
 
-def _refined(values: DataFrame, keys: list[str], probs: list[float], levels: int) -> DataFrame:
-    # Both order statistics around every rank p*(n-1).  A target is a value range known to
-    # hold one of them, and its rank inside the range.
+def _refined(values: DataFrame, keys: list[str], probs: list[float], gather: int) -> DataFrame:
+    # A target is one order statistic next to a rank p*(n-1): a value range known to hold it
+    # and its rank inside.  The targets, one row per key, are written each time: their real
+    # size then decides whether the next scan broadcasts them, and no scan repeats an earlier one.
     bounds = values.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     wanted = []
@@ -54,16 +52,21 @@ def _refined(values: DataFrame, keys: list[str], probs: list[float], levels: int
         rank = F.lit(p) * (F.col("n") - 1)
         for side, r in (("low", F.floor(rank)), ("high", F.ceil(rank))):
             wanted.append(F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), r.alias("rank"),
-                                   (rank - F.floor(rank)).alias("weight"),
+                                   (rank - F.floor(rank)).alias("weight"), F.col("n").alias("size"),
                                    F.col("lo").alias("lo"), F.col("hi").alias("hi")))
-    targets = bounds.select(*keys, F.array(*wanted).alias("targets"))
-    # The target table has one row per key and is written each time: its real size then
-    # decides whether the next scan broadcasts it, and no scan repeats an earlier one.
-    for level in range(levels):
-        targets = settle(_narrowed(values, keys, targets, _squashed if level == 0 else lambda x: x), "targets")
-    exact = _ranked(_hits(values, keys, targets).groupBy(*keys, "t", "x").agg(F.count(F.lit(1)).alias("c")),
-                    keys, F.col("x"))
-    found = exact.groupBy(*keys, F.col("t.q").alias("q"), F.col("t.weight").alias("weight")).agg(
+    targets = settle(bounds.select(*keys, F.array(*wanted).alias("targets")), "targets")
+    ranges = 1
+    for level in range(MAX_LEVELS):
+        if not _crowded(targets, gather):
+            if level == 0:
+                return _built_in(values, keys, probs)
+            break
+        targets = settle(_narrowed(values, keys, targets, ranges, _squashed if level == 0 else lambda c: c), "targets")
+        ranges = 2 * len(probs)
+
+    counts = _in_ranges(values, keys, targets, ranges).groupBy(*keys, "lo", "hi", "x").agg(
+        F.count(F.lit(1)).alias("c"))
+    found = _ranked(counts, keys, targets, "x").groupBy(*keys, "t.q", "t.weight").agg(
         F.max(F.when(F.col("t.side") == "low", F.col("x"))).alias("x0"),
         F.max(F.when(F.col("t.side") == "high", F.col("x"))).alias("x1"))
     answer = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("weight")
@@ -72,27 +75,48 @@ def _refined(values: DataFrame, keys: list[str], probs: list[float], levels: int
             .select(*keys, F.col("a.v").alias("quantiles")))
 
 
-def _hits(values: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
-    """(keys, t, x): every value inside the range of a target."""
-    return (salted_join(values, targets, keys, "_by")
-            .select(*keys, "x", F.explode(F.expr("filter(targets, t -> x >= t.lo AND x <= t.hi)")).alias("t")))
+def _crowded(targets: DataFrame, gather: int) -> bool:
+    """Whether some range still holds more than *gather* values, not all of them equal."""
+    return not targets.where(F.expr(f"exists(targets, t -> t.size > {int(gather)} AND t.lo < t.hi)")).isEmpty()
+
+
+def _squashed(x: Column) -> Column:
+    """Increasing and slow: a far outlier does not push all other values into one bin."""
+    return F.signum(x) * F.log1p(F.abs(x))
 
 
-def _ranked(counts: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """The count row that holds each target's rank, with ``before``: values ahead of it."""
-    upto = Window.partitionBy(*keys, "t").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (counts.withColumn("before", F.sum("c").over(upto) - F.col("c"))
+def _in_ranges(values: DataFrame, keys: list[str], targets: DataFrame, ranges: int) -> DataFrame:
+    """(keys, lo, hi, x): the values inside a target's range.  Ranges of a key are disjoint."""
+    bounds = targets.select(*keys, F.expr("array_distinct(transform(targets, t -> struct(t.lo, t.hi)))").alias("r"))
+    bounds = bounds.select(*keys, *[F.get("r", F.lit(i)).alias(f"r{i}") for i in range(ranges)])
+    x = F.col("x")
+    hit = F.coalesce(*[F.when((x >= F.col(f"r{i}.lo")) & (x <= F.col(f"r{i}.hi")), F.col(f"r{i}"))
+                       for i in range(ranges)])
+    return (salted_join(values, bounds, keys, "_by").withColumn("r", hit).where(F.col("r").isNotNull())
+            .select(*keys, "r.lo", "r.hi", "x"))
+
+
+def _ranked(counts: DataFrame, keys: list[str], targets: DataFrame, order: str) -> DataFrame:
+    """Per target ``t`` the count row that holds its rank, with ``before``: values of the range ahead of it."""
+    upto = Window.partitionBy(*keys, "lo", "hi").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    stacked = counts.withColumn("before", F.sum("c").over(upto) - F.col("c"))
+    wanted = targets.select(*keys, F.explode("targets").alias("t")).select(
+        *keys, "t", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"))
+    return (stacked.join(wanted, [*keys, "lo", "hi"])
             .where((F.col("before") <= F.col("t.rank")) & (F.col("t.rank") < F.col("before") + F.col("c"))))
 
 
-def _narrowed(values: DataFrame, keys: list[str], targets: DataFrame, scale) -> DataFrame:
-    """Targets shrunk to the bin that holds their rank, with the bin's real smallest and largest value."""
-    bins = _bin(scale(F.col("x")), scale(F.col("t.lo")), scale(F.col("t.hi")))
-    counts = (_hits(values, keys, targets).groupBy(*keys, "t", bins.alias("bin"))
+def _narrowed(values: DataFrame, keys: list[str], targets: DataFrame, ranges: int, scale) -> DataFrame:
+    """Targets shrunk to the bin that holds their rank, between the bin's smallest and largest value."""
+    lo, hi = scale(F.col("lo")), scale(F.col("hi"))
+    place = F.floor(F.try_divide(scale(F.col("x")) - lo, hi - lo) * BINS)
+    bins = F.coalesce(F.least(place, F.lit(BINS - 1).cast("bigint")), F.lit(0).cast("bigint"))
+    counts = (_in_ranges(values, keys, targets, ranges).groupBy(*keys, "lo", "hi", bins.alias("bin"))
               .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("x0"), F.max("x").alias("x1")))
-    chosen = _ranked(counts, keys, F.col("bin"))
     narrowed = F.struct(
         F.col("t.q").alias("q"), F.col("t.side").alias("side"),
         (F.col("t.rank") - F.col("before")).alias("rank"), F.col("t.weight").alias("weight"),
-        F.col("x0").alias("lo"), F.col("x1").alias("hi"))
-    return chosen.groupBy(*keys).agg(F.collect_list(narrowed).alias("targets"))
+        F.col("c").alias("size"), F.col("x0").alias("lo"), F.col("x1").alias("hi"))
+    return (_ranked(counts, keys, targets, "bin").groupBy(*keys)
+            .agg(F.collect_list(narrowed).alias("targets")))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterline.functions import no_nan
+
 _SUM_COLUMN = re.compile(r"^sum_(.+)$")
 
 
@@ -38,7 +40,7 @@ def wide_to_long(wide: DataFrame, machine, ts: str = "timestamp",
         flag = field(f"count_{suffix}_isvalid", "bigint")
         n_valid, n_invalid = (n - flag, flag) if flag_meaning == "alarms" else (flag, n - flag)
         cells.append(F.struct(
-            F.lit(sensor).alias("sensor"), n.alias("n"), field(f"sum_{suffix}", "double").alias("sum_v"),
+            F.lit(sensor).alias("sensor"), n.alias("n"), no_nan(field(f"sum_{suffix}", "double")).alias("sum_v"),
             n_valid.alias("n_valid"), n_invalid.alias("n_invalid")))
     if not cells:
         raise ValueError("no sum_<sensor> column in the table")

@@ -8,12 +8,13 @@ one sensor's series spreads over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from meterline.functions import salted_join
 from meterline.operators.dictionary import limits
+from meterline.session import settle
 
 KEYS = ["machine", "sensor"]
 CHUNK_ROWS = 4096
@@ -65,12 +66,13 @@ def series_with_limits(series: DataFrame, dictionary: DataFrame, rows: int = 24,
             .select(*KEYS, "ts", "value", "rolling_mean", "low_limit", "high_limit"))
 
 
+def _status(rows: Column, points: Column, period: int) -> Column:
+    return F.when(points < rows, "has_nulls").when(rows < 2 * period, "too_short").otherwise("ok")
+
+
 def decomposition_status(series: DataFrame, period: int = 24, value: str = "mean") -> DataFrame:
     """(machine, sensor, status): ok, has_nulls, or too_short for two periods."""
-    counts = series.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"), F.count(value).alias("points"))
-    return counts.select(
-        *KEYS, F.when(F.col("points") < F.col("rows"), "has_nulls")
-        .when(F.col("rows") < 2 * period, "too_short").otherwise("ok").alias("status"))
+    return series.groupBy(*KEYS).agg(_status(F.count(F.lit(1)), F.count(value), period).alias("status"))
 
 
 def seasonal_decompose(series: DataFrame, period: int = 24, value: str = "mean",
@@ -85,22 +87,25 @@ def seasonal_decompose(series: DataFrame, period: int = 24, value: str = "mean",
     half = period // 2
     rows = series.select(*KEYS, "ts", "idx", F.col(value).alias("observed"))
     order = Window.partitionBy(*KEYS, "run").orderBy("idx")
-    total = F.sum("observed").over(order.rowsBetween(-half, half))
+    centred = order.rowsBetween(-half, half)
+    total = F.sum("observed").over(centred)
     if period % 2 == 0:
         ends = F.lag("observed", half).over(order) + F.lead("observed", half).over(order)
         total = total - ends * 0.5
-    fits = F.count("observed").over(order.rowsBetween(-half, half)) == 2 * half + 1
-    trended = (
+    fits = F.count("observed").over(centred) == 2 * half + 1
+    # Stored, because the phase means need all of it before any row can be finished.
+    trended = settle(
         _in_runs(rows, half, half, chunk_rows)
         .withColumn("trend", F.when(fits, total / period))
         .where("is_home")
-        .select(*KEYS, "ts", (F.col("idx") % period).alias("phase"), "observed", "trend")
-    )
-    phases = trended.groupBy(*KEYS, "phase").agg(F.avg(F.col("observed") - F.col("trend")).alias("mean_detrended"))
-    centred = phases.select(*KEYS, "phase", (
-        F.col("mean_detrended") - F.avg("mean_detrended").over(Window.partitionBy(*KEYS))).alias("seasonal"))
-    # 24 phases already split a series; the status joins the small phase table instead of the rows.
-    seasons = centred.join(decomposition_status(series, period, value), KEYS)
+        .select(*KEYS, "ts", (F.col("idx") % period).alias("phase"), "observed", "trend"), "trend")
+    phases = trended.groupBy(*KEYS, "phase").agg(
+        F.avg(F.col("observed") - F.col("trend")).alias("mean_detrended"),
+        F.count(F.lit(1)).alias("rows"), F.count("observed").alias("points"))
+    whole = Window.partitionBy(*KEYS)
+    seasons = phases.select(
+        *KEYS, "phase", (F.col("mean_detrended") - F.avg("mean_detrended").over(whole)).alias("seasonal"),
+        _status(F.sum("rows").over(whole), F.sum("points").over(whole), period).alias("status"))
     ok = F.col("status") == "ok"
     joined = salted_join(trended, seasons, [*KEYS, "phase"], "ts", salts=4)
     return joined.select(

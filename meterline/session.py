@@ -48,8 +48,11 @@ def workdir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's part of the shared folder.
+
+    Everything of one application lies under one folder, to be removed when it has ended.
+    """
+    return f"{workdir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:

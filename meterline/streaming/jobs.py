@@ -109,17 +109,30 @@ def silent_buckets(closed: DataFrame, sensors: DataFrame) -> DataFrame:
     return expected.join(closed.select(*BUCKET_KEYS), BUCKET_KEYS, "left_anti").select(*BUCKET_KEYS)
 
 
-def start_silence_watch(rolled: DataFrame, sensors: DataFrame, path: str, checkpoint: str,
-                        available_now: bool = True) -> StreamingQuery:
-    """Writes ``silent_buckets`` of every batch of closed buckets."""
+def _start_watch(rolled: DataFrame, mode: str, check, table: str, path: str, checkpoint: str,
+                 available_now: bool) -> StreamingQuery:
+    """Per batch: its rows into *table*, then ``check(spark, rows read back)`` into *path*.
+
+    The stateful plan runs once, for the write; the check reads the written rows.
+    """
     def watch(batch: DataFrame, batch_id: int) -> None:
-        silent_buckets(batch, sensors).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        rows = spark.read.schema(batch.schema).parquet(f"{table}/batch_id={batch_id}")
+        if not rows.isEmpty():
+            check(spark, rows).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    writer = (rolled.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-              .foreachBatch(watch))
+    writer = rolled.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(watch)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def start_silence_watch(rolled: DataFrame, sensors: DataFrame, table: str, path: str, checkpoint: str,
+                        available_now: bool = True) -> StreamingQuery:
+    """``silent_buckets`` of every batch of closed buckets to *path*; the closed buckets themselves to *table*."""
+    return _start_watch(rolled, "append", lambda spark, closed: silent_buckets(closed, sensors),
+                        table, path, checkpoint, available_now)
+
+
 def start_quality_watch(rolled: DataFrame, dictionary: DataFrame, config: QualityConfig, table: str, path: str,
                         checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Quality report per micro-batch, over the buckets the batch changed.
@@ -130,16 +143,12 @@ def start_quality_watch(rolled: DataFrame, dictionary: DataFrame, config: Qualit
     from meterline.plans.reports import quality_report
     from meterline.session import settle
 
-    def watch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-        changed = spark.read.parquet(f"{table}/batch_id={batch_id}").select("machine", "bucket_start").distinct()
-        current = latest(spark, table).join(changed, ["machine", "bucket_start"], "left_semi")
-        quality_report(settle(current, "touched"), dictionary, config).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def report(spark: SparkSession, rows: DataFrame) -> DataFrame:
+        touched = rows.select("machine", "bucket_start").distinct()
+        current = latest(spark, table).join(touched, ["machine", "bucket_start"], "left_semi")
+        return quality_report(settle(current, "touched"), dictionary, config)
 
-    writer = (rolled.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-              .foreachBatch(watch))
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return _start_watch(rolled, "update", report, table, path, checkpoint, available_now)
 
 
 def dropped_late_rows(query: StreamingQuery) -> int:

@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from meterline.functions import salted_join
 from meterline.operators import accuracy, consistency, missing, outliers, profile, rollup, timeseries
 from meterline.plans import reports
 from meterline.schema import QualityConfig
@@ -116,6 +117,24 @@ def test_exploration(spark, stored):
     assert invalid.buckets.count() == invalid.summary.agg(F.sum("alarm_buckets")).first()[0]
 
 
+def test_salted_join_equals_plain_join_with_a_hot_key(spark):
+    data = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 50) END AS sensor", "id AS ts")
+    stats = spark.range(40).selectExpr("concat('s', id) AS sensor", "id AS v").union(
+        spark.sql("SELECT 'hot', 99L"))
+    for how in ("inner", "left"):
+        plain, salted = data.join(stats, "sensor", how), salted_join(data, stats, ["sensor"], "ts", how=how)
+        assert plain.exceptAll(salted.select(plain.columns)).isEmpty() and plain.count() == salted.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(salted_join(data, stats, ["sensor"], "ts").groupBy("sensor").count())
+        # sensor and salt place the rows; only partial counts meet per sensor
+        assert re.search(r"hashpartitioning\(sensor#\d+, _salt#\d+", text)
+        assert text.count("HashAggregate") >= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(SQL)
 

@@ -103,14 +103,22 @@ def test_completeness(rows):
 @pytest.mark.parametrize("values", [
     [1.0], [2.0, 1.0], [5.0] * 7, [1.0, 2.0, 3.0, 4.0, 1e12], [-1e9, -3.5, 0.0, 0.0, 1e-7, 2e-7, 8.0],
     [float(i * i % 97) / 7 for i in range(500)], [0.0] * 400 + [float(i) for i in range(100)]])
-def test_refined_quantiles_equal_the_builtin(rows, values):
+@pytest.mark.parametrize("gather", [1, 1_000_000])
+def test_refined_quantiles_equal_the_builtin(rows, values, gather):
     data = series(rows, values)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     exact = found(exact_quantiles(data, ["machine"], "mean", probs), "quantiles")[0][0]
-    refined = found(exact_quantiles(data, ["machine"], "mean", probs, method="refine"), "quantiles")[0][0]
+    refined = found(exact_quantiles(data, ["machine"], "mean", probs, method="refine", gather=gather), "quantiles")[0][0]
     assert refined == pytest.approx(exact, rel=1e-12)
 
 
+def test_refined_quantiles_by_key(rows):
+    data = series(rows, [1.0, 5.0, 2.0, 8.0], "a").unionByName(series(rows, [None, 3.0], "b")).unionByName(
+        series(rows, [None], "c"))
+    got = exact_quantiles(data, ["machine", "sensor"], "mean", [0.5, 0.25], method="refine", gather=2)
+    assert found(got, "sensor", "quantiles") == [("a", [3.5, 1.75]), ("b", [3.0, 3.0])]
+
+
 def test_duplicates(rows):
     table = rows("a int, b int", (1, 5), (1, 5), (1, 5), (2, 6))
     assert found(consistency.duplicate_records(table, ["a", "b"]), "dup_rows", "dup_half", "dup_extra", "dup_pct") == [

@@ -86,8 +86,8 @@ def test_alarms_and_gaps(spark, place):
 def test_silent_sensors(spark, place):
     feed(spark, f"{place}/in", "a", ("m", "s", 0.1, 1.0), ("m", "t", 0.1, 1.0), ("m", "s", 1.1, 1.0), ("m", "s", 9, 1.0))
     sensors = spark.sql("SELECT 'm' AS machine, explode(array('s', 't')) AS sensor")
-    jobs.start_silence_watch(jobs.stream_rollup(stream(spark, f"{place}/in")), sensors, f"{place}/silent",
-                             f"{place}/state").awaitTermination()
+    jobs.start_silence_watch(jobs.stream_rollup(stream(spark, f"{place}/in")), sensors, f"{place}/closed",
+                             f"{place}/silent", f"{place}/state").awaitTermination()
     assert found(spark.read.parquet(f"{place}/silent"), "sensor", "bucket_start") == [("t", at(1))]
 
 

@@ -51,8 +51,10 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_columns(file_readings(spark, sf_dir, schema, name_glob="events.parquet"))
 
 
-def event_rollup(spark: SparkSession, sf_dir: str, extremes: bool = False) -> DataFrame:
-    return rollup(event_readings(spark, sf_dir), event_dictionary(spark), EVENTS.bucket, extremes)
+def event_rollup(spark: SparkSession, sf_dir: str, extremes: bool = False, judged: bool = True) -> DataFrame:
+    """Hourly rollup; ``judged=False`` leaves the limits out where a query only counts readings."""
+    known = event_dictionary(spark) if judged else None
+    return rollup(event_readings(spark, sf_dir), known, EVENTS.bucket, extremes)
 
 
 def stable_mean(grid: DataFrame) -> DataFrame:
@@ -60,15 +62,15 @@ def stable_mean(grid: DataFrame) -> DataFrame:
     return grid.withColumn("mean", F.round(F.col("mean") + F.lit(1e-9), 6))
 
 
-def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_grid(spark: SparkSession, sf_dir: str, judged: bool = False) -> DataFrame:
     """Grid of the hourly event means; the rollup is stored once because the grid reads it three times."""
-    stored = settle(event_rollup(spark, sf_dir), "hourly")
+    stored = settle(event_rollup(spark, sf_dir, judged=judged), "hourly")
     return stable_mean(machine_grid(stored, EVENTS.orig_freq_s))
 
 
 def stored_event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored hourly rollup with stable means; one row per bucket that has a reading."""
-    return settle(stable_mean(as_series(event_rollup(spark, sf_dir))), "hourly")
+    return settle(stable_mean(as_series(event_rollup(spark, sf_dir, judged=False))), "hourly")
 
 
 def frame_of(series: DataFrame) -> DataFrame:
@@ -77,8 +79,7 @@ def frame_of(series: DataFrame) -> DataFrame:
 
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings per sensor and calendar hour, zero where silent: a series without holes."""
-    stored = settle(event_rollup(spark, sf_dir).select(
-        "machine", "sensor", "bucket_start", "n", "sum_v", "n_valid", "n_invalid"), "hourly")
+    stored = settle(event_rollup(spark, sf_dir, judged=False), "hourly")
     return calendar_grid(stored, EVENTS.bucket, EVENTS.orig_freq_s).withColumn("mean", F.col("n").cast("double"))
 
 

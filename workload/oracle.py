@@ -384,6 +384,11 @@ SQL: dict[str, str] = {
     "decomposition_status": with_ctes(
         """SELECT machine, sensor, CASE WHEN count(mean) < count(*) THEN 'has_nulls' WHEN count(*) < 48 THEN 'too_short'
            ELSE 'ok' END AS status FROM grid GROUP BY ALL""", "grid"),
+    "exploration_summary": with_ctes(
+        f"""SELECT machine, sensor, max(n) AS n, {r6('max(q2)')} AS p50, count(*) FILTER (abs(mean - m) > s * 3) AS outliers,
+            count(*) FILTER (mean < lo OR mean > hi) AS fliers,
+            {r6('max(mean) FILTER (mean <= hi)')} AS high_whisker,
+            count(*) FILTER (abs(mean - m) > s * 2) AS anomalies FROM fence GROUP BY machine, sensor""", "fence"),
     "load_report": with_ctes(
         f"""SELECT machine, machine_group, freq_s, freq_s // 1800 AS agg_freq, count(*) AS cells, count(mean) AS points,
             CAST(sum(n_invalid) AS BIGINT) AS alarms, {r6('avg(sum_v / nullif(n, 0))')} AS avg_mean

@@ -75,7 +75,7 @@ def rollup_by_rule(spark, sf):
 
 @query
 def annotate_mean(spark, sf):
-    return rounded(rollup.annotate(inputs.event_grid(spark, sf)), "mean")
+    return rounded(rollup.annotate(inputs.event_grid(spark, sf, judged=True)), "mean")
 
 
 @query
@@ -87,7 +87,7 @@ def wide_round_trip(spark, sf):
 
 @query
 def wide_export(spark, sf):
-    grid = settle(inputs.event_grid(spark, sf), "grid")  # the pivot first asks for the sensor ids
+    grid = settle(inputs.event_grid(spark, sf, judged=True), "grid")  # the pivot first asks for the sensor ids
     return tables.csv_round_trip(rollup.annotate(grid))
 
 
@@ -161,13 +161,13 @@ def unmatched_sensors(spark, sf):
 
 @query
 def infer_freq(spark, sf):
-    hourly = rollup.ticks(inputs.event_rollup(spark, sf))
+    hourly = rollup.ticks(inputs.event_rollup(spark, sf, judged=False))
     return consistency.infer_frequency(hourly, EVENTS.orig_freq_s)
 
 
 @query
 def time_steps(spark, sf):
-    return consistency.time_steps(rollup.ticks(inputs.event_rollup(spark, sf)))
+    return consistency.time_steps(rollup.ticks(inputs.event_rollup(spark, sf, judged=False)))
 
 
 @query
@@ -178,12 +178,12 @@ def general_info(spark, sf):
 
 @query
 def points_per_sensor(spark, sf):
-    return profile.points_per_sensor(rollup.as_series(inputs.event_rollup(spark, sf)))
+    return profile.points_per_sensor(rollup.as_series(inputs.event_rollup(spark, sf, judged=False)))
 
 
 @query
 def describe_stats(spark, sf):
-    series = inputs.stable_mean(rollup.as_series(inputs.event_rollup(spark, sf)))
+    series = inputs.stable_mean(rollup.as_series(inputs.event_rollup(spark, sf, judged=False)))
     return rounded(profile.describe(series), "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -240,7 +240,7 @@ def timestamp_order_events(spark, sf):
 
 @query
 def missing_readings(spark, sf):
-    return rounded(missing.missing_readings(inputs.event_rollup(spark, sf), EVENTS), "missing_pct")
+    return rounded(missing.missing_readings(inputs.event_rollup(spark, sf, judged=False), EVENTS), "missing_pct")
 
 
 @query
@@ -264,20 +264,20 @@ def missing_intervals_calendar(spark, sf):
 
 @query
 def missing_report(spark, sf):
-    stored = settle(inputs.event_rollup(spark, sf), "hourly")
+    stored = settle(inputs.event_rollup(spark, sf, judged=False), "hourly")
     grid = rollup.machine_grid(stored, EVENTS.orig_freq_s)
     return rounded(reports.missing_report(stored, grid, EVENTS).summary, "missing_pct")
 
 
 @query
 def missing_summary(spark, sf):
-    result = profile.missing_summary(missing.missing_readings(inputs.event_rollup(spark, sf), EVENTS))
+    result = profile.missing_summary(missing.missing_readings(inputs.event_rollup(spark, sf, judged=False), EVENTS))
     return rounded(result, "missing_pct")
 
 
 @query
 def gap_list(spark, sf):
-    stored = settle(inputs.event_rollup(spark, sf), "hourly")
+    stored = settle(inputs.event_rollup(spark, sf, judged=False), "hourly")
     found = missing.missing_intervals(rollup.machine_grid(stored, EVENTS.orig_freq_s), EVENTS)
     listed = missing.gap_list(found.where("n_buckets > 6"), stored)
     one = F.expr("transform(gaps, g -> concat(date_format(g.gap_start, 'yyyy-MM-dd HH:mm:ss'), '..', "
@@ -322,7 +322,7 @@ def invalid_report(spark, sf):
 
 @query
 def accuracy_of_means(spark, sf):
-    series = inputs.stable_mean(rollup.as_series(inputs.event_rollup(spark, sf)))
+    series = inputs.stable_mean(rollup.as_series(inputs.event_rollup(spark, sf, judged=False)))
     return rounded(accuracy.accuracy(series, inputs.event_dictionary(spark)), "issue_pct")
 
 
@@ -394,7 +394,7 @@ def correlation_blocks(spark, sf):
 @query
 def correlation_pivot(spark, sf):
     sensors = ["click", "error", "purchase", "signup", "view"]
-    series = inputs.stable_mean(rollup.as_series(inputs.event_rollup(spark, sf)))
+    series = inputs.stable_mean(rollup.as_series(inputs.event_rollup(spark, sf, judged=False)))
     return rounded(correlation.correlation_pivot(series, sensors), "r")
 
 
@@ -456,6 +456,19 @@ def quality_report(spark, sf):
     return rounded(report, "value")
 
 
+@query
+def exploration_summary(spark, sf):
+    """One row per sensor from the parts of the exploration page."""
+    grid = settle(inputs.event_grid(spark, sf), "grid")
+    page = reports.explore(grid, inputs.event_dictionary(spark), config=EVENTS)
+    keys = ["machine", "sensor"]
+    anomalous = page.anomalies.groupBy(*keys).agg(F.count(F.lit(1)).alias("anomalies"))
+    summary = (page.describe.select(*keys, "n", "p50").join(page.zscore, keys)
+               .join(page.box.select(*keys, "fliers", "high_whisker"), keys).join(anomalous, keys, "left"))
+    return rounded(summary.withColumn("anomalies", F.coalesce("anomalies", F.lit(0).cast("bigint"))),
+                   "p50", "high_whisker")
+
+
 @query
 def load_report(spark, sf):
     """Wide machine table -> annotated long data with frequency, as the loading page prepares it."""
@@ -518,8 +531,8 @@ def stream_silent_buckets(spark, sf):
     rolled = jobs.stream_rollup(inputs.event_stream(spark, sf))
     sensors = settle(inputs.event_readings(spark, sf).select("machine", "sensor").distinct(), "sensors")
     path = scratch_path(spark, "stream-silent")
-    jobs.start_silence_watch(rolled, sensors, f"{path}/table", f"{path}/state").awaitTermination()
-    return zoneless(spark.read.parquet(f"{path}/table").drop("batch_id"), "bucket_start")
+    jobs.start_silence_watch(rolled, sensors, f"{path}/closed", f"{path}/silent", f"{path}/state").awaitTermination()
+    return zoneless(spark.read.parquet(f"{path}/silent").drop("batch_id"), "bucket_start")
 
 
 @query

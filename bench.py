@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
 
 HEADLINE = [
     "hourly_rollup", "annotate_mean", "describe_stats", "describe_raw_readings", "completeness", "duplicates",
@@ -88,7 +88,8 @@ def main() -> None:
     from workload.queries import QUERIES
 
     spark = build_session("meterline-bench", f"local[{CPUS}]", **{
-        "spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+        "spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+        "spark.python.sql.dataFrameDebugging.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     queries = {name: timed(lambda: run(QUERIES[name](spark, SF_DIR)), 1 if "stream" in name else REPEATS)
                for name in HEADLINE}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from meterline.functions import seconds_between
+from meterline.functions import salted_join, seconds_between
 from meterline.operators.rollup import tick_frequency
 
 
@@ -41,12 +41,12 @@ def duplicate_ticks(series: DataFrame, value: str = "mean") -> DataFrame:
     """
     by_tick = ["machine", "ts"]
     x = F.col(value) + F.lit(0.0)  # folds -0.0 into 0.0
-    signed = series.groupBy(*by_tick).agg(
-        F.bit_xor(F.when(F.col(value).isNotNull(), F.xxhash64("sensor", x))).alias("sig"))
+    # 0 stands for a tick without any value; the comparison below settles every doubt.
+    sig = F.coalesce(F.bit_xor(F.when(F.col(value).isNotNull(), F.xxhash64("sensor", x))), F.lit(0).cast("bigint"))
+    signed = series.groupBy(*by_tick).agg(sig.alias("sig"))
     sizes = signed.groupBy("machine", "sig").agg(F.count(F.lit(1)).alias("c"))
-    repeated = sizes.where("c > 1").withColumnRenamed("machine", "m").withColumnRenamed("sig", "s")
-    candidates = signed.join(repeated, (F.col("machine") == F.col("m")) & F.col("sig").eqNullSafe(F.col("s")),
-                             "left_semi")
+    candidates = salted_join(signed, sizes.where("c > 1").select("machine", "sig"), ["machine", "sig"], "ts",
+                             how="left_semi")
     cell = F.when(F.col(value).isNotNull(), F.struct("sensor", x.alias("x")))
     exact = (series.join(candidates.select(*by_tick), by_tick, "left_semi")
              .groupBy(*by_tick).agg(F.array_sort(F.collect_list(cell)).alias("record"))

@@ -37,7 +37,7 @@ def workdir(spark: SparkSession) -> str:
     fall back to a temporary folder: on a cluster no other host could read it.
     """
     global _local_workdir
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -48,7 +48,8 @@ def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return _event_columns(file_readings(spark, sf_dir, schema, name_glob="events.parquet"))
+    # A pattern serves a single file and a folder of part files alike.
+    return _event_columns(file_readings(spark, f"{sf_dir}/events.parquet*", schema))
 
 
 def event_rollup(spark: SparkSession, sf_dir: str, extremes: bool = False, judged: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterline.llm import bpe, minhash, packing, quality
+from meterline.llm import bpe, language_model, minhash, packing, quality, substrings
 from meterline.llm.tables import table
 
 
@@ -29,6 +29,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.train_and_score(table(spark, sf_dir, "documents"))
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_bloom_lm": op6_bloom_lm,
+    "op8_substrings": op8_substrings,
     "op9_minhash": op9_minhash,
 }
 

@@ -265,8 +265,10 @@ def train_and_score(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             c = known.get(every)
             context = known.get(before)
             # A word that is not among the frequent ones has fewer than hot_from; more only lowers the share.
-            share = weight * seen.counts(pair_keys(before, every)) / np.maximum(context, max(1, hot_from - 1))
-            share = np.minimum(share, weight)
+            most = np.maximum(context, max(1, hot_from - 1))
+            pair = seen.counts(pair_keys(before, every))
+            # A pair cannot outnumber its context: such a count is a false hit of the filter.
+            share = weight * np.where(pair <= most, pair, 0) / most
             frequency = (c + ADD) / bottom
             # Words outside the broadcast are unknown only if the broadcast holds all words.
             done = (c > 0) | (hot_from == 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterline.llm import bpe, language_model, minhash, packing, quality, substrings
+from meterline.llm import bpe, language_model, lattice, minhash, neighbours, packing, quality, substrings
 from meterline.llm.tables import table
 
 
@@ -16,6 +16,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -33,6 +37,10 @@ def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op7_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -42,10 +50,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice": op1_lattice,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_bloom_lm": op6_bloom_lm,
+    "op7_kmeans_tree": op7_kmeans_tree,
     "op8_substrings": op8_substrings,
     "op9_minhash": op9_minhash,
 }

@@ -1,22 +1,53 @@
-"""From raw documents to packed training sequences, in stages that are each written before the next reads them."""
+"""From raw documents to packed training sequences, in stages that are each written before the next reads them.
+
+1. quality    (operator 4) documents that the classifier scores below 0.3 go
+2. minhash    (operator 9) of each group of near duplicates (five-word shingles, similarity 0.8) the least id stays
+3. substrings (operator 8) passages of 200 bytes or more that occur twice are cut out of the texts
+4. packing    (operator 5) every token of what is left lies in exactly one sequence
+
+All but the last return the columns of documents, extra ones included.  An empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meterline.llm import packing
-from meterline.llm.queries import _vocabulary
+from meterline.llm import minhash, packing, quality, substrings
+from meterline.llm.tables import table, vocabulary
 from meterline.session import scratch_path
 
+#: A passage of fifty words, short ones included, has more bytes than this.
+PASSAGE = 200
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; of rows that repeat an id, one.  A null id stays."""
+    found = minhash.near_duplicates(docs, threshold=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(found, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return named.union(kept.where("doc_id IS NULL"))
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = substrings.without_repeats(docs, PASSAGE)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
+
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: every token of every kept document lies in exactly one sequence."""
-    return packing.pack_documents(docs, _vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good),
+    ("minhash", distinct),
+    ("substrings", unrepeated),
     ("packing", packed),
 ]
 
@@ -25,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -5,27 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meterline.llm import bpe, language_model, lattice, minhash, neighbours, packing, quality, substrings
-from meterline.llm.tables import table
-
-
-def _vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from meterline.llm import bpe, dialogues, language_model, lattice, licences, minhash, neighbours, packing, quality, substrings
+from meterline.llm.tables import table, vocabulary
 
 
 def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +48,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").withColumn("path", F.expr(licences.PATH_SPARK))
+    return licences.scan(files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
+    "op2_perspectives": op2_perspectives,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
@@ -58,6 +63,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_kmeans_tree": op7_kmeans_tree,
     "op8_substrings": op8_substrings,
     "op9_minhash": op9_minhash,
+    "op10_licences": op10_licences,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_perspectives": dialogues.SQL,
+    "op10_licences": licences.SQL,
+}

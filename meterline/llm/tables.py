@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every host."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """(rows, texts) of at most *limit* characters, or one row; a null text counts as empty."""
     for batch in batches:

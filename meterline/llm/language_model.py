@@ -226,6 +226,20 @@ def build_filter(pairs: DataFrame, segments: int, filter_bits: int = FILTER_BITS
     return LogFrequencyFilter(starts, np.frombuffer(b"".join(parts), np.uint8), lowest)
 
 
+def _frequent(counts: DataFrame, hot_from: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the words counted *hot_from* times or more, sent as packed bytes."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield record(keys=pa.array([rows.column("token").to_numpy().tobytes()], pa.binary()),
+                         counts=pa.array([rows.column("c").to_numpy().tobytes()], pa.binary()))
+
+    parts = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in
+             counts.where(F.col("c") >= hot_from).select("token", "c").mapInArrow(pack, "keys binary, counts binary").toLocalIterator()]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+
+
 def train_and_score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", folds: int = 10,
                     hot_words: int = HOT_WORDS, filter_bits: int = FILTER_BITS, weight: float = WEIGHT) -> DataFrame:
     """Learn from the rows outside the held-out fold, score all rows.
@@ -249,11 +263,11 @@ def train_and_score(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             hot_from = row.c + 1
             break
         room -= row.words
-    hot = counts.where(F.col("c") >= hot_from).toPandas()
+    hot_keys, hot_counts = _frequent(counts, hot_from)
     segments = max(1, -(-n // PER_SEGMENT))
     pairs = settle(pair_counts(training, segments), "pairs")
     shared = spark.sparkContext.broadcast((
-        CountTable(hot.token.to_numpy(np.int64).view(np.uint64), hot.c.to_numpy(np.int64)), build_filter(pairs, segments, filter_bits)))
+        CountTable(hot_keys, hot_counts), build_filter(pairs, segments, filter_bits)))
     bottom = n + ADD * (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@ from meterline.functions.expr import (
     digits_only,
     limit_columns,
     no_nan,
-    percent_true,
     plot_label,
     seconds_between,
     violates_limits,
@@ -10,6 +9,6 @@ from meterline.functions.expr import (
 from meterline.functions.joins import salted_join
 
 __all__ = [
-    "digits_only", "limit_columns", "no_nan", "percent_true", "plot_label",
+    "digits_only", "limit_columns", "no_nan", "plot_label",
     "salted_join", "seconds_between", "violates_limits",
 ]

@@ -18,11 +18,6 @@ def no_nan(c) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def percent_true(condition: Column) -> Column:
-    """Aggregate: share of rows where *condition* holds, NULL counting as false."""
-    return F.avg(F.when(condition, 1.0).otherwise(0.0)) * 100
-
-
 def seconds_between(earlier, later) -> Column:
     """Whole seconds from one timestamp to another (zoned or zoneless)."""
     return F.timestamp_diff("SECOND", _col(earlier), _col(later))

@@ -10,7 +10,8 @@ from meterline.functions import salted_join
 from meterline.session import settle
 
 BINS = 4096
-MAX_LEVELS = 8
+#: Where infinite values stand on the squashed scale: beyond the logarithm of the largest double.
+BEYOND = 1000.0
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
@@ -20,11 +21,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     ``percentile``  the built-in: one shuffle, but one task holds every distinct value
                     of a key.  Right for rollups, whose keys have one value per bucket.
     ``refine``      for raw readings, where one key may own a third of all rows: counts in
-                    bins shrink the value range of each rank until at most *gather* values
-                    are left in it, then counts by value find it.  Same result; only
-                    counts are shuffled.  The built-in still serves when no key has more
-                    than *gather* values.  *spread_by* scatters a key's rows should the
-                    ranges not fit a broadcast.
+                    bins shrink the value range of each rank, at least once and until at most
+                    *gather* values are left in it, then counts by value find it.  Same result;
+                    only counts are shuffled.  *spread_by* scatters a key's rows should the
+                    ranges not fit a broadcast.  The caller chooses; no size does.
     """
     x = F.col(value).cast("double").alias("x")
     present = df.where(F.col(value).isNotNull())
@@ -56,20 +56,20 @@ def _refined(values: DataFrame, keys: list[str], probs: list[float], gather: int
                                    F.col("lo").alias("lo"), F.col("hi").alias("hi")))
     targets = settle(bounds.select(*keys, F.array(*wanted).alias("targets")), "targets")
     ranges = 1
-    for level in range(MAX_LEVELS):
-        if not _crowded(targets, gather):
-            if level == 0:
-                return _built_in(values, keys, probs)
-            break
-        targets = settle(_narrowed(values, keys, targets, ranges, _squashed if level == 0 else lambda c: c), "targets")
-        ranges = 2 * len(probs)
+    # A range's ends fall into different bins, so every level splits it; a double has no more
+    # than a few such splits in it.
+    first = True
+    while first or _crowded(targets, gather):
+        targets = settle(_narrowed(values, keys, targets, ranges, squashed=first), "targets")
+        ranges, first = 2 * len(probs), False
 
     counts = _in_ranges(values, keys, targets, ranges).groupBy(*keys, "lo", "hi", "x").agg(
         F.count(F.lit(1)).alias("c"))
     found = _ranked(counts, keys, targets, "x").groupBy(*keys, "t.q", "t.weight").agg(
         F.max(F.when(F.col("t.side") == "low", F.col("x"))).alias("x0"),
         F.max(F.when(F.col("t.side") == "high", F.col("x"))).alias("x1"))
-    answer = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("weight")
+    between = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("weight")
+    answer = F.when(F.col("x0") == F.col("x1"), F.col("x0")).otherwise(between)  # two infinities have no difference
     return (found.groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct("q", answer.alias("v")))).alias("a"))
             .select(*keys, F.col("a.v").alias("quantiles")))
@@ -81,8 +81,8 @@ def _crowded(targets: DataFrame, gather: int) -> bool:
 
 
 def _squashed(x: Column) -> Column:
-    """Increasing and slow: a far outlier does not push all other values into one bin."""
-    return F.signum(x) * F.log1p(F.abs(x))
+    """Increasing, slow and finite: a far or infinite outlier does not push all other values into one bin."""
+    return F.signum(x) * F.when(F.abs(x) == float("inf"), F.lit(BEYOND)).otherwise(F.log1p(F.abs(x)))
 
 
 def _in_ranges(values: DataFrame, keys: list[str], targets: DataFrame, ranges: int) -> DataFrame:
@@ -107,10 +107,14 @@ def _ranked(counts: DataFrame, keys: list[str], targets: DataFrame, order: str)
             .where((F.col("before") <= F.col("t.rank")) & (F.col("t.rank") < F.col("before") + F.col("c"))))
 
 
-def _narrowed(values: DataFrame, keys: list[str], targets: DataFrame, ranges: int, scale) -> DataFrame:
-    """Targets shrunk to the bin that holds their rank, between the bin's smallest and largest value."""
-    lo, hi = scale(F.col("lo")), scale(F.col("hi"))
-    place = F.floor(F.try_divide(scale(F.col("x")) - lo, hi - lo) * BINS)
+def _narrowed(values: DataFrame, keys: list[str], targets: DataFrame, ranges: int, squashed: bool) -> DataFrame:
+    """Targets shrunk to the bin that holds their rank, between the bin's smallest and largest value.
+
+    Bins are even on the squashed scale at first, and for ranges too wide to subtract; else on the values' own.
+    """
+    wide = F.lit(squashed) | (F.abs(F.col("hi") - F.col("lo")) == float("inf")) | F.isnan(F.col("hi") - F.col("lo"))
+    lo, hi, x = (F.when(wide, _squashed(F.col(c))).otherwise(F.col(c)) for c in ("lo", "hi", "x"))
+    place = F.floor(F.try_divide(x - lo, hi - lo) * BINS)
     bins = F.coalesce(F.least(place, F.lit(BINS - 1).cast("bigint")), F.lit(0).cast("bigint"))
     counts = (_in_ranges(values, keys, targets, ranges).groupBy(*keys, "lo", "hi", bins.alias("bin"))
               .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("x0"), F.max("x").alias("x1")))

@@ -16,10 +16,13 @@ def sensor_columns(wide: DataFrame) -> dict[str, str]:
     """{sensor id: column suffix} of a wide table, read from its schema only.
 
     The whole suffix after ``sum_`` names the sensor (ids may hold ``_``); one
-    leading ``col`` is a column prefix, not part of the id.
+    leading ``col`` is a column prefix, not part of the id.  Two columns of one id are an error.
     """
-    found = (m.group(1) for m in map(_SUM_COLUMN.match, wide.columns) if m)
-    return {suffix.removeprefix("col"): suffix for suffix in found}
+    found = [m.group(1) for m in map(_SUM_COLUMN.match, wide.columns) if m]
+    named = {suffix.removeprefix("col"): suffix for suffix in found}
+    if len(named) < len(found):
+        raise ValueError("two columns name the same sensor")
+    return named
 
 
 def wide_to_long(wide: DataFrame, machine, ts: str = "timestamp",
@@ -51,7 +54,12 @@ def wide_to_long(wide: DataFrame, machine, ts: str = "timestamp",
 
 def rollup_to_wide(rollup: DataFrame, sensors: list[str] | None = None,
                    flag_meaning: str = "alarms") -> DataFrame:
-    """Long rollup -> one row per (machine, timestamp) with sum_/count_/count_*_isvalid columns."""
+    """Long rollup -> one row per (machine, timestamp) with sum_/count_/count_*_isvalid columns.
+
+    A cell without a reading has zero counts and a NULL sum.  Pass *sensors* from the stored
+    dictionary: without it Spark first runs a job for the distinct ids, of which a pivot takes
+    at most spark.sql.pivotMaxValues (10,000).
+    """
     flag = "n_invalid" if flag_meaning == "alarms" else "n_valid"
     pivoted = (rollup.groupBy("machine", F.col("bucket_start").alias("timestamp"))
                .pivot("sensor", sensors)
@@ -60,7 +68,8 @@ def rollup_to_wide(rollup: DataFrame, sensors: list[str] | None = None,
     columns = [F.col("machine"), F.col("timestamp")]
     for name in pivoted.columns[2:]:
         sensor, part = name.rsplit("_", 1)
-        columns.append(F.col(f"`{name}`").alias(names[part].format(sensor)))
+        cell = F.col(f"`{name}`")
+        columns.append((cell if part == "s" else F.coalesce(cell, F.lit(0).cast("bigint"))).alias(names[part].format(sensor)))
     return pivoted.select(*columns)
 
 
@@ -79,7 +88,8 @@ def annotated_to_wide(annotated: DataFrame, sensors: list[str] | None = None) ->
 
 
 def select_sensors(series: DataFrame, sensors: list[str]) -> DataFrame:
-    """Only the chosen sensors; reaches the scan as a pushed filter."""
+    """Only the chosen sensors.  Reaches a stored table's scan as a pushed filter; on readings still
+    to be lower-cased (``as_readings``) it is applied right after the scan."""
     return series.where(F.col("sensor").isin(*[s.lower() for s in sensors]))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from meterline.functions import no_nan, salted_join, seconds_between, violates_limits
 from meterline.operators.dictionary import limits
+from meterline.schema import duration_seconds
 
 KEYS = ("machine", "sensor")
 
@@ -100,10 +101,19 @@ def ticks(rolled: DataFrame) -> DataFrame:
 
 
 def calendar_ticks(rolled: DataFrame, bucket: str) -> DataFrame:
-    """Every bucket between the machine's first and last one, present or not."""
+    """Every bucket between the machine's first and last one, present or not.
+
+    First the starts of runs of buckets are listed, then the buckets of each: however early a stray
+    timestamp lies, no row holds an array longer than the square root of the span, in buckets, asks for.
+    """
+    step = duration_seconds(bucket)
     span = rolled.groupBy("machine").agg(F.min("bucket_start").alias("lo"), F.max("bucket_start").alias("hi"))
-    return span.select("machine", F.posexplode(F.sequence("lo", "hi", F.expr(f"INTERVAL {bucket}")))
-                       .alias("idx", "ts")).select("machine", "ts", "idx")
+    last = F.floor(seconds_between("lo", "hi") / step).cast("bigint")
+    run = F.ceil(F.sqrt(last + 1)).cast("bigint")
+    runs = span.withColumn("last", last).withColumn("run", run).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"), F.col("run"))).alias("first"))
+    cells = runs.select("machine", "lo", F.explode(F.sequence("first", F.least(F.col("first") + F.col("run") - 1, F.col("last")))).alias("idx"))
+    return cells.select("machine", F.timestamp_add("SECOND", (F.col("idx") * step).cast("int"), "lo").alias("ts"), F.col("idx").cast("int").alias("idx"))
 
 
 def tick_frequency(tick_rows: DataFrame, orig_freq_s: int = 10) -> DataFrame:

@@ -142,7 +142,7 @@ def quality_report(rolled: DataFrame, dictionary: DataFrame, config: QualityConf
               .unionByName(duplicate_rows).unionByName(pair_rows))
     if readings is not None:
         order = _tidy(timestamp_order(readings), ["machine"], {
-            name: ("timestamp_order", F.col(name), F.when(F.col("monotonic"), ok).otherwise(F.lit("out_of_order")))
+            name: ("timestamp_order", F.col(name), F.col("status"))
             for name in ("n_backward", "n_equal")})
         report = report.unionByName(order)
     return report

@@ -15,6 +15,13 @@ def normalise(dictionary: DataFrame) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """The dictionary CSV: explicit schema, limits as text, description blanks kept."""
-    return normalise(spark.read.schema(DICTIONARY).option("header", True)
-                     .option("enforceSchema", True).csv(path))
+    """The dictionary CSV: columns by their header in any order, all as text, description blanks kept.
+
+    Further columns are left out; a missing one is an error.
+    """
+    read = normalise(spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False)
+                     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    missing = [name for name in DICTIONARY.names if name not in read.columns]
+    if missing:
+        raise ValueError(f"the dictionary lacks {', '.join(missing)}")
+    return read.select(*DICTIONARY.names)

@@ -18,9 +18,26 @@ def kafka_readings(spark: SparkSession, servers: str, topic: str, **options) ->
 
 
 def parse_json(messages: DataFrame) -> DataFrame:
-    """Readings from a binary or text ``value`` column holding one JSON object each."""
-    parsed = messages.select(F.from_json(F.col("value").cast("string"), READINGS).alias("r")).select("r.*")
-    return (parsed.withColumn("sensor", F.lower("sensor")).withColumn("value", no_nan("value")))
+    """Readings from a binary or text ``value`` column holding one JSON object each.
+
+    A message that is no reading (no JSON, or without machine, sensor or time) is left out here;
+    ``rejected_json`` gives those messages, to be counted or stored beside.
+    """
+    return (_parsed(messages).where(_IS_READING).select("r.*")
+            .withColumn("sensor", F.lower("sensor")).withColumn("value", no_nan("value")))
+
+
+_IS_READING = "r.machine IS NOT NULL AND r.sensor IS NOT NULL AND r.ts IS NOT NULL"
+
+
+def _parsed(messages: DataFrame) -> DataFrame:
+    text = F.col("value").cast("string")
+    return messages.select(text.alias("message"), F.from_json(text, READINGS).alias("r"))
+
+
+def rejected_json(messages: DataFrame) -> DataFrame:
+    """(message): what ``parse_json`` leaves out."""
+    return _parsed(messages).where(f"NOT coalesce({_IS_READING}, false)").select("message")
 
 
 def file_readings(spark: SparkSession, path: str, schema: T.StructType = READINGS, fmt: str = "parquet",

@@ -15,7 +15,7 @@ from meterline.session import scratch_path
 
 @dataclass(frozen=True)
 class Connection:
-    """Where the machine tables live; unset fields come from the environment, then from defaults."""
+    """Where the machine tables live; unset fields come from the environment."""
 
     user: str
     password: str
@@ -24,13 +24,15 @@ class Connection:
     database: str
     subprotocol: str = "postgresql"
 
-    # Environment names and defaults of a deployment.
-    _ENV = {"user": ("DB_USER", "app"), "password": ("DB_PASS", "app"), "host": ("DB_IP", "0.0.0.0"),
-            "port": ("DB_PORT", "1529"), "database": ("DB_NAME", "MOH")}
+    # Environment names of a deployment.
+    _ENV = {"user": "DB_USER", "password": "DB_PASS", "host": "DB_IP", "port": "DB_PORT", "database": "DB_NAME"}
 
     @classmethod
     def from_env(cls, **given) -> "Connection":
-        fields = {name: given.get(name) or os.getenv(env, default) for name, (env, default) in cls._ENV.items()}
+        fields = {name: given.get(name) or os.getenv(env) for name, env in cls._ENV.items()}
+        unset = [cls._ENV[name] for name, value in fields.items() if not value]
+        if unset:
+            raise ValueError(f"set {', '.join(unset)} or pass the values")
         return cls(**fields, **{k: v for k, v in given.items() if k == "subprotocol"})
 
     def options(self) -> dict[str, str]:
@@ -52,9 +54,37 @@ def jdbc_options(connection: Connection, table: str, lower: str | None = None, u
     return options
 
 
+def bounds_query(table: str, partition_column: str = "timestamp") -> str:
+    """The subquery that asks the database for the range of the split column."""
+    return f"(SELECT min({partition_column}) AS lo, max({partition_column}) AS hi FROM {table}) AS bounds"
+
+
+def tables_query() -> str:
+    """The subquery that lists the database's hourly machine tables."""
+    return "(SELECT table_name FROM information_schema.tables WHERE lower(table_name) LIKE '%hours%') AS listed"
+
+
+def _jdbc(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    return spark.read.format("jdbc").options(**options).load()
+
+
 def read_machine_table_jdbc(spark: SparkSession, connection: Connection, table: str, **split) -> DataFrame:
-    """One machine's wide aggregate table over JDBC, lower-case columns."""
-    return lower_columns(spark.read.format("jdbc").options(**jdbc_options(connection, table, **split)).load())
+    """One machine's wide aggregate table over JDBC, lower-case columns.
+
+    Always read in parallel: without given bounds the database is first asked for them.
+    """
+    if split.get("lower") is None or split.get("upper") is None:
+        column = split.get("partition_column", "timestamp")
+        lo, hi = _jdbc(spark, {**connection.options(), "dbtable": bounds_query(table, column)}).first()
+        if lo is not None:
+            split = {**split, "lower": str(lo), "upper": str(hi)}
+    return lower_columns(_jdbc(spark, jdbc_options(connection, table, **split)))
+
+
+def machine_tables_jdbc(spark: SparkSession, connection: Connection) -> list[str]:
+    """Names of the hourly machine tables in the database."""
+    listed = _jdbc(spark, {**connection.options(), "dbtable": tables_query()})
+    return sorted(r[0] for r in listed.collect())
 
 
 def read_machine_table(spark: SparkSession, table: str) -> DataFrame:

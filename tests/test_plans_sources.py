@@ -9,7 +9,7 @@ from meterline.plans import reports
 from meterline.schema import QualityConfig
 from meterline.session import build_session, scratch_path, settle, workdir
 from meterline.sources import dictionary as dictionary_source
-from meterline.sources import tables
+from meterline.sources import streams, tables
 from tests.conftest import SF, at, found
 from workload import inputs
 from workload.oracle import SQL
@@ -82,11 +82,47 @@ def test_catalogue(spark, stored):
 
 
 def test_connection(monkeypatch):
-    monkeypatch.setenv("DB_IP", "10.1.1.1")
+    for name, value in (("DB_IP", "10.1.1.1"), ("DB_PORT", "1529"), ("DB_USER", "reader"), ("DB_PASS", "x")):
+        monkeypatch.setenv(name, value)
+    monkeypatch.delenv("DB_NAME", raising=False)
+    with pytest.raises(ValueError, match="DB_NAME"):
+        tables.Connection.from_env()
     options = tables.jdbc_options(tables.Connection.from_env(database="plant"), "pump_hours", "2024-01-01", "2025-01-01", 8)
-    assert options["url"] == "jdbc:postgresql://10.1.1.1:1529/plant" and options["user"] == "app"
+    assert options["url"] == "jdbc:postgresql://10.1.1.1:1529/plant" and options["user"] == "reader"
     assert options["partitionColumn"] == "timestamp" and options["numPartitions"] == "8"
-    assert "partitionColumn" not in tables.jdbc_options(tables.Connection.from_env(), "pump_hours")
+
+
+def test_jdbc_reads_are_always_split(spark, monkeypatch):
+    """No database here: the options of each read are looked at in its place."""
+    asked = []
+
+    def load(_, options):
+        asked.append(options)
+        return spark.sql("SELECT timestamp'2024-01-01' AS LO, timestamp'2024-06-01' AS HI")
+    monkeypatch.setattr(tables, "_jdbc", load)
+    connection = tables.Connection("u", "p", "h", "1", "d")
+    tables.read_machine_table_jdbc(spark, connection, "pump_hours", partitions=4)
+    assert "min(timestamp)" in asked[0]["dbtable"] and asked[1]["lowerBound"].startswith("2024-01-01")
+    assert asked[1]["numPartitions"] == "4" and asked[1]["partitionColumn"] == "timestamp"
+    tables.machine_tables_jdbc(spark, connection)
+    assert "information_schema" in asked[2]["dbtable"]
+
+
+def test_dictionary_goes_by_header(spark, rows, tmp_path):
+    (tmp_path / "tags.csv").write_text("MACHINE_GROUP,TAG,Tag Description,LOW_THRESHOLD,HIGH_THRESHOLD,THRESHOLD_TYPE,AGGREGATION_RULE,"
+                                       "ENGINEERING_UNITS,CATEGORY,more\nM-1,AB,pump ,\"1,799\",5,Up,max,mm,c,x\n")
+    got = dictionary_source.read_dictionary(spark, str(tmp_path / "tags.csv"))
+    assert [tuple(r) for r in got.collect()] == [("ab", "pump ", "M-1", "1,799", "5", "Up", "max", "mm", "c")]
+    (tmp_path / "short.csv").write_text("TAG,CATEGORY\na,b\n")
+    with pytest.raises(ValueError, match="tag_description"):
+        dictionary_source.read_dictionary(spark, str(tmp_path / "short.csv"))
+
+
+def test_bad_messages_are_kept_apart(rows):
+    messages = rows("value string", ('{"machine": "m", "sensor": "A", "ts": "2024-01-01T00:00:00Z", "value": 1.5}',), ("no json",),
+                    ('{"machine": "m", "sensor": "a"}',), (None,))
+    assert found(streams.parse_json(messages), "sensor", "value") == [("a", 1.5)]
+    assert streams.rejected_json(messages).count() == 3
 
 
 def test_readings_are_cleaned(rows):

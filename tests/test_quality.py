@@ -112,6 +112,25 @@ def test_refined_quantiles_equal_the_builtin(rows, values, gather):
     assert refined == pytest.approx(exact, rel=1e-12)
 
 
+def test_refined_quantiles_with_infinities_and_a_hot_key(rows, monkeypatch):
+    from meterline.operators import quantiles
+
+    levels = []
+    narrow = quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *a, **k: levels.append(1) or narrow(*a, **k))
+    hot = [float("-inf"), float("inf"), 1.7e308, -1.7e308, *[1.0 + i * 1e-12 for i in range(600)], *[3.0] * 300]
+    data = series(rows, hot).unionByName(series(rows, [1.0, 2.0], "b"))
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    for gather, most in ((1_000_000, 1), (5, 8)):
+        levels.clear()
+        got = exact_quantiles(data, ["machine", "sensor"], "mean", probs, method="refine", gather=gather)
+        found_ = dict(found(got, "sensor", "quantiles"))
+        ordered = sorted(hot)
+        expected = [ordered[0], *[ordered[int(p * (len(hot) - 1))] for p in probs[1:-1]], ordered[-1]]
+        assert found_["a"] == pytest.approx(expected, rel=1e-9) and found_["b"] == [1.0, 1.25, 1.5, 1.75, 2.0]
+        assert 1 <= len(levels) <= most
+
+
 def test_refined_quantiles_by_key(rows):
     data = series(rows, [1.0, 5.0, 2.0, 8.0], "a").unionByName(series(rows, [None, 3.0], "b")).unionByName(
         series(rows, [None], "c"))
@@ -149,6 +168,12 @@ def test_timestamp_order(rows, hours, chunk, expected):
     assert found(got, "n_backward", "n_equal", "monotonic") == [expected]
 
 
+def test_order_without_numbers_is_not_assessable(rows):
+    readings = rows("machine string, ts timestamp_ntz, ingest_seq long", ("m", at(0), 1), ("m", at(1), None), ("n", at(5), 1), ("n", None, 2), ("n", at(4), 3))
+    got = found(consistency.timestamp_order(readings), "machine", "total_rows", "n_backward", "status")
+    assert got == [("m", 2, None, "not_assessable"), ("n", 3, 1, "out_of_order")]
+
+
 def test_alarms(rows):
     data = rows(ROLLUP, *[("m", s, at(h), 360, 1.0, 360 - k, k) for s, alarms in
                           (("a", (0, 2, 1)), ("b", (0, 0, 0)), ("c", (3, 0, 0))) for h, k in enumerate(alarms)])

@@ -53,6 +53,8 @@ def test_sensor_columns_keep_the_full_suffix(rows):
         ("32ti448", 2, 6.0, 1, 1), ("32ti448_2", 0, 0.0, 0, 0), ("cocol1", None, 4.0, None, None)]
     assert found(rollup.annotate(long), "sensor", "mean", "alarms") == [
         ("32ti448", 3.0, 1), ("32ti448_2", None, 0), ("cocol1", None, None)]
+    with pytest.raises(ValueError, match="same sensor"):
+        reshape.sensor_columns(rows("sum_colabc double, sum_abc double", (1.0, 2.0)))
     valid = reshape.wide_to_long(wide, "m", flag_meaning="valid")
     assert found(valid.where("sensor = '32ti448'"), "n_valid", "n_invalid") == [(1, 1)]
 

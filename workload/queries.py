@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +18,15 @@ from meterline.operators import (
 from meterline.plans import reports
 from meterline.schema import QualityConfig
 from meterline.session import scratch_path, settle
+from meterline.sources import dictionary as dictionary_reader
 from meterline.sources import tables
 from meterline.streaming import jobs
 from workload import inputs
 from workload.inputs import EVENTS, LINES
 
+# Synthetic sensors hardly correlate: the reports list pairs from a low bound on.
+REPORTED = replace(EVENTS, strong_correlation=0.04)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -80,11 +86,57 @@ def annotate_mean(spark, sf):
 
 @query
 def wide_round_trip(spark, sf):
-    """The rollup as a wide machine table and back to long form."""
+    """The rollup as a wide machine table and back to long form; cells without a reading come back with zero counts."""
     wide = reshape.rollup_to_wide(settle(inputs.event_rollup(spark, sf), "hourly"))
     return rounded(reshape.wide_to_long(wide, F.col("machine")), "sum_v")
 
 
+@query
+def missing_intervals_from_wide(spark, sf):
+    """The gaps found over the wide table are those of the rollup itself."""
+    wide = settle(reshape.rollup_to_wide(settle(inputs.event_rollup(spark, sf, judged=False), "hourly")), "wide")
+    long = settle(reshape.wide_to_long(wide, F.col("machine")), "long")
+    return missing.missing_intervals(rollup.machine_grid(long, EVENTS.orig_freq_s), EVENTS)
+
+
+@query
+def machine_table_from_files(spark, sf):
+    """A wide machine table written as files, with upper-case columns as a database may have them, and read back."""
+    path = scratch_path(spark, "machine-files")
+    wide = reshape.rollup_to_wide(settle(inputs.event_rollup(spark, sf), "hourly"))
+    wide.toDF(*[c.upper() for c in wide.columns]).write.parquet(path)
+    return rounded(reshape.wide_to_long(tables.read_machine_files(spark, path), F.col("machine")), "sum_v")
+
+
+@query
+def machine_table_from_catalogue(spark, sf):
+    """Hourly machine tables of the catalogue, found by name, each read back: (machine, sensor, cells, points)."""
+    database = f"plant_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{scratch_path(spark, 'plant')}'")
+    hourly = settle(inputs.event_rollup(spark, sf), "hourly")
+    for machine in ("m0", "m1"):
+        wide = reshape.rollup_to_wide(hourly.where(F.col("machine") == machine)).drop("machine")
+        wide.write.saveAsTable(f"{database}.{machine}_hours")
+    hourly.write.saveAsTable(f"{database}.raw_readings")
+    found = None
+    for name in tables.machine_tables(spark, database):
+        long = reshape.wide_to_long(tables.read_machine_table(spark, f"{database}.{name}"), name.removesuffix("_hours"))
+        counts = long.groupBy("machine", "sensor").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("points"))
+        found = counts if found is None else found.unionByName(counts)
+    return found
+
+
+@query
+def dictionary_from_csv(spark, sf):
+    """The part dictionary as a CSV file with its header in another order and case, read by name."""
+    path = scratch_path(spark, "dictionary-csv")
+    parts = inputs.part_dictionary(spark, sf)
+    order = [*reversed(parts.columns)]
+    parts.select(*order).toDF(*[c.upper().replace("_", " ") if c == "tag_description" else c.upper() for c in order]).write.option(
+        "header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return dictionary_reader.read_dictionary(spark, path)
+
+
 @query
 def wide_export(spark, sf):
     grid = settle(inputs.event_grid(spark, sf, judged=True), "grid")  # the pivot first asks for the sensor ids
@@ -93,10 +145,10 @@ def wide_export(spark, sf):
 
 @query
 def combined_means_and_alarms(spark, sf):
-    rolled = inputs.event_rollup(spark, sf)
-    annotated = inputs.stable_mean(rollup.annotate(rolled))
-    return reshape.combine_means_and_alarms(
-        annotated.where("mean >= 20").drop("alarms"), annotated.where("alarms > 0").drop("mean"))
+    """Hourly means beside daily alarms, whole tables: most rows have one side only, midnights both."""
+    hourly = settle(inputs.event_rollup(spark, sf), "hourly")
+    daily = rollup.annotate(rollup.merge_rollup(hourly, "1 day"))
+    return rounded(reshape.combine_means_and_alarms(rollup.annotate(hourly).drop("alarms"), daily.drop("mean")), "mean")
 
 
 @query
@@ -279,7 +331,7 @@ def missing_summary(spark, sf):
 def gap_list(spark, sf):
     stored = settle(inputs.event_rollup(spark, sf, judged=False), "hourly")
     found = missing.missing_intervals(rollup.machine_grid(stored, EVENTS.orig_freq_s), EVENTS)
-    listed = missing.gap_list(found.where("n_buckets > 6"), stored)
+    listed = missing.gap_list(found, stored)
     one = F.expr("transform(gaps, g -> concat(date_format(g.gap_start, 'yyyy-MM-dd HH:mm:ss'), '..', "
                  "date_format(g.gap_end, 'yyyy-MM-dd HH:mm:ss')))")
     return listed.select("machine", "sensor", F.array_join(one, ";").alias("gaps"), "status")
@@ -370,6 +422,19 @@ def histogram(spark, sf):
     return rounded(bins, "bin_low", "bin_high")
 
 
+@query
+def histogram_dense(spark, sf):
+    """With the empty bins, as a chart shows them."""
+    bins = distribution.histogram(inputs.stored_event_series(spark, sf), dense=True)
+    return rounded(bins, "bin_low", "bin_high")
+
+
+@query
+def timestamp_order_unnumbered(spark, sf):
+    """Readings without an arrival number cannot be put in order: not assessable."""
+    return consistency.timestamp_order(inputs.line_readings(spark, sf))
+
+
 @query
 def kde(spark, sf):
     return rounded(distribution.density(inputs.stored_event_series(spark, sf)), "x", "density")
@@ -452,7 +517,7 @@ def decomposition_status(spark, sf):
 def quality_report(spark, sf):
     stored = inputs.stored_event_series(spark, sf).withColumnRenamed("ts", "bucket_start")
     report = reports.quality_report(
-        stored, inputs.event_dictionary(spark), EVENTS, inputs.event_readings(spark, sf))
+        stored, inputs.event_dictionary(spark), REPORTED, inputs.event_readings(spark, sf))
     return rounded(report, "value")
 
 
@@ -475,7 +540,7 @@ def load_report(spark, sf):
     wide = settle(reshape.rollup_to_wide(inputs.event_rollup(spark, sf)), "wide")
     loaded = reports.load_machine(wide, F.col("machine"), inputs.event_dictionary(spark), EVENTS)
     annotated = loaded.annotated.join(loaded.frequency, "machine")
-    tagged = annotated.join(loaded.tags.select(F.col("tag").alias("sensor"), "machine_group"), "sensor")
+    tagged = annotated.join(loaded.tags.select(F.col("tag").alias("sensor"), "machine_group"), "sensor", "left")
     return rounded(tagged.groupBy("machine", "machine_group", "freq_s", "agg_freq").agg(
         F.count(F.lit(1)).alias("cells"), F.count("mean").alias("points"), F.sum("alarms").alias("alarms"),
         F.avg("mean").alias("avg_mean")), "avg_mean")
@@ -520,9 +585,9 @@ def stream_gaps(spark, sf):
 
 @query
 def stream_first_readings(spark, sf):
-    """One reading per machine, sensor and hour: repeats within the hour count as copies."""
-    readings = inputs.event_stream(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
-    kept = jobs.drop_repeats(readings).select("machine", "sensor", "ts")
+    """Every reading sent twice, as by a feed that delivers at least once: each is kept once."""
+    once = inputs.event_stream(spark, sf)
+    kept = jobs.drop_repeats(once.unionByName(inputs.event_stream(spark, sf)))
     return zoneless(_appended(spark, kept, "stream-repeats"), "ts")
 
 
@@ -538,10 +603,11 @@ def stream_silent_buckets(spark, sf):
 @query
 def stream_quality_report(spark, sf):
     rolled = jobs.stream_rollup(inputs.event_stream(spark, sf), inputs.event_dictionary(spark))
+    rolled = rolled.withColumn("mean", round6(F.try_divide("sum_v", "n")))
     path = scratch_path(spark, "stream-report")
-    jobs.start_quality_watch(rolled, inputs.event_dictionary(spark), EVENTS, f"{path}/rollup",
+    jobs.start_quality_watch(rolled, inputs.event_dictionary(spark), REPORTED, f"{path}/rollup",
                              f"{path}/report", f"{path}/state").awaitTermination()
-    report = spark.read.parquet(f"{path}/report").where("check in ('general', 'missing', 'completeness')")
+    report = spark.read.parquet(f"{path}/report")
     # The first batch holds all given files; later ones only close windows.
     newest = report.groupBy("machine", "sensor", "check", "metric").agg(
         F.max_by(F.struct("value", "status"), "batch_id").alias("m"))

@@ -36,22 +36,31 @@ def duplicate_records(rows: DataFrame, columns: list[str], by: list[str] | None
 def duplicate_ticks(series: DataFrame, value: str = "mean") -> DataFrame:
     """Duplicate totals per machine where a record is all sensors' values of one tick.
 
-    An absent value equals NULL, so the sparse form of a rollup needs no grid.  An
-    order-free hash finds candidate ticks; only those are compared value by value.
+    An absent value equals NULL, so the sparse form of a rollup needs no grid.  Ticks with the same
+    two order-free hashes and number of values are one group; every tick of it is then compared, value
+    by value, with the group's first one.  Nothing but single cells and counts is shuffled.  Should two
+    records that differ share both hashes, the query fails rather than count them as copies.
     """
     by_tick = ["machine", "ts"]
     x = F.col(value) + F.lit(0.0)  # folds -0.0 into 0.0
-    # 0 stands for a tick without any value; the comparison below settles every doubt.
-    sig = F.coalesce(F.bit_xor(F.when(F.col(value).isNotNull(), F.xxhash64("sensor", x))), F.lit(0).cast("bigint"))
-    signed = series.groupBy(*by_tick).agg(sig.alias("sig"))
-    sizes = signed.groupBy("machine", "sig").agg(F.count(F.lit(1)).alias("c"))
-    candidates = salted_join(signed, sizes.where("c > 1").select("machine", "sig"), ["machine", "sig"], "ts",
-                             how="left_semi")
-    cell = F.when(F.col(value).isNotNull(), F.struct("sensor", x.alias("x")))
-    exact = (series.join(candidates.select(*by_tick), by_tick, "left_semi")
-             .groupBy(*by_tick).agg(F.array_sort(F.collect_list(cell)).alias("record"))
-             .groupBy("machine", "record").agg(F.count(F.lit(1)).alias("c")).select("machine", "c"))
-    return _duplicate_totals(sizes.where("c = 1").select("machine", "c").unionByName(exact), ["machine"])
+    cells = series.where(F.col(value).isNotNull()).select(*by_tick, "sensor", x.alias("x"))
+
+    def folded(*parts):
+        return F.coalesce(F.bit_xor(F.when(F.col(value).isNotNull(), F.xxhash64(*parts))), F.lit(0).cast("bigint"))
+
+    group = ["machine", "sig", "sig2", "cells"]
+    signed = series.groupBy(*by_tick).agg(
+        folded("sensor", x).alias("sig"), folded(x, "sensor", F.lit(2)).alias("sig2"), F.count(value).alias("cells"))
+    sizes = signed.groupBy(*group).agg(F.count(F.lit(1)).alias("c"), F.min("ts").alias("first_ts"))
+    copies = salted_join(signed, sizes.where("c > 1").drop("c"), group, "ts").where("ts > first_ts").select(*by_tick, "first_ts", "cells")
+    first = cells.select("machine", F.col("ts").alias("first_ts"), "sensor", F.col("x").alias("first_x"))
+    equal = (copies.where("cells > 0").join(cells, by_tick).join(first, ["machine", "first_ts", "sensor"], "left")
+             .groupBy(*by_tick, "cells").agg(F.count_if(F.col("x") == F.col("first_x")).alias("same")))
+    clashes = equal.groupBy("machine").agg(F.count_if(F.col("same") < F.col("cells")).alias("clashes"))
+    totals = _duplicate_totals(sizes.select("machine", "c"), ["machine"])
+    checked = totals.join(clashes, "machine", "left")
+    rows = F.when(F.col("clashes") > 0, F.raise_error(F.lit("records that differ share both hashes"))).otherwise(F.col("dup_rows"))
+    return checked.withColumn("dup_rows", rows.cast("bigint")).select(*totals.columns)
 
 
 def timestamp_order(readings: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:

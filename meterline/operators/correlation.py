@@ -74,16 +74,16 @@ def _block_sums():
     return kernel
 
 
-def correlation(series: DataFrame, value: str = "mean", time_slice: str = "90 days",
+def correlation(series: DataFrame, value: str = "mean", bucket: str = "1 hour", slice_ticks: int = 2160,
                 block_sensors: int = 256) -> DataFrame:
     """(machine, sensor_a, sensor_b, r, n_pairs), a before b, for pairs with a common tick.
 
     A blocked matrix product.  Sensors hash into blocks of about *block_sensors* and time into
-    slices, so a task holds two blocks of one slice whatever the machine's size, and
-    only six sums per pair and slice leave it.  r is NULL when either sensor is constant
+    slices of *slice_ticks* buckets, so a task holds two blocks of one slice whatever the machine's
+    size and however short the buckets, and only six sums per pair and slice leave it.  r is NULL when either sensor is constant
     over the common ticks.
     """
-    slice_s = duration_seconds(time_slice)
+    slice_s = duration_seconds(bucket) * slice_ticks
     rows = series.where(F.col(value).isNotNull()).select(
         "machine", "sensor", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("tick"),
         F.col(value).cast("double").alias("x"))

@@ -70,8 +70,9 @@ def density(series: DataFrame, value: str = "mean", points: int = 200) -> DataFr
     """(machine, sensor, point, x, density): Gaussian kernel estimate, Scott bandwidth.
 
     *points* evenly spaced places from the smallest to the largest value.  Equal values
-    fold into one weighted row first; each then adds to every place, and these partial
-    sums combine before the shuffle.  A sensor without spread gets NULL densities.
+    fold into one weighted row first; a task then sums the kernels of its rows of a sensor at all
+    places at once, and only these sums, *points* a sensor and batch, leave it.
+    A sensor without spread gets NULL densities.
     """
     values = series.where(F.col(value).isNotNull()).select(*KEYS, F.col(value).alias("v"))
     weighted = values.groupBy(*KEYS, "v").agg(F.count(F.lit(1)).alias("w"))
@@ -81,15 +82,32 @@ def density(series: DataFrame, value: str = "mean", points: int = 200) -> DataFr
     bandwidth = F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     stats = stats.select(*KEYS, "n", "x0", "x1", F.nullif(bandwidth, F.lit(0.0)).alias("bw"))
     place = F.col("x0") + F.col("point") * ((F.col("x1") - F.col("x0")) / (points - 1))
-    spread = (salted_join(weighted, stats, KEYS, "v")
-              .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-              .withColumn("x", place))
-    kernel = F.col("w") * F.exp(F.pow((F.col("x") - F.col("v")) / F.col("bw"), F.lit(2.0)) * -0.5)
-    return (spread.groupBy(*KEYS, "n", "bw", "point", "x").agg(F.sum(kernel).alias("k"))
+    joined = salted_join(weighted, stats, KEYS, "v").select(*KEYS, "v", "w", "n", "x0", "x1", "bw")
+    sums = (joined.where("bw IS NOT NULL").sortWithinPartitions(*KEYS)
+            .mapInPandas(_kernel_sums(points), "machine string, sensor string, point int, k double")
+            .groupBy(*KEYS, "point").agg(F.sum("k").alias("k")))
+    places = stats.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", place)
+    return (places.join(sums, [*KEYS, "point"], "left")
             .select(*KEYS, "point", "x",
                     (F.col("k") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density")))
 
 
+def _kernel_sums(points: int, rows: int = 1024):
+    """Weighted kernel sums at all places, per sensor of a batch; *rows* bounds the matrix in memory."""
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            for (machine, sensor, x0, x1, bw), own in frame.groupby([*KEYS, "x0", "x1", "bw"], sort=False):
+                x = x0 + np.arange(points) * ((x1 - x0) / (points - 1))
+                k, v, w = np.zeros(points), own["v"].to_numpy(), own["w"].to_numpy()
+                for i in range(0, len(v), rows):
+                    k += w[i:i + rows] @ np.exp(-0.5 * ((x[None, :] - v[i:i + rows, None]) / bw) ** 2)
+                yield pd.DataFrame({"machine": machine, "sensor": sensor, "point": np.arange(points, dtype="int32"), "k": k})
+    return run
+
+
 def _fenced(series: DataFrame, value: str, method: str) -> DataFrame:
     rows = series.where(F.col(value).isNotNull()).select(*KEYS, "ts", F.col(value).alias("value"))
     return salted_join(rows, iqr_fences(rows, "value", method), KEYS, "ts")

@@ -133,7 +133,7 @@ def quality_report(rolled: DataFrame, dictionary: DataFrame, config: QualityConf
         name: ("duplicates", F.col(name), F.when(F.col("dup_rows") > 0, "duplicates").otherwise(ok))
         for name in ("dup_rows", "dup_half", "dup_extra", "dup_pct")})
 
-    pairs = corr.strong_pairs(corr.correlation(series), config.strong_correlation)
+    pairs = corr.strong_pairs(corr.correlation(series, bucket=config.bucket), config.strong_correlation)
     pair_rows = pairs.select("machine", F.col("sensor_a").alias("sensor"), F.lit("correlation").alias("check"),
                              F.concat(F.lit("r:"), F.col("sensor_b")).alias("metric"),
                              F.col("r").alias("value"), F.lit("strong").alias("status"))
@@ -212,7 +212,7 @@ def explore(grid: DataFrame, dictionary: DataFrame, sensors: list[str] | None =
     return Exploration(
         describe=profile.describe(series),
         zscore=outliers.zscore_outliers(series, config.zscore_k),
-        correlation=corr.correlation(series),
+        correlation=corr.correlation(series, bucket=config.bucket),
         limits=timeseries.series_with_limits(series, dictionary, config.rolling_rows),
         histogram=distribution.histogram(series),
         density=distribution.density(series),

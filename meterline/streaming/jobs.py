@@ -7,10 +7,12 @@ batch that runs again after a failure replaces its own output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from meterline.functions import seconds_between
 from meterline.operators.rollup import rollup_measures, with_validity
 from meterline.schema import QualityConfig
 
@@ -44,24 +46,40 @@ def start_append(result: DataFrame, path: str, checkpoint: str, available_now: b
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _batch_writer(path: str):
+def _batch_writer(path: str, run: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        _write_log(batch, path, run, batch_id)
     return write
 
 
-def start_upsert(result: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Changed rows of every batch, one folder per batch; ``latest`` reads the current table."""
+def _write_log(batch: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """One batch of an upsert log, by day: later reads open the days they ask for only."""
+    (batch.withColumn("day", F.to_date("bucket_start")).write.mode("overwrite").partitionBy("day")
+     .parquet(f"{path}/run={run}/batch_id={batch_id}"))
+
+
+def start_upsert(result: DataFrame, path: str, checkpoint: str, available_now: bool = True, run: str = "0") -> StreamingQuery:
+    """Changed rows of every batch, one folder per batch and day; ``latest`` reads the current table.
+
+    Batch ids start anew with a new checkpoint: give such a start a greater *run* (a text that sorts
+    behind the earlier ones, such as a date), so that its rows win over those written before.
+    """
     writer = (result.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-              .foreachBatch(_batch_writer(path)))
+              .foreachBatch(_batch_writer(path, run)))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def latest(spark: SparkSession, path: str, keys: list[str] = BUCKET_KEYS) -> DataFrame:
-    """Current rows of an upsert folder: per key the one of the newest batch."""
+def latest(spark: SparkSession, path: str, keys: list[str] = BUCKET_KEYS, days: list | None = None) -> DataFrame:
+    """Current rows of an upsert folder: per key the one of the newest batch of the newest run.
+
+    With *days* (dates), only files of those days are read, however long the log has grown.
+    """
     log = spark.read.parquet(path)
-    measures = [c for c in log.columns if c not in (*keys, "batch_id")]
-    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*measures), "batch_id").alias("m"))
+    if days is not None:
+        log = log.where(F.col("day").isin(*days))
+    measures = [c for c in log.columns if c not in (*keys, "run", "batch_id", "day")]
+    age = F.struct(F.col("run").cast("string"), F.col("batch_id").cast("bigint"))
+    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*measures), age).alias("m"))
     return newest.select(*keys, "m.*")
 
 
@@ -83,7 +101,7 @@ def stream_gaps(readings: DataFrame, config: QualityConfig, lateness: str = "1 h
     """Runs of under-filled buckets, emitted once closed: (machine, sensor, gap_start, gap_end, n_buckets).
 
     A session merges bad buckets one bucket length apart.  Buckets without any reading make no
-    stream row; ``silent_buckets`` finds those from the closed rollup.
+    stream row: use ``start_gap_watch`` where sensors may fall silent.
     """
     timed = event_time(readings).withWatermark("ts", lateness)
     short = (
@@ -99,6 +117,59 @@ def stream_gaps(readings: DataFrame, config: QualityConfig, lateness: str = "1 h
     )
 
 
+def start_gap_watch(rolled: DataFrame, sensors: DataFrame, config: QualityConfig, path: str, checkpoint: str,
+                    available_now: bool = True) -> StreamingQuery:
+    """Under-filled and silent buckets of every expected sensor, as buckets close; ``closed_gaps`` reads the periods.
+
+    *rolled* is a stream rollup in append mode, *sensors* the expected (machine, sensor) rows: a sensor or a
+    whole machine that sends nothing has a row per closed bucket all the same.  Each batch looks at the buckets
+    between the last closed one before it and its own last one, so its cost does not grow with the job's age.
+    """
+    step = F.expr(f"INTERVAL {config.bucket}")
+
+    def watch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # The stateful plan runs once, for this write.
+        batch.write.mode("overwrite").parquet(f"{path}/closed/batch_id={batch_id}")
+        rows = spark.read.schema(batch.schema).parquet(f"{path}/closed/batch_id={batch_id}")
+        low, high = rows.agg(F.min("bucket_start"), F.max("bucket_start")).first()
+        if high is None:
+            return
+        if batch_id and (known := _frontier(spark, path, batch_id)) is not None:
+            low = known
+        start = F.lit(low) + step if batch_id and known is not None else F.lit(low)
+        expected = sensors.select(*KEYS).distinct().withColumn("bucket_start", F.explode(F.sequence(start, F.lit(high), step)))
+        short = (expected.join(rows.select(*BUCKET_KEYS, "n"), BUCKET_KEYS, "left")
+                 .where(F.coalesce("n", F.lit(0)) < config.agg_freq).select(*BUCKET_KEYS))
+        short.write.mode("overwrite").parquet(f"{path}/short/batch_id={batch_id}")
+        spark.range(1).select(F.lit(high).alias("closed_to")).write.mode("overwrite").parquet(f"{path}/frontier/batch_id={batch_id}")
+
+    writer = rolled.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(watch)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _frontier(spark: SparkSession, path: str, before: int | None = None):
+    """Start of the last closed bucket, of the batches before one if given; None if there is none."""
+    try:
+        told = spark.read.parquet(f"{path}/frontier")
+    except AnalysisException:  # nothing has closed yet
+        return None
+    return (told if before is None else told.where(F.col("batch_id") < before)).agg(F.max("closed_to")).first()[0]
+
+
+def closed_gaps(spark: SparkSession, path: str, config: QualityConfig) -> DataFrame:
+    """(machine, sensor, gap_start, gap_end, n_buckets): periods of short or silent buckets that have ended.
+
+    A period that reaches the last closed bucket may still grow and is left out.
+    """
+    short = spark.read.parquet(f"{path}/short").select(*BUCKET_KEYS).distinct()
+    order = Window.partitionBy(*KEYS).orderBy("bucket_start")
+    opens = F.when(seconds_between(F.lag("bucket_start").over(order), "bucket_start") <= config.bucket_s, 0).otherwise(1)
+    return (short.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order)).groupBy(*KEYS, "island")
+            .agg(F.min("bucket_start").alias("gap_start"), F.max("bucket_start").alias("gap_end"), F.count(F.lit(1)).alias("n_buckets"))
+            .where(F.col("gap_end") < F.lit(_frontier(spark, path))).drop("island"))
+
+
 def silent_buckets(closed: DataFrame, sensors: DataFrame) -> DataFrame:
     """(machine, sensor, bucket_start) where a known sensor sent nothing in a closed bucket of its machine.
 
@@ -117,8 +188,8 @@ def _start_watch(rolled: DataFrame, mode: str, check, table: str, path: str, che
     """
     def watch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-        rows = spark.read.schema(batch.schema).parquet(f"{table}/batch_id={batch_id}")
+        _write_log(batch, table, "0", batch_id)
+        rows = spark.read.schema(batch.schema).parquet(f"{table}/run=0/batch_id={batch_id}")
         if not rows.isEmpty():
             check(spark, rows).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -139,13 +210,15 @@ def start_quality_watch(rolled: DataFrame, dictionary: DataFrame, config: Qualit
 
     The upsert log at *table* grows by the batch first; the report then covers the current
     rows of the touched buckets, so a bucket that changes twice is judged on its full content.
+    Only the log files of the touched days are read.
     """
     from meterline.plans.reports import quality_report
     from meterline.session import settle
 
     def report(spark: SparkSession, rows: DataFrame) -> DataFrame:
         touched = rows.select("machine", "bucket_start").distinct()
-        current = latest(spark, table).join(touched, ["machine", "bucket_start"], "left_semi")
+        days = [r.day for r in rows.select(F.to_date("bucket_start").alias("day")).distinct().collect()]
+        current = latest(spark, table, days=days).join(touched, ["machine", "bucket_start"], "left_semi")
         return quality_report(settle(current, "touched"), dictionary, config)
 
     return _start_watch(rolled, "update", report, table, path, checkpoint, available_now)

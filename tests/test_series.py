@@ -86,8 +86,8 @@ def test_correlation_goldens(rows):
     assert correlation.strong_pairs(correlation.correlation(data)).select("sensor_a").collect()[0][0] == "b"
 
 
-@pytest.mark.parametrize("block,span", [(256, "90 days"), (2, "90 days"), (3, "2 hours"), (1, "7 hours")])
-def test_correlation_blocks_equal_pandas(rows, block, span):
+@pytest.mark.parametrize("block,ticks", [(256, 2160), (2, 2160), (3, 2), (1, 7)])
+def test_correlation_blocks_equal_pandas(rows, block, ticks):
     rng = np.random.default_rng(11)
     frame = pd.DataFrame(rng.normal(1e6, 1, size=(60, 7)), columns=list("gfedcba"))
     frame["b"] = frame["a"] * -2 + 5
@@ -95,8 +95,13 @@ def test_correlation_blocks_equal_pandas(rows, block, span):
     frame["flat"] = 3.3
     data = rows(SERIES, *[("m", s, at(i), i, None if np.isnan(v) else float(v))
                           for s in frame for i, v in enumerate(frame[s])])
-    got = pairs_of(correlation.correlation(data, time_slice=span, block_sensors=block))
+    got = pairs_of(correlation.correlation(data, slice_ticks=ticks, block_sensors=block))
     expected = frame.corr()
+    if block == 3:
+        minutes = data.withColumn("ts", F.expr("timestampadd(MINUTE, timestampdiff(HOUR, timestamp_ntz'2024-01-01', ts), timestamp_ntz'2024-01-01')"))
+        short = pairs_of(correlation.correlation(minutes, bucket="1 minute", slice_ticks=ticks, block_sensors=block))
+        assert all(n == got[k][1] and (r is None) == (got[k][0] is None) and (r is None or abs(r - got[k][0]) < 1e-9) for k, (r, n) in short.items())
+        assert set(short) == set(got)
     names = sorted(frame.columns)
     assert set(got) == {(a, b) for i, a in enumerate(names) for b in names[i + 1:]}
     for (a, b), (r, n) in got.items():

@@ -1,3 +1,4 @@
+import re
 from datetime import timedelta
 
 import pytest
@@ -83,6 +84,37 @@ def test_alarms_and_gaps(spark, place):
         (at(1), at(2), 2), (at(4), at(4), 1)]
 
 
+def test_gap_watch_sees_dead_sensors_and_machines(spark, place):
+    sensors = spark.sql("SELECT * FROM VALUES ('m', 's'), ('m', 't'), ('dead', 'u') AS x(machine, sensor)")
+    config = QualityConfig(orig_freq_s=1800)
+
+    def watch():
+        jobs.start_gap_watch(jobs.stream_rollup(stream(spark, f"{place}/in")), sensors, config, f"{place}/gaps", f"{place}/state").awaitTermination()
+
+    full = lambda sensor, *hours: [("m", sensor, h + k / 4, 1.0) for h in hours for k in range(2)]
+    feed(spark, f"{place}/in", "a", *full("s", 0, 1, 3, 4), *full("t", 0), ("m", "s", 6.0, 1.0))
+    watch()
+    feed(spark, f"{place}/in", "b", *full("s", 5, 6, 7, 8), *full("t", 6, 7, 8), ("m", "s", 12.0, 1.0))
+    watch()
+    got = found(jobs.closed_gaps(spark, f"{place}/gaps", config), "machine", "sensor", "gap_start", "gap_end", "n_buckets")
+    assert got == [("m", "s", at(2), at(2), 1), ("m", "t", at(1), at(5), 5)]  # the dead machine's period has not ended
+    short = spark.read.parquet(f"{place}/gaps/short")
+    assert short.where("machine = 'dead'").count() == 9
+
+
+def test_log_reads_touch_the_asked_days_and_the_newest_run_wins(spark, place):
+    for day in range(4):
+        feed(spark, f"{place}/in", f"d{day}", ("m", "s", 24 * day + 0.1, 1.0))
+    run(jobs.start_upsert, jobs.stream_rollup(stream(spark, f"{place}/in")), place)
+    whole, one = jobs.latest(spark, f"{place}/out"), jobs.latest(spark, f"{place}/out", days=[at(24).date()])
+    assert whole.count() == 4 and found(one, "bucket_start") == [(at(24),)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*day", plan)
+    anew = jobs.stream_rollup(stream(spark, f"{place}/in"))
+    jobs.start_upsert(anew.withColumn("sum_v", F.lit(5.0)), f"{place}/out", f"{place}/second", run="1").awaitTermination()
+    assert {r.sum_v for r in jobs.latest(spark, f"{place}/out").collect()} == {5.0}
+
+
 def test_silent_sensors(spark, place):
     feed(spark, f"{place}/in", "a", ("m", "s", 0.1, 1.0), ("m", "t", 0.1, 1.0), ("m", "s", 1.1, 1.0), ("m", "s", 9, 1.0))
     sensors = spark.sql("SELECT 'm' AS machine, explode(array('s', 't')) AS sensor")

@@ -429,6 +429,14 @@ SQL: dict[str, str] = {
         f"""SELECT machine, sensor, bucket_start AS ts, {r6('sum_v / n')} AS mean, n_invalid AS alarms
             FROM closed WHERE n_invalid >= 1""", "closed"),
     "stream_gaps": with_ctes(
+        """, front AS (SELECT min(bucket_start) AS lo, max(bucket_start) AS hi FROM closed),
+           cal AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS b, hi FROM front),
+           short AS (SELECT s.machine, s.sensor, b, hi FROM (SELECT DISTINCT machine, sensor FROM ev) s CROSS JOIN cal
+             LEFT JOIN closed c ON c.machine = s.machine AND c.sensor = s.sensor AND c.bucket_start = b WHERE coalesce(n, 0) < 2)
+           SELECT machine, sensor, min(b) AS gap_start, max(b) AS gap_end, count(*) AS n_buckets
+           FROM (SELECT *, epoch(b) // 3600 - row_number() OVER (PARTITION BY machine, sensor ORDER BY b) AS island FROM short)
+           GROUP BY machine, sensor, island, hi HAVING max(b) < hi""", "closed", "ev"),
+    "stream_short_buckets": with_ctes(
         """SELECT machine, sensor, min(bucket_start) AS gap_start, max(bucket_start) AS gap_end, count(*) AS n_buckets
            FROM (SELECT *, epoch(bucket_start) // 3600 - row_number() OVER (
              PARTITION BY machine, sensor ORDER BY bucket_start) AS island FROM closed WHERE n < 2), wm

@@ -466,7 +466,7 @@ def correlation_pivot(spark, sf):
 @query
 def correlation_cells(spark, sf):
     series = inputs.stored_line_series(spark, sf)
-    pairs = correlation.correlation(series, time_slice="2000 days")
+    pairs = correlation.correlation(series, bucket=LINES.bucket, slice_ticks=2000)
     return rounded(correlation.correlation_cells(pairs, series), "r")
 
 
@@ -579,8 +579,18 @@ def stream_alarms(spark, sf):
 
 @query
 def stream_gaps(spark, sf):
+    """Periods of short or silent buckets of every expected sensor, as the stream closes them."""
+    sensors = settle(inputs.event_readings(spark, sf).select("machine", "sensor").distinct(), "sensors")
+    path = scratch_path(spark, "stream-gaps")
+    jobs.start_gap_watch(jobs.stream_rollup(inputs.event_stream(spark, sf)), sensors, EVENTS, f"{path}/table", f"{path}/state").awaitTermination()
+    return zoneless(jobs.closed_gaps(spark, f"{path}/table", EVENTS), "gap_start", "gap_end")
+
+
+@query
+def stream_short_buckets(spark, sf):
+    """The light form: runs of under-filled buckets that had a reading, by session windows alone."""
     gaps = jobs.stream_gaps(inputs.event_stream(spark, sf), EVENTS)
-    return zoneless(_appended(spark, gaps, "stream-gaps"), "gap_start", "gap_end")
+    return zoneless(_appended(spark, gaps, "stream-short"), "gap_start", "gap_end")
 
 
 @query

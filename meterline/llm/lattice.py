@@ -159,7 +159,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, id_column: st
 
     Linked are vectors found with cosine >= *least*.  Equal vectors are one class, which is hashed once
     and counts as many links as it has members.  Vectors that are null, zero, hold null or non-finite
-    components, or are shorter than the longest link with nothing.  Rows that repeat an id are members
+    components, or are of another than the commonest dimension link with nothing.  Rows that repeat an id are members
     of their own but share n_links (the greatest) and component.  A null id comes back with no links.
     """
     good = usable(vectors, id_column, vector)

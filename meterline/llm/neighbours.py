@@ -151,7 +151,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_colum
     """(query_id, rank, vec_id, score): the *k* nearest found of each row whose id is divisible by *every*.
 
     Candidates are all rows but the query's own.  Vectors that are null, zero, hold null or non-finite
-    components, or are shorter than the longest take no part, nor do rows without an id; rows that
+    components, or are of another than the commonest dimension take no part, nor do rows without an id; rows that
     repeat an id are one candidate, the nearest of them.  With fewer than *k* candidates all are returned.
     """
     rows = settle(usable(vectors, id_column, vector), "rows")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(id, v) of the rows whose vector is of the table's greatest dimension, finite and not zero.
+    """(id, v) of the rows whose vector is finite, not zero and of the table's commonest dimension (the greater on a tie).
 
     v keeps single precision where the table has it, which halves what is shuffled; all arithmetic is in double.
     """
@@ -18,8 +18,8 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     found = (vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast(kind if kind == "array<float>" else "array<double>").alias("v"))
              .where(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)))
-    size = found.agg(F.max(F.size("v"))).first()[0] or 0
-    return found.where(F.size("v") == size)
+    common = found.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return found.where(F.size("v") == (common.size if common else 0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:

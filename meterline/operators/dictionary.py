@@ -16,8 +16,8 @@ UNIT_ALIASES = {"kgf/cm2": "kg/cm2"}
 def limits(dictionary: DataFrame) -> DataFrame:
     """One row per lower-cased tag with the numeric limits its type uses.
 
-    A repeated tag keeps its smallest row, so readings never multiply in a join;
-    ``metadata_lint`` reports the repetition.
+    A repeated tag keeps its smallest row, so readings never multiply in a join; if its rows
+    ask for different limits, none apply and its sensor is not assessed.  ``metadata_lint`` reports both.
     """
     low, high = limit_columns(
         F.expr("try_cast(low_threshold AS DOUBLE)"), F.expr("try_cast(high_threshold AS DOUBLE)"))
@@ -27,9 +27,16 @@ def limits(dictionary: DataFrame) -> DataFrame:
             F.lower("tag").alias("sensor"),
             F.struct("tag_description", "machine_group", "threshold_type", "aggregation_rule",
                      low.alias("low_limit"), high.alias("high_limit")).alias("d"))
-        .groupBy("sensor").agg(F.min("d").alias("d"))
+        .groupBy("sensor").agg(F.min("d").alias("d"), _conflict("d.low_limit", "d.high_limit").alias("conflict"))
     )
-    return picked.select("sensor", "d.*")
+    told = [F.col(f"d.{name}").alias(name) for name in ("tag_description", "machine_group", "threshold_type", "aggregation_rule")]
+    return picked.select("sensor", *told, *[F.when(~F.col("conflict"), F.col(f"d.{name}")).alias(name) for name in ("low_limit", "high_limit")])
+
+
+def _conflict(low, high):
+    """Aggregate: whether the rows of a tag ask for different limits."""
+    pair = F.struct(low, high)
+    return ~F.min(pair).eqNullSafe(F.max(pair))
 
 
 def present_tags(dictionary: DataFrame, sensors: DataFrame) -> DataFrame:
@@ -102,11 +109,14 @@ def _unit_issues(dictionary: DataFrame) -> DataFrame:
 
 
 def metadata_lint(dictionary: DataFrame) -> DataFrame:
-    """(sensor, issue): malformed, missing or inverted limits, repeated tags,
-    odd unit spellings, untrimmed text, sensors that cannot be assessed."""
+    """(sensor, issue): malformed, missing or inverted limits, repeated tags and such whose rows ask
+    for different limits, odd unit spellings, untrimmed text, sensors that cannot be assessed."""
+    low, high = limit_columns(
+        F.expr("try_cast(low_threshold AS DOUBLE)"), F.expr("try_cast(high_threshold AS DOUBLE)"))
+    issues = F.array(F.lit("duplicate_tag"), F.when(F.col("conflict"), F.lit("conflicting_limits")))
     repeated = (dictionary.groupBy(F.lower("tag").alias("sensor"))
-                .agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-                .select("sensor", F.lit("duplicate_tag").alias("issue")))
+                .agg(F.count(F.lit(1)).alias("uses"), _conflict(low, high).alias("conflict")).where("uses > 1")
+                .select("sensor", F.explode(F.array_compact(issues)).alias("issue")))
     return (_threshold_issues(dictionary).unionByName(_unit_issues(dictionary))
             .distinct().unionByName(repeated))
 

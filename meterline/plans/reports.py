@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,8 +202,14 @@ class Exploration:
     density: DataFrame
     box: DataFrame
     fliers: DataFrame
-    decomposition: DataFrame
     anomalies: DataFrame
+    series: DataFrame
+    season_period: int
+
+    @cached_property
+    def decomposition(self) -> DataFrame:
+        """Stores its first pass, so it is built when it is first asked for."""
+        return timeseries.seasonal_decompose(self.series, self.season_period)
 
 
 def explore(grid: DataFrame, dictionary: DataFrame, sensors: list[str] | None = None,
@@ -218,5 +225,4 @@ def explore(grid: DataFrame, dictionary: DataFrame, sensors: list[str] | None =
         density=distribution.density(series),
         box=distribution.box_stats(series),
         fliers=distribution.box_fliers(series),
-        decomposition=timeseries.seasonal_decompose(series, config.season_period),
-        anomalies=outliers.anomalies(series, config.anomaly_k))
+        anomalies=outliers.anomalies(series, config.anomaly_k), series=series, season_period=config.season_period)

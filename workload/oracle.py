@@ -194,22 +194,26 @@ SQL: dict[str, str] = {
            substr(s.sensor, 2) AS digits FROM (SELECT DISTINCT sensor FROM pr) s LEFT JOIN plim USING (sensor)""",
         "pr", "plim"),
     "metadata_lint": with_ctes(
-        """, twice AS (SELECT * FROM parts UNION ALL SELECT * FROM parts WHERE category = 'ECONOMY'),
+        """, twice AS (SELECT * FROM parts UNION ALL SELECT * REPLACE (CASE WHEN tag LIKE '%3' THEN '7' ELSE high_threshold END AS high_threshold)
+          FROM parts WHERE category = 'ECONOMY'),
         spelled AS (SELECT engineering_units AS unit, CASE lower(engineering_units) WHEN 'kgf/cm2' THEN 'kg/cm2'
           ELSE lower(engineering_units) END AS folded, count(*) AS uses FROM twice GROUP BY ALL),
         odd AS (SELECT unit FROM (SELECT unit, row_number() OVER (PARTITION BY folded ORDER BY uses DESC, unit) AS k
           FROM spelled) WHERE k > 1)
-        SELECT tag AS sensor, 'threshold_malformed' AS issue FROM parts WHERE low_threshold LIKE '%,%'
-        UNION ALL SELECT tag, 'low_threshold_missing' FROM parts
+        SELECT DISTINCT tag AS sensor, 'threshold_malformed' AS issue FROM twice WHERE low_threshold LIKE '%,%'
+        UNION ALL SELECT DISTINCT tag, 'low_threshold_missing' FROM twice
           WHERE threshold_type IN ('Down', 'Up/Down') AND low_threshold IS NULL
-        UNION ALL SELECT tag, 'high_threshold_missing' FROM parts
+        UNION ALL SELECT DISTINCT tag, 'high_threshold_missing' FROM twice
           WHERE threshold_type IN ('Up', 'Up/Down') AND high_threshold IS NULL
-        UNION ALL SELECT tag, 'low_above_high' FROM parts
+        UNION ALL SELECT DISTINCT tag, 'low_above_high' FROM twice
           WHERE TRY_CAST(low_threshold AS DOUBLE) > TRY_CAST(high_threshold AS DOUBLE)
-        UNION ALL SELECT tag, 'not_assessed' FROM parts WHERE threshold_type IS NULL
-        UNION ALL SELECT tag, 'untrimmed_text' FROM parts WHERE tag_description LIKE '% '
-        UNION ALL SELECT tag, 'unit_spelling' FROM parts WHERE engineering_units IN (SELECT unit FROM odd)
-        UNION ALL SELECT tag, 'duplicate_tag' FROM twice GROUP BY tag HAVING count(*) > 1""", "parts"),
+        UNION ALL SELECT DISTINCT tag, 'not_assessed' FROM twice WHERE threshold_type IS NULL
+        UNION ALL SELECT DISTINCT tag, 'untrimmed_text' FROM twice WHERE tag_description LIKE '% '
+        UNION ALL SELECT DISTINCT tag, 'unit_spelling' FROM twice WHERE engineering_units IN (SELECT unit FROM odd)
+        UNION ALL SELECT tag, 'duplicate_tag' FROM twice GROUP BY tag HAVING count(*) > 1
+        UNION ALL SELECT tag, 'conflicting_limits' FROM twice GROUP BY tag HAVING count(DISTINCT
+          coalesce(CASE WHEN threshold_type IN ('Down', 'Up/Down') THEN CAST(TRY_CAST(low_threshold AS DOUBLE) AS VARCHAR) END, '-') || '/' ||
+          coalesce(CASE WHEN threshold_type IN ('Up', 'Up/Down') THEN CAST(TRY_CAST(high_threshold AS DOUBLE) AS VARCHAR) END, '-')) > 1""", "parts"),
     "unmatched_sensors": with_ctes(
         """SELECT DISTINCT sensor, 'no_metadata' AS issue FROM pr WHERE sensor NOT IN (SELECT tag FROM parts)
            UNION ALL SELECT tag, 'no_data' FROM parts WHERE tag NOT IN (SELECT sensor FROM pr)""", "pr", "parts"),
@@ -417,6 +421,21 @@ SQL: dict[str, str] = {
             count(*) FILTER (mean < lo OR mean > hi) AS fliers,
             {r6('max(mean) FILTER (mean <= hi)')} AS high_whisker,
             count(*) FILTER (abs(mean - m) > s * 2) AS anomalies FROM fence GROUP BY machine, sensor""", "fence"),
+    "exploration_parts": with_ctes(
+        f""", lay AS ({LAYOUT}), p(machine, sensor, part, n_rows, total) AS (
+          SELECT machine, sensor, 'describe', 1, n FROM quart
+          UNION ALL SELECT machine, sensor, 'zscore', 1, count(*) FILTER (abs(mean - m) > s * 3) FROM fence GROUP BY machine, sensor
+          UNION ALL SELECT machine, sensor_a, 'correlation', count(*), sum(n_pairs) FROM pair GROUP BY machine, sensor_a
+          UNION ALL SELECT machine, sensor, 'limits', count(*), sum(mean) FROM grid GROUP BY machine, sensor
+          UNION ALL SELECT g.machine, g.sensor, 'histogram', count(DISTINCT greatest(0, least(nb - 1, floor((g.mean - low) / w)))), count(g.mean)
+            FROM grid g JOIN lay USING (machine, sensor) WHERE g.mean IS NOT NULL GROUP BY g.machine, g.sensor
+          UNION ALL SELECT machine, sensor, 'density', 200, 199 * 100 FROM quart
+          UNION ALL SELECT machine, sensor, 'box', 1, count(*) FILTER (mean < lo OR mean > hi) FROM fence GROUP BY machine, sensor
+          UNION ALL SELECT machine, sensor, 'fliers', count(*), sum(mean) FROM fence WHERE mean < lo OR mean > hi GROUP BY machine, sensor
+          UNION ALL SELECT machine, sensor, 'decomposition', count(*), NULL FROM grid GROUP BY machine, sensor
+          UNION ALL SELECT machine, sensor, 'anomalies', count(*), sum(mean) FROM fence WHERE abs(mean - m) > s * 2 GROUP BY machine, sensor)
+        SELECT machine, sensor, part, CAST(n_rows AS BIGINT) AS "rows", round(CAST(total AS DOUBLE), 3) AS total FROM p""",
+        "fence", "pair", "quart"),
     "load_report": with_ctes(
         f"""SELECT machine, machine_group, freq_s, freq_s // 1800 AS agg_freq, count(*) AS cells, count(mean) AS points,
             CAST(sum(n_invalid) AS BIGINT) AS alarms, {r6('avg(sum_v / nullif(n, 0))')} AS avg_mean

@@ -199,9 +199,11 @@ def sensor_labels(spark, sf):
 
 @query
 def metadata_lint(spark, sf):
-    # The same part listed again in lower case makes repeated tags.
+    # Parts listed again make repeated tags, some with another upper limit.
     parts = inputs.part_dictionary(spark, sf)
-    return dictionary.metadata_lint(parts.unionByName(parts.where("category = 'ECONOMY'")))
+    again = parts.where("category = 'ECONOMY'").withColumn(
+        "high_threshold", F.when(F.col("tag").like("%3"), "7").otherwise(F.col("high_threshold")))
+    return dictionary.metadata_lint(parts.unionByName(again))
 
 
 @query
@@ -534,6 +536,25 @@ def exploration_summary(spark, sf):
                    "p50", "high_whisker")
 
 
+@query
+def exploration_parts(spark, sf):
+    """Every part of the exploration page: rows and a total per sensor (its values are compared part by part elsewhere)."""
+    grid = settle(inputs.event_grid(spark, sf), "grid")
+    page = reports.explore(grid, inputs.event_dictionary(spark), config=EVENTS)
+    one, of = F.lit(1), {
+        "describe": (page.describe, "n"), "zscore": (page.zscore, "outliers"),
+        "correlation": (page.correlation.withColumnRenamed("sensor_a", "sensor"), "n_pairs"), "limits": (page.limits, "value"),
+        "histogram": (page.histogram, "count"), "density": (page.density, "point"), "box": (page.box, "fliers"),
+        "fliers": (page.fliers, "value"), "decomposition": (page.decomposition, "trend"), "anomalies": (page.anomalies, "value"),
+    }
+    parts = [part.groupBy("machine", "sensor").agg(F.count(one).alias("rows"), F.round(F.sum(total).cast("double"), 3).alias("total"))
+             .select("machine", "sensor", F.lit(name).alias("part"), "rows", "total") for name, (part, total) in of.items()]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 @query
 def load_report(spark, sf):
     """Wide machine table -> annotated long data with frequency, as the loading page prepares it."""

@@ -434,7 +434,7 @@ SQL: dict[str, str] = {
           UNION ALL SELECT machine, sensor, 'fliers', count(*), sum(mean) FROM fence WHERE mean < lo OR mean > hi GROUP BY machine, sensor
           UNION ALL SELECT machine, sensor, 'decomposition', count(*), NULL FROM grid GROUP BY machine, sensor
           UNION ALL SELECT machine, sensor, 'anomalies', count(*), sum(mean) FROM fence WHERE abs(mean - m) > s * 2 GROUP BY machine, sensor)
-        SELECT machine, sensor, part, CAST(n_rows AS BIGINT) AS "rows", round(CAST(total AS DOUBLE), 3) AS total FROM p""",
+        SELECT machine, sensor, part, CAST(n_rows AS BIGINT) AS "rows", {r6('CAST(total AS DOUBLE)')} AS total FROM p""",
         "fence", "pair", "quart"),
     "load_report": with_ctes(
         f"""SELECT machine, machine_group, freq_s, freq_s // 1800 AS agg_freq, count(*) AS cells, count(mean) AS points,

@@ -547,7 +547,7 @@ def exploration_parts(spark, sf):
         "histogram": (page.histogram, "count"), "density": (page.density, "point"), "box": (page.box, "fliers"),
         "fliers": (page.fliers, "value"), "decomposition": (page.decomposition, "trend"), "anomalies": (page.anomalies, "value"),
     }
-    parts = [part.groupBy("machine", "sensor").agg(F.count(one).alias("rows"), F.round(F.sum(total).cast("double"), 3).alias("total"))
+    parts = [part.groupBy("machine", "sensor").agg(F.count(one).alias("rows"), round6(F.sum(total).cast("double")).alias("total"))
              .select("machine", "sensor", F.lit(name).alias("part"), "rows", "total") for name, (part, total) in of.items()]
     found = parts[0]
     for part in parts[1:]:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from meterline.functions import seconds_between
 from meterline.operators.rollup import rollup_measures, with_validity
 from meterline.schema import QualityConfig
+from meterline.session import settle
 
 KEYS = ["machine", "sensor"]
 BUCKET_KEYS = [*KEYS, "bucket_start"]
@@ -88,6 +89,54 @@ def compact(spark: SparkSession, path: str, target: str, keys: list[str] = BUCKE
     latest(spark, path, keys).write.mode("overwrite").parquet(target)
 
 
+def fold_closed_days(spark: SparkSession, path: str, target: str, before, keys: list[str] = BUCKET_KEYS) -> int:
+    """Move the days before *before* (a date) from an upsert log into the table at *target*, by day; the number of days moved.
+
+    The table's day folders are written first and the log's files deleted after: a run that ends in between
+    is simply repeated, with the same result.  A day that comes again, with a newer run, replaces the rows it holds.
+    The days must be closed: the stream's watermark has passed them.
+    """
+    days = sorted(r.day for r in _log_days(spark, path) if r.day < before)
+    if not days:
+        return 0
+    rows = latest(spark, path, keys, days).withColumn("day", F.to_date("bucket_start"))
+    try:
+        stored = spark.read.parquet(target).where(F.col("day").isin(*days)).select(*rows.columns)
+        rows = rows.unionByName(stored.join(rows.select(*keys), keys, "left_anti"))
+    except AnalysisException:  # the first fold makes the table
+        pass
+    # Written elsewhere first, as a folder cannot be replaced while it is read.
+    (settle(rows, "folded").repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("day").parquet(target))
+    for day in days:
+        _delete_matching(spark, f"{path}/run=*/batch_id=*/day={day}")
+    return len(days)
+
+
+def folded(spark: SparkSession, path: str, target: str, keys: list[str] = BUCKET_KEYS) -> DataFrame:
+    """The current rows: those of the log, and the folded ones it does not hold."""
+    stored = spark.read.parquet(target).drop("day")
+    if not _log_days(spark, path):
+        return stored
+    newer = latest(spark, path, keys)
+    return newer.unionByName(stored.join(newer.select(*keys), keys, "left_anti").select(*newer.columns))
+
+
+def _log_days(spark: SparkSession, path: str) -> list:
+    """The days of an upsert log, from its folder names."""
+    try:
+        return spark.read.parquet(path).select("day").distinct().collect()
+    except AnalysisException:  # all of it is folded
+        return []
+
+
+def _delete_matching(spark: SparkSession, pattern: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.globStatus(where) or []:
+        files.delete(found.getPath(), True)
+
+
 def stream_alarms(readings: DataFrame, dictionary: DataFrame, bucket: str = "1 hour",
                   lateness: str = "1 hour", threshold: int = 1) -> DataFrame:
     """(machine, sensor, ts, mean, alarms) of buckets with *threshold* or more readings outside the limits."""
@@ -213,7 +262,6 @@ def start_quality_watch(rolled: DataFrame, dictionary: DataFrame, config: Qualit
     Only the log files of the touched days are read.
     """
     from meterline.plans.reports import quality_report
-    from meterline.session import settle
 
     def report(spark: SparkSession, rows: DataFrame) -> DataFrame:
         touched = rows.select("machine", "bucket_start").distinct()

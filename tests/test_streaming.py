@@ -115,6 +115,23 @@ def test_log_reads_touch_the_asked_days_and_the_newest_run_wins(spark, place):
     assert {r.sum_v for r in jobs.latest(spark, f"{place}/out").collect()} == {5.0}
 
 
+def test_closed_days_fold_into_the_table(spark, place):
+    for day in range(3):
+        feed(spark, f"{place}/in", f"d{day}", ("m", "s", 24 * day + 0.1, 1.0 + day), ("m", "t", 24 * day + 5.1, 2.0))
+    run(jobs.start_upsert, jobs.stream_rollup(stream(spark, f"{place}/in")), place)
+    before = found(jobs.latest(spark, f"{place}/out"), *MEASURES)
+    assert jobs.fold_closed_days(spark, f"{place}/out", f"{place}/table", at(48).date()) == 2
+    assert found(jobs.latest(spark, f"{place}/out"), "bucket_start") == [(at(48),), (at(53),)]
+    assert found(jobs.folded(spark, f"{place}/out", f"{place}/table"), *MEASURES) == before
+    assert jobs.fold_closed_days(spark, f"{place}/out", f"{place}/table", at(48).date()) == 0
+    # A day that comes again with a newer run replaces its rows only.
+    again = jobs.stream_rollup(stream(spark, f"{place}/in")).where("sensor = 's'").withColumn("sum_v", F.lit(9.0))
+    jobs.start_upsert(again, f"{place}/out", f"{place}/second", run="1").awaitTermination()
+    assert jobs.fold_closed_days(spark, f"{place}/out", f"{place}/table", at(96).date()) == 3
+    got = found(jobs.folded(spark, f"{place}/out", f"{place}/table"), "sensor", "bucket_start", "sum_v")
+    assert got == [("s", at(0), 9.0), ("s", at(24), 9.0), ("s", at(48), 9.0), ("t", at(5), 2.0), ("t", at(29), 2.0), ("t", at(53), 2.0)]
+
+
 def test_silent_sensors(spark, place):
     feed(spark, f"{place}/in", "a", ("m", "s", 0.1, 1.0), ("m", "t", 0.1, 1.0), ("m", "s", 1.1, 1.0), ("m", "s", 9, 1.0))
     sensors = spark.sql("SELECT 'm' AS machine, explode(array('s', 't')) AS sensor")

@@ -145,8 +145,10 @@ def repeated_spans(texts_: DataFrame, length: int = LENGTH, dealt: DataFrame | N
 
     cover = settle(texts_.mapInArrow(places, f"{_KEYS}, gram long, around long, first long, more long, back long"), "cover")
     # Grams that occur twice; combined before the shuffle, so a gram of all documents costs one row a task.
-    twice = cover.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("a0"), F.max("around").alias("a1")).where("n > 1")
-    ranked = settle(cover.join(twice.select("gram", (F.col("a0") != F.col("a1")).alias("several")), "gram"), "repeated")
+    # They are written before the join: with an exchange of its own on either side, Spark can split a hot gram.
+    twice = settle(cover.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("a0"), F.max("around").alias("a1"))
+                   .where("n > 1").select("gram", (F.col("a0") != F.col("a1")).alias("several")), "grams")
+    ranked = settle(cover.join(twice, "gram"), "repeated")
     place = F.struct("id", "version", "first", "more", "back")
     classes = ranked.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"), F.first("several").alias("several"))
     # A class of two or more: every window of it is repeated, whatever the other classes hold.

@@ -1,16 +1,17 @@
 """Text probabilities from a log-frequency Bloom filter.
 
 Counts of word pairs are quantised on a roughly logarithmic scale; a pair is put into the filter once
-for each step its count reaches, and a probe climbs the steps until one is missing.  The filter is
-cut into segments by the pair's hash: each is filled by the task that counted its pairs, and the
-whole, of bounded size, is broadcast to the workers that score.
+for each step its count reaches, and a probe climbs the steps until one is missing.  The filter is cut
+into segments by ranges of the pair's hash, as many as the corpus needs, and every pair is kept.  A
+segment is filled and probed by the task that its pairs meet in; no task or driver holds the whole.
 
 A token's probability mixes the pair's share of its context with the smoothed frequency of the word:
     weight * count(v, w) / count(v) + (1 - weight) * (count(w) + add) / (N + add * (V + 1)).
 Quantised counts never exceed the true ones, so the mixture sums to at most one, but for false hits.
 
-Word counts are exact: the most frequent words are broadcast (a bounded number), the others are
-joined.  Everything is counted over all training documents.
+Texts are gathered into chunks.  A chunk sends each of its distinct words and pairs once, with their
+counts in its training texts, to the segment of their hash, and gets the counts over all training
+texts back: exact ones for words, quantised ones for pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,18 +30,16 @@ from meterline.session import settle
 
 #: The end of a text as a token.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Count steps; a pair seen once is not kept.
-STEPS = np.array([2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 2048, 4096, 8192, 16384, 65536,
+#: Count steps.
+STEPS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 2048, 4096, 8192, 16384, 65536,
                   1 << 18, 1 << 20, 1 << 24, 1 << 28, 1 << 32, 1 << 40])
-#: Bounds on what is broadcast: bits of the filter (32 MB) and words with exact counts (16 bytes each).
-FILTER_BITS = 1 << 28
-HOT_WORDS = 1 << 20
 BITS_PER_ENTRY, PROBES = 10, 4
 WEIGHT = 0.15
 ADD = 0.1
-#: Tokens gathered by a task before it hands on, and tokens per segment.
-FLUSH, PER_SEGMENT = 4_000_000, 250_000
+#: Tokens in a chunk, unless a text has more, and tokens per segment.
+CHUNK, PER_SEGMENT = 500_000, 250_000
 _LOW40 = np.uint64((1 << 40) - 1)
+_WORDS, _PAIRS = 0, 1
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,39 +60,8 @@ def pair_keys(before: np.ndarray, every: np.ndarray) -> np.ndarray:
 
 
 def segments_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)
-
-
-class CountTable:
-    """Counts by 64-bit key in an open-addressed table, looked up for whole arrays; 0 where unknown."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.counts = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64)
-        keep = np.arange(len(keys))
-        slot = self._slot(keys)
-        while len(keep):
-            mine = keep[self.counts[slot[keep]] == 0]
-            self.keys[slot[mine]], self.counts[slot[mine]] = keys[mine], counts[mine]
-            # Of those that met in a free slot one has written last, key and count alike.
-            keep = keep[self.keys[slot[keep]] != keys[keep]]
-            slot[keep] = (slot[keep] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        found, out = self.keys[slot], self.counts[slot]
-        left = np.flatnonzero((found != keys) & (out > 0))
-        out[found != keys] = 0
-        while len(left):
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-            found, count = self.keys[slot[left]], self.counts[slot[left]]
-            hit = found == keys[left]
-            out[left[hit]] = count[hit]
-            left = left[~hit & (count > 0)]
-        return out
+    """Segment of each key, by ranges: sorted keys have sorted segments."""
+    return ((keys >> np.uint64(40)) * np.uint64(segments) >> np.uint64(24)).astype(np.int64)
 
 
 def _places(keys: np.ndarray, step: int, size: np.ndarray) -> list[np.ndarray]:
@@ -141,171 +108,142 @@ def filled_segment(keys: np.ndarray, steps: np.ndarray, lowest: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(token, c) over all tokens of *docs*."""
+def chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, train_tokens, ids, held_out, count, words, token): texts of *docs* (id, held_out, text), some in a row.
+
+    words are the sorted hashes of the distinct tokens, token the place of every token among them, packed.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
+        chunk = TaskContext.get().partitionId() << 40
+        waiting: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            found, count = np.unique(np.concatenate(waiting), return_counts=True)
-            return record(token=found.view(np.int64), c=count)
-
-        for _, texts in pieces(batches):
-            every = tokens(texts)[0]
-            waiting.append(every)
-            size += len(every)
-            if size >= FLUSH:
-                yield flush()
-                waiting, size = [], 0
-        if waiting:
-            yield flush()
+            every, count, ids, held = zip(*waiting)
+            words, token = np.unique(np.concatenate(every), return_inverse=True)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            count_, held_ = np.concatenate(count), pa.concat_arrays(held)
+            packed = pa.compress(token.astype("<u4").tobytes(), "zstd", asbytes=True)
+            return record(chunk=[chunk], train_tokens=[int(count_[~held_.to_numpy(zero_copy_only=False)].sum())], ids=one(pa.concat_arrays(ids)),
+                          held_out=one(held_), count=one(pa.array(count_)), words=pa.array([words.tobytes()], pa.binary()), token=pa.array([packed], pa.binary()))
 
-    return docs.mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
-def pair_counts(docs: DataFrame, segments: int) -> DataFrame:
-    """(segment, reach, keys, steps): the pairs seen twice or more; reach[i] of them reach step i."""
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            keys = np.concatenate(waiting)
-            segment = segments_of(keys, segments)
-            order = np.argsort(segment, kind="stable")
-            low = (keys[order] & _LOW40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            cut = np.flatnonzero(np.diff(segment[order], prepend=-1))
-            blobs = [low[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(keys)])]
-            return record(segment=segment[order][cut], blob=pa.array(blobs, pa.binary()))
-
-        for _, texts in pieces(batches):
-            every, before, _ = tokens(texts)
-            waiting.append(pair_keys(before, every))
+        for part, texts in pieces(batches):
+            every, _, count = tokens(texts)
+            waiting.append((every, count, part.column("id"), part.column("held_out")))
             size += len(every)
-            if size >= FLUSH:
+            if size >= CHUNK:
                 yield flush()
+                chunk += 1
                 waiting, size = [], 0
         if waiting:
             yield flush()
 
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        five = np.frombuffer(b"".join(rows.blob), np.uint8).reshape(-1, 5)
-        eight = np.zeros((len(five), 8), np.uint8)
-        eight[:, :5] = five
-        keys, times = np.unique(eight.view("<u8").ravel(), return_counts=True)
-        keep = times >= STEPS[0]
-        steps = (np.searchsorted(STEPS, times[keep], "right") - 1).astype(np.uint8)
-        reach = [int((steps >= i).sum()) for i in range(len(STEPS))]
-        return pd.DataFrame({"segment": [int(rows.segment.iat[0])], "reach": [reach], "keys": [keys[keep].tobytes()], "steps": [steps.tobytes()]})
+    return docs.mapInArrow(run, "chunk long, train_tokens long, ids array<long>, held_out array<boolean>, count array<long>, words binary, token binary")
 
-    return docs.mapInArrow(gather, "segment long, blob binary").groupBy("segment").applyInPandas(
-        count, "segment long, reach array<long>, keys binary, steps binary")
 
+def _unpacked(rows: pa.RecordBatch | pa.Table, i: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, held out, tokens per text, distinct words, place of every token among them, place of the one before it)."""
+    ids, held, count = (rows.column(n)[i].values for n in ("ids", "held_out", "count"))
+    count = count.to_numpy()
+    words = np.frombuffer(rows.column("words")[i].as_py(), np.uint64)
+    token = np.frombuffer(pa.decompress(rows.column("token")[i].as_py(), 4 * int(count.sum()), "zstd", asbytes=True), "<u4").astype(np.int64)
+    # Every text closes with the end, which therefore stands before the next.
+    return ids, held.to_numpy(zero_copy_only=False), count, words, token, np.concatenate([np.searchsorted(words, [END]), token[:-1]])
 
-def build_filter(pairs: DataFrame, segments: int, filter_bits: int = FILTER_BITS) -> LogFrequencyFilter:
-    """The filter of *pairs*, of at most *filter_bits* (and a byte a segment).
 
-    If the pairs of two or more need more bits, the lowest kept count rises, for all pairs alike, to
-    the least step at which they fit: the size of the broadcast is bounded whatever the corpus.
-    """
-    reach = [r[0] or 0 for r in pairs.select(F.posexplode("reach")).groupBy("pos").agg(F.sum("col").alias("n"), F.first("pos").alias("p")).orderBy("p").select("n").collect()]
-    entries = np.cumsum(np.array(reach[::-1], np.int64))[::-1] if reach else np.zeros(1, np.int64)
-    fitting = np.flatnonzero(entries * BITS_PER_ENTRY <= filter_bits)
-    lowest = int(fitting[0]) if len(fitting) else len(STEPS)
+def _five(keys: np.ndarray) -> np.ndarray:
+    return (keys & _LOW40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            bits = [filled_segment(np.frombuffer(k, np.uint64), np.frombuffer(s, np.uint8).astype(np.int64), lowest)
-                    for k, s in zip(rows.column("keys").to_pylist(), rows.column("steps").to_pylist())]
-            yield record(segment=rows.column("segment"), bits=pa.array(bits, pa.binary()))
 
-    found = {r.segment: r.bits for r in pairs.mapInArrow(fill, "segment long, bits binary").toLocalIterator()}
-    parts = [bytes(found.get(i, b"")) for i in range(segments)]
-    starts = np.concatenate([[0], np.cumsum([len(p) * 8 for p in parts], dtype=np.int64)])
-    return LogFrequencyFilter(starts, np.frombuffer(b"".join(parts), np.uint8), lowest)
+def _eight(blob: bytes) -> np.ndarray:
+    five = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :5] = five
+    return out.view("<u8").ravel()
 
 
-def _frequent(counts: DataFrame, hot_from: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the words counted *hot_from* times or more, sent as packed bytes."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def asked(chunks_: DataFrame, segments: int) -> DataFrame:
+    """(kind, segment, chunk, keys, counts): distinct words and pairs of each chunk, once each, with their counts in its training texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            yield record(keys=pa.array([rows.column("token").to_numpy().tobytes()], pa.binary()),
-                         counts=pa.array([rows.column("c").to_numpy().tobytes()], pa.binary()))
-
-    parts = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in
-             counts.where(F.col("c") >= hot_from).select("token", "c").mapInArrow(pack, "keys binary, counts binary").toLocalIterator()]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+            for i, chunk in enumerate(rows.column("chunk").to_pylist()):
+                _, held, count, words, token, before = _unpacked(rows, i)
+                train = np.repeat(~held, count)
+                keys, at = np.unique(pair_keys(words[before], words[token]), return_inverse=True)
+                for kind, own, place in ((_WORDS, words, token), (_PAIRS, keys, at)):
+                    times = np.bincount(place, train, len(own)).astype("<u4")
+                    low = _five(own) if kind == _PAIRS else own
+                    segment = segments_of(own, segments)
+                    cut = np.flatnonzero(np.diff(segment, prepend=-1))
+                    ranges = list(zip(cut.tolist(), [*cut[1:].tolist(), len(own)]))
+                    yield record(kind=np.full(len(cut), kind, np.int32), segment=segment[cut], chunk=np.full(len(cut), chunk, np.int64),
+                                 keys=pa.array([low[a:b].tobytes() for a, b in ranges], pa.binary()),
+                                 counts=pa.array([times[a:b].tobytes() for a, b in ranges], pa.binary()))
+
+    return chunks_.mapInArrow(run, "kind int, segment long, chunk long, keys binary, counts binary")
+
+
+def answered(asked_: DataFrame) -> DataFrame:
+    """(kind, segment, chunk, found, vocabulary): for the keys of each row of *asked_*, in order, the counts over all rows.
+
+    Words get exact counts (eight bytes), pairs the steps that the filter's segment shows (a byte, 0 for none).
+    The words of a segment that were counted at all add up in vocabulary.
+    """
+    def run(rows: pa.Table) -> pa.Table:
+        kind = rows.column("kind")[0].as_py()
+        blobs, counts = rows.column("keys").to_pylist(), rows.column("counts").to_pylist()
+        keys = np.frombuffer(b"".join(blobs), np.uint64) if kind == _WORDS else _eight(b"".join(blobs))
+        keys, at = np.unique(keys, return_inverse=True)
+        total = np.bincount(at, np.frombuffer(b"".join(counts), "<u4"), len(keys)).astype(np.int64)
+        if kind == _PAIRS:
+            some = total > 0
+            data = filled_segment(keys[some], np.searchsorted(STEPS, total[some], "right") - 1, 0)
+            seen = LogFrequencyFilter(np.array([0, len(data) * 8]), np.frombuffer(data, np.uint8), 0)
+            found = np.searchsorted(STEPS, seen.counts(keys), "right").astype(np.uint8)[at]
+        else:
+            found = total.astype("<i8")[at]
+        cut = np.cumsum([0, *[len(c) // 4 for c in counts]]).tolist()
+        vocabulary = np.zeros(len(blobs), np.int64)
+        vocabulary[0] = int((total > 0).sum()) if kind == _WORDS else 0
+        return pa.table({"kind": rows.column("kind"), "segment": rows.column("segment"), "chunk": rows.column("chunk"),
+                         "found": pa.array([found[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), "vocabulary": vocabulary})
+
+    return asked_.groupBy("kind", "segment").applyInArrow(run, "kind int, segment long, chunk long, found binary, vocabulary long")
 
 
 def train_and_score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", folds: int = 10,
-                    hot_words: int = HOT_WORDS, filter_bits: int = FILTER_BITS, weight: float = WEIGHT) -> DataFrame:
+                    hot_words: int | None = None, weight: float = WEIGHT) -> DataFrame:
     """Learn from the rows outside the held-out fold, score all rows.
 
     (id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of *docs*.  A
     null text is empty and has the end as its only token.  A null id is never held out.  Without
-    training tokens every probability is the smoothed one of an unknown word.
+    training tokens every probability is the smoothed one of an unknown word.  *hot_words* is taken
+    for older callers and changes nothing: no word or context is treated by its frequency.
     """
-    spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds == 0, F.lit(False))
     named = docs.select(F.col(id_column).cast("long").alias("id"), held.alias("held_out"), F.col(text).alias("text"))
-    training = named.where("NOT held_out").select("text")
-    counts = settle(word_counts(training), "words")
-    n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
+    stored = settle(chunks(named), "chunks")
+    n, every = stored.agg(F.sum("train_tokens"), F.sum(F.aggregate("count", F.lit(0).cast("long"), lambda a, b: a + b))).first()
     n = n or 0
-    # Words by count: as many of the most frequent counts as fit the bound.
-    by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("c")).limit(hot_words).collect()
-    room, hot_from = hot_words, 1
-    for row in by_count:
-        if row.words > room:
-            hot_from = row.c + 1
-            break
-        room -= row.words
-    hot_keys, hot_counts = _frequent(counts, hot_from)
-    segments = max(1, -(-n // PER_SEGMENT))
-    pairs = settle(pair_counts(training, segments), "pairs")
-    shared = spark.sparkContext.broadcast((
-        CountTable(hot_keys, hot_counts), build_filter(pairs, segments, filter_bits)))
-    bottom = n + ADD * (v + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for part, texts in pieces(batches):
-            every, before, count = tokens(texts)
-            owner = np.repeat(np.arange(len(texts)), count)
-            c = known.get(every)
-            context = known.get(before)
-            # A word that is not among the frequent ones has fewer than hot_from; more only lowers the share.
-            most = np.maximum(context, max(1, hot_from - 1))
-            pair = seen.counts(pair_keys(before, every))
-            # A pair cannot outnumber its context: such a count is a false hit of the filter.
-            share = weight * np.where(pair <= most, pair, 0) / most
-            frequency = (c + ADD) / bottom
-            # Words outside the broadcast are unknown only if the broadcast holds all words.
-            done = (c > 0) | (hot_from == 1)
-            sums = [np.bincount(owner[done], x[done], len(texts)) for x in
-                    (np.log10(frequency), np.log10(share + (1 - weight) * frequency), (c > 0).astype(float))]
-            rare = np.flatnonzero(~done)
-            cut = np.searchsorted(rare, np.concatenate([[0], np.cumsum(count)]))
-            yield record(
-                row=row + np.arange(len(texts)), id=part.column("id"), held_out=part.column("held_out"), n_tokens=count,
-                base=sums[0], mixed=sums[1], known=sums[2].astype(np.int64),
-                token=pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(every[rare].view(np.int64))),
-                share=pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(share[rare])))
-            row += len(texts)
-
-    scored = settle(named.mapInArrow(run, "row long, id long, held_out boolean, n_tokens long, base double, mixed double,"
-                                          " known long, token array<long>, share array<double>"), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("token", "share")).alias("t")).select("row", "t.token", "t.share")
-    c = F.coalesce("c", F.lit(0))
-    frequency = (c + F.lit(ADD)) / F.lit(float(bottom))
-    rest = rare.join(counts.where(F.col("c") < hot_from), "token", "left").groupBy("row").agg(
-        F.sum(F.log10(frequency)).alias("base2"), F.sum(F.log10(F.col("share") + F.lit(1 - weight) * frequency)).alias("mixed2"),
-        F.sum((c > 0).cast("long")).alias("known2"))
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return scored.drop("token", "share").join(rest, "row", "left").select(
-        F.col("id").alias(id_column), "held_out", "n_tokens", plus("known", "known2").alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"), plus("base", "base2").alias("base_score"), plus("mixed", "mixed2").alias("score"))
+    answers = settle(answered(asked(stored, max(1, -(-(every or 0) // PER_SEGMENT)))), "answers")
+    bottom = n + ADD * ((answers.agg(F.sum("vocabulary")).first()[0] or 0) + 1)
+
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by([("kind", "ascending"), ("segment", "ascending")])
+        blobs = {kind: b"".join(b for k, b in zip(found.column("kind").to_pylist(), found.column("found").to_pylist()) if k == kind) for kind in (_WORDS, _PAIRS)}
+        ids, held_out, count, words, token, before = _unpacked(chunk, 0)
+        c = np.frombuffer(blobs[_WORDS], "<i8")
+        at = np.unique(pair_keys(words[before], words[token]), return_inverse=True)[1]
+        pair = np.concatenate([[0], STEPS])[np.frombuffer(blobs[_PAIRS], np.uint8)][at]
+        context = c[before]
+        # A pair cannot outnumber its context or its word: what is above that is a false hit of the filter.
+        share = weight * np.minimum(np.minimum(pair, context), c[token]) / np.maximum(context, 1)
+        frequency = ((c + ADD) / bottom)[token]
+        owner = np.repeat(np.arange(len(count)), count)
+        base, mixed, known = [np.bincount(owner, x, len(count)) for x in (
+            np.log10(frequency), np.log10(share + (1 - weight) * frequency), c[token] > 0)]
+        return pa.table({id_column: ids, "held_out": held_out, "n_tokens": count, "n_known": known.astype(np.int64),
+                         "train_tokens": np.full(len(count), n, np.int64), "base_score": base, "score": mixed})
+
+    return stored.groupBy("chunk").cogroup(answers.select("chunk", "kind", "segment", "found").groupBy("chunk")).applyInArrow(
+        run, f"`{id_column}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

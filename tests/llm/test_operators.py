@@ -151,6 +151,30 @@ def test_language_model(spark, hot_words):
     assert language_model.train_and_score(docs.limit(0)).count() == 0
 
 
+def near_score(spark, rows, **options):
+    """(score, expected score) of each row: pairs by their step, contexts and words by their counts."""
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    out = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in rows}
+    tokens = {k: [*t.split(), None] for k, t in rows.items()}
+    counts, pairs = Counter(), Counter()
+    for k, t in tokens.items():
+        if not out[k]:
+            counts.update(t)
+            pairs.update(zip([None, *t], t))
+    n, v = sum(counts.values()), len(counts)
+    for r in language_model.train_and_score(docs, **options).collect():
+        t = tokens[r.doc_id]
+        share = [0.15 * max([s for s in (1, *language_model.STEPS.tolist()) if s <= pairs[p]], default=0) / max(1, counts[p[0]]) for p in zip([None, *t], t)]
+        yield r.score, sum(math.log10(s + 0.85 * (counts[w] + 0.1) / (n + 0.1 * (v + 1))) for s, w in zip(share, t))
+
+
+def test_language_model_keeps_pairs_seen_once(spark):
+    found = list(near_score(spark, {i: " ".join(f"w{i}x{j}" for j in range(30)) + " the of" * (i % 3) for i in range(100)}))
+    # A false hit of the filter can only raise a probability.
+    assert all(got >= least - 1e-9 for got, least in found)
+    assert sum(got <= least + 0.5 for got, least in found) >= 90
+
+
 def test_filter_is_bounded_and_keeps_the_frequent():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))

@@ -175,6 +175,14 @@ def test_language_model_keeps_pairs_seen_once(spark):
     assert sum(got <= least + 0.5 for got, least in found) >= 90
 
 
+def test_language_model_counts_rare_contexts_exactly(spark):
+    """Each word is followed by the same one: a share of one, whatever the number of frequent words."""
+    rows = {i: " ".join(f"w{i % 20}x{j}" for j in range(40)) + " the of to and" * 30 for i in range(100)}
+    found = list(near_score(spark, rows, hot_words=5))
+    assert all(got >= least - 1e-9 for got, least in found)
+    assert sum(got <= least + 0.5 for got, least in found) >= 90
+
+
 def test_filter_is_bounded_and_keeps_the_frequent():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))

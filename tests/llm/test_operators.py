@@ -183,6 +183,17 @@ def test_language_model_counts_rare_contexts_exactly(spark):
     assert sum(got <= least + 0.5 for got, least in found) >= 90
 
 
+def test_language_model_sends_a_hot_pair_once_a_chunk(spark):
+    docs = spark.createDataFrame([(i, False, "again and " * 5000) for i in range(40)], "id long, held_out boolean, text string")
+    chunks = language_model.chunks(docs).cache()
+    asked = language_model.asked(chunks, 8).cache()
+    n = chunks.count()
+    # END, "again", "and" of eight bytes; the end and first word, the two ways round and the last word and end of five.
+    assert asked.selectExpr("sum(length(keys))").first()[0] == n * (3 * 8 + 4 * 5)
+    top = asked.where("kind = 1").selectExpr("segment", "counts").collect()
+    assert sum(int(np.frombuffer(r.counts, "<u4").sum()) for r in top) == 40 * 10001
+
+
 def test_filter_is_bounded_and_keeps_the_frequent():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))

@@ -13,6 +13,10 @@ bounded block at a time: the suffixes that start at the cover places are ranked
 prefixes, and so are the (short, less than a period) stretches before them, read backwards.  A window d
 bytes before its cover place then has its ties resolved by two precomputed ranks, for every d, without
 ever comparing 400 bytes again.
+
+Hot buckets.  A bucket of more classes than one task should sort is compared by hashes, which are counted
+before they are shuffled: first the bytes that windows of neighbouring distances share, then the windows
+one by one where those bytes occur twice.  So no task holds a bucket, however many rows it has.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ from meterline.llm.words import Prefixes, joined_bytes, mix
 from meterline.session import settle
 
 LENGTH = 400
-#: Classes in a block of suffix buckets, and the size from which one bucket is split by its surroundings.
-BLOCK, HOT = 8192, 50_000
+#: Classes in a block of suffix buckets, the size from which the windows of one bucket are hashed instead, and the
+#: distances that such windows are first compared by together.
+BLOCK, HOT, STRIP = 8192, 50_000, 16
 
 
 def _gram(length: int) -> int:
@@ -128,7 +133,52 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 _KEYS = "id long, version long"
-_PLACE = "gram: bigint, around: bigint, first: bigint, more: bigint, back: bigint"
+_PLACE_KEYS = ["id", "version", "at"]
+
+
+def _twice(strips: DataFrame, name: str) -> DataFrame:
+    """Rows of *strips* whose (bucket, lo, key) occurs twice; as for grams, both sides are written, so that a hot key can be split."""
+    keys = ["bucket", "lo", "key"]
+    stored = settle(strips, name)
+    many = settle(stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys), f"{name}-twice")
+    return stored.join(many, keys).select(*_PLACE_KEYS, "lo")
+
+
+def _hashed_windows(rows: DataFrame, length: int) -> DataFrame:
+    """(id, version, start, stop): windows of *rows* that equal one of another row of their bucket, found without gathering a bucket."""
+    strip = min(STRIP, length)
+
+    def hashed(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for begin in range(0, whole.num_rows, 2048):
+                    part = whole.slice(begin, 2048)
+                    left, right = part.column("left").to_pylist(), part.column("right").to_pylist()
+                    far = np.array([len(x) for x in left], np.int64)
+                    size = far + np.array([len(x) for x in right], np.int64)
+                    place = np.cumsum(size) - size + far
+                    prefixes = Prefixes(np.frombuffer(b"".join(x for two in zip(left, right) for x in two), np.uint8))
+                    # Strips are aligned, so rows agree on them; a strip may reach over either end of a row's distances.
+                    low = part.column("near").to_numpy() // width
+                    if "strips" in part.schema.names:
+                        given = part.column("strips").to_pylist()
+                        row = np.repeat(np.arange(len(far)), [len(g) for g in given])
+                        lo = (np.array([x for g in given for x in g], np.int64)[:, None] + np.arange(strip)).ravel()
+                        row = np.repeat(row, strip)
+                        inside = (lo >= part.column("near").to_numpy()[row]) & (lo <= far[row])
+                        row, lo = row[inside], lo[inside]
+                    else:
+                        n = far // width - low + 1
+                        row = np.repeat(np.arange(len(far)), n)
+                        lo = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]) * width
+                    key = prefixes.of(place[row] - lo, place[row] - lo - (width - 1) + length)
+                    yield record(**{c: part.column(c).take(pa.array(row)) for c in ("id", "version", "at", "bucket")}, lo=lo, key=key.view(np.int64))
+        return run
+
+    schema = f"{_KEYS}, at long, bucket long, lo long, key long"
+    strips = _twice(rows.mapInArrow(hashed(strip), schema), "strips").groupBy(*_PLACE_KEYS).agg(F.collect_list("lo").alias("strips"))
+    windows = _twice(rows.join(strips, _PLACE_KEYS).mapInArrow(hashed(1), schema), "windows")
+    return windows.select("id", "version", (F.col("at") - F.col("lo")).alias("start"), (F.col("at") - F.col("lo") + length).alias("stop"))
 
 
 def repeated_spans(texts_: DataFrame, length: int = LENGTH, dealt: DataFrame | None = None) -> DataFrame:
@@ -163,32 +213,24 @@ def repeated_spans(texts_: DataFrame, length: int = LENGTH, dealt: DataFrame | N
     listed = chosen.groupBy("id", "version").agg(F.collect_list(F.struct("gram", "around", "n", "first", "more", "back", "hot")).alias("places"))
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = _gram(length)
-        half = (length - k + 1) // 2
         for rows, texts in pieces(batches):
             out: list[tuple] = []
             for key, version, places_, text in zip(rows.column("id").to_pylist(), rows.column("version").to_pylist(), rows.column("places").to_pylist(), texts):
                 data = text.encode("utf-8", "replace")
                 for p in places_:
                     at, stop = p["first"] + p["back"], p["first"] + p["more"] + length
-                    parts = [(p["gram"], p["back"] - p["more"], data[p["first"]:at], data[at:stop])]
-                    if p["hot"]:
-                        # Windows that begin half a period before the place or earlier share the bytes there,
-                        # the others share as many behind it: two buckets in place of a hot one.
-                        bucket, near, left, right = parts.pop()
-                        if len(left) >= half:
-                            parts.append((_digest(bucket, b"<" + left[-half:]), max(near, half), left, right[:length - max(near, half)]))
-                        if near < half:
-                            parts.append((_digest(bucket, b">" + right[:length - half + 1]), near, left[-(half - 1):] if half > 1 else b"", right))
-                    out.extend((key, version, p["n"], at, *part) for part in parts)
+                    out.append((key, version, p["hot"], at, p["gram"], p["back"] - p["more"], data[p["first"]:at], data[at:stop]))
             columns = list(zip(*out)) if out else [[]] * 8
             yield record(**{n: pa.array(c, t) for n, c, t in zip(
-                ("id", "version", "n", "at", "bucket", "near", "left", "right"), columns,
-                (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
+                ("id", "version", "hot", "at", "bucket", "near", "left", "right"), columns,
+                (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
 
     # The texts are dealt by their key once; the last step of the caller reads the same exchange.
     bytes_ = (texts_ if dealt is None else dealt).join(listed, ["id", "version"]).mapInArrow(
-        surroundings, f"{_KEYS}, n long, at long, bucket long, near long, left binary, right binary")
+        surroundings, f"{_KEYS}, hot boolean, at long, bucket long, near long, left binary, right binary")
+    any_hot = chosen.where("hot").limit(1).count() > 0
+    if any_hot:
+        bytes_ = settle(bytes_, "surroundings")
 
     def sort_block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bucket", "id", "version", "at"], ignore_index=True)
@@ -197,17 +239,15 @@ def repeated_spans(texts_: DataFrame, length: int = LENGTH, dealt: DataFrame | N
         return pd.DataFrame(out, columns=["id", "version", "at", "a", "b"], dtype="int64")
 
     # Distances a to b - 1 before the place: windows from at - b + 1 to at - a.
-    single = (bytes_.withColumn("block", F.pmod(F.xxhash64("bucket"), F.lit(blocks))).groupBy("block")
+    single = (bytes_.where("NOT hot").drop("hot").withColumn("block", F.pmod(F.xxhash64("bucket"), F.lit(blocks))).groupBy("block")
               .applyInPandas(sort_block, f"{_KEYS}, at long, a long, b long")
               .select("id", "version", (F.col("at") - F.col("b") + 1).alias("start"), (F.col("at") - F.col("a") + length).alias("stop")))
+    if any_hot:
+        single = single.union(_hashed_windows(bytes_.where("hot"), length))
     return whole.union(single).groupBy("id", "version").agg(
         F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
-def _digest(bucket: int, data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=bucket.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-
-
 def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, version, text) of *docs*: null texts are empty."""
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -116,6 +116,23 @@ def test_substrings_equal_brute_force(spark, monkeypatch, length, hot):
     assert sorted(tuple(r) for r in substrings.removal_digests(docs, length).collect()) == removal(rows, length)
 
 
+def test_substrings_never_sort_a_hot_bucket(spark, monkeypatch):
+    """A passage of all documents with different text on either side of it: one class a document at each edge."""
+    plain = substrings.repeated_windows
+
+    def bounded(bucket, *rest):
+        assert np.unique(bucket, return_counts=True)[1].max() <= 20
+        return plain(bucket, *rest)
+    monkeypatch.setattr(substrings, "HOT", 20)
+    monkeypatch.setattr(substrings, "repeated_windows", bounded)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(160)
+    rows = [(i, text(rng.randint(0, 90)) + passage + text(rng.randint(0, 90))) for i in range(80)] + [(200, None), (201, text(100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in substrings.removal_digests(docs, 60).collect()) == removal(rows, 60)
+
+
 def test_texts_without_repeats(spark):
     passage = "Überall steht derselbe Absatz, lang genug, um aufzufallen. " * 2
     rows = [(1, "ä1-" + passage + " é", "u"), (2, passage, "v"), (3, "short", "w"), (4, None, "x")]

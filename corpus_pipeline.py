@@ -28,11 +28,16 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; of rows that repeat an id, one.  A null id stays."""
-    found = minhash.near_duplicates(docs, threshold=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.union(kept.where("doc_id IS NULL"))
+    """One document of each group of near duplicates: of the least id, a null id last.
+
+    A row is known by its id and text together: of rows that repeat both one stays, different texts
+    of one id are documents of their own, and so are texts without an id.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = minhash.near_duplicates(keyed, threshold=80, id_column="__key").select("__key", "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")
+    best = keyed.select("__key", "doc_id").join(found, "__key").groupBy("component_id").agg(first).select(F.col("first.__key").alias("__key"))
+    return keyed.join(best, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

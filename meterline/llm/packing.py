@@ -112,15 +112,16 @@ def near_equal_windows(lengths: list[int], capacity: int) -> list[list[int]]:
 def pack(pieces_table: DataFrame, capacity: int = 1024, block: int = BLOCK, id_column: str = "doc_id") -> DataFrame:
     """Adds sequence_id and offset to pieces of length 1 to *capacity*.
 
-    A full piece is a sequence of its own.  The others are dealt by a hash of (id, start) into blocks
-    of about *block* pieces, so neither a long document nor a hot source makes a large block.  Rows that
-    repeat an id are packed as pieces of their own.  An empty table gives an empty one.
+    A full piece is a sequence of its own.  The others are dealt by a hash of (id, start), their content
+    and a number written with each row into blocks of about *block* pieces, so neither a long document nor
+    a hot source nor rows without an id make a large block.  Rows that repeat an id are packed as pieces of
+    their own.  An empty table gives an empty one.
     """
     kept = pieces_table.columns
-    stored = settle(pieces_table, "pieces")
+    stored = settle(pieces_table.withColumn("__salt", F.monotonically_increasing_id()), "pieces")
     small = stored.where(F.col("length") < capacity).count()
     blocks = max(1, -(-small // block))
-    dealt = stored.withColumn("block", F.pmod(F.xxhash64(id_column, "start"), F.lit(blocks)))
+    dealt = stored.withColumn("block", F.pmod(F.xxhash64(id_column, "start", "ids_crc32", "__salt"), F.lit(blocks)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([id_column, "start", "ids_crc32"], ignore_index=True)
@@ -136,7 +137,7 @@ def pack(pieces_table: DataFrame, capacity: int = 1024, block: int = BLOCK, id_c
             offset[own] = np.cumsum(lengths[own]) - lengths[own]
         return rows[kept].assign(sequence_id=sequence, offset=offset)
 
-    schema = stored.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
+    schema = stored.drop("__salt").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
     return dealt.groupBy("block").applyInPandas(run, schema)
 
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -96,3 +97,11 @@ def test_words_and_shingles():
     sets = shingles(*hashed_words(["a b c d e f", "b c d e f", "a b c", "", "a b c d e f a b c d e f"]))
     assert [len(s) for s in sets] == [2, 1, 1, 0, 6]
     assert set(sets[1]) < set(sets[0]) and set(sets[0]) < set(sets[4])
+
+
+@pytest.mark.parametrize("key", ["null", "5"])
+def test_packing_blocks_stay_small_without_ids(spark, key):
+    pieces = spark.range(600).selectExpr(f"cast({key} as long) AS doc_id", "0L AS start", "id % 7 + 1 AS length", "id % 3 AS ids_crc32", "id AS doc_tokens")
+    rows = packing.pack(pieces, 64, block=20).collect()
+    assert sorted(r.doc_tokens for r in rows) == list(range(600))
+    assert max(Counter(r.sequence_id // packing.PER_BLOCK for r in rows).values()) <= 60

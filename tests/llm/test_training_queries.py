@@ -43,3 +43,10 @@ def test_pipeline_stages_on_odd_tables(spark):
         assert stage(spark, odd.limit(0), SF).count() == 0
         stage(spark, odd, SF).collect()
     assert sorted(str(r.doc_id) for r in corpus_pipeline.distinct(spark, odd, SF).collect()) == ["1", "2", "None"]
+
+
+def test_distinct_tells_rows_apart_by_id_and_text(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    docs = spark.createDataFrame([(7, one), (7, two), (7, two), (8, two), (None, three), (None, three), (None, one), (3, "")], "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(7, one), (7, two), (None, three), (3, "")], key=str)

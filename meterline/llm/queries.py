@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import bpe, dialogues, language_model, lattice, licences, minhash, neighbours, packing, quality, substrings
+from meterline.llm import bpe, dialogues, divergence, infill, language_model, lattice, licences, minhash, neighbours, packing, quality, substrings, urls
 from meterline.llm.tables import table, vocabulary
 
 
@@ -53,6 +53,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(files)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.listed_domains(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
     "op2_perspectives": op2_perspectives,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_minhash": op9_minhash,
     "op10_licences": op10_licences,
+    "op11_divergence": op11_divergence,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_url_cascade": op13_url_cascade,
 }
 
 #: Components by plain reachability over links (u, v), both ways, of "nodes".
@@ -105,4 +120,7 @@ SQL: dict[str, str] = {
     "op2_perspectives": dialogues.SQL,
     "op9_minhash": _OP9_SQL,
     "op10_licences": licences.SQL,
+    "op11_divergence": divergence.SQL,
+    "op12_fill_in_middle": infill.SQL,
+    "op13_url_cascade": urls.SQL,
 }

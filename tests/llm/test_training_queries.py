@@ -12,7 +12,7 @@ from tests.test_queries import plain
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "conversations", "embeddings"):
+    for table in ("documents", "conversations", "embeddings", "pages"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = QUERIES[name](spark, SF)
     cursor = connection.execute(SQL[name])

@@ -1,4 +1,4 @@
-"""Duplicates, timestamp order and bucket frequency."""
+"""Duplicates, timestamp order (from `arrival`) and bucket frequency."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from meterline.functions import salted_join, seconds_between
+from meterline.operators.arrival import timestamp_order, with_stored_order
 from meterline.operators.rollup import tick_frequency
 
+__all__ = ["duplicate_records", "duplicate_ticks", "infer_frequency", "time_steps", "timestamp_order", "with_stored_order"]
+
 
 def _duplicate_totals(groups: DataFrame, by: list[str]) -> DataFrame:
     """Totals from group sizes ``c``."""
@@ -63,37 +66,6 @@ def duplicate_ticks(series: DataFrame, value: str = "mean") -> DataFrame:
     return checked.withColumn("dup_rows", rows.cast("bigint")).select(*totals.columns)
 
 
-def timestamp_order(readings: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
-    """Per machine: rows whose timestamp is before (or equal to) that of the row that arrived before.
-
-    Arrival order is ``ingest_seq``.  Neighbours are compared inside runs of
-    *chunk_rows* sequence numbers; runs are then compared by their end points only.
-    Rows without a timestamp stand in nobody's way: they are counted in total_rows and skipped.
-    A machine with rows that lack a sequence number has no order: its status is ``not_assessable``
-    and the counts of steps are NULL.
-    """
-    chunk = F.expr(f"ingest_seq div {int(chunk_rows)}")
-    inside = Window.partitionBy("machine", "chunk").orderBy("ingest_seq")
-    every = readings.groupBy("machine").agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("ingest_seq").isNull()).alias("unnumbered"))
-    stepped = (readings.where("ingest_seq IS NOT NULL AND ts IS NOT NULL").select("machine", "ts", "ingest_seq", chunk.alias("chunk"))
-               .withColumn("prev", F.lag("ts").over(inside)))
-    runs = stepped.groupBy("machine", "chunk").agg(
-        F.count_if(F.col("ts") < F.col("prev")).alias("backward"),
-        F.count_if(F.col("ts") == F.col("prev")).alias("equal"),
-        F.min_by("ts", "ingest_seq").alias("first_ts"), F.max_by("ts", "ingest_seq").alias("last_ts"))
-    across = Window.partitionBy("machine").orderBy("chunk")
-    seams = runs.withColumn("prev_last", F.lag("last_ts").over(across))
-    totals = seams.groupBy("machine").agg(
-        (F.sum("backward") + F.count_if(F.col("first_ts") < F.col("prev_last"))).alias("n_backward"),
-        (F.sum("equal") + F.count_if(F.col("first_ts") == F.col("prev_last"))).alias("n_equal"))
-    known = F.col("unnumbered") == 0
-    counted = [F.when(known, F.coalesce(c, F.lit(0).cast("bigint"))).alias(c) for c in ("n_backward", "n_equal")]
-    return (every.join(totals, "machine", "left").select("machine", "total_rows", *counted)
-            .withColumn("monotonic", F.col("n_backward") == 0)
-            .withColumn("status", F.when(F.col("monotonic").isNull(), "not_assessable").when(F.col("monotonic"), "ok").otherwise("out_of_order")))
-
-
 def time_steps(tick_rows: DataFrame) -> DataFrame:
     """(machine, ts, step_s): seconds since the machine's previous tick; first tick left out."""
     order = Window.partitionBy("machine").orderBy("ts")

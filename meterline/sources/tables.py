@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.functions import no_nan
+from meterline.operators.arrival import FILE, ROW
 from meterline.operators.reshape import annotated_to_wide
 from meterline.session import scratch_path
 
@@ -104,7 +105,7 @@ def machine_tables(spark: SparkSession, database: str | None = None) -> list[str
 def as_readings(rows: DataFrame, machine, sensor, ts, value, ingest_seq=None) -> DataFrame:
     """Any table as (machine, sensor, ts, value, ingest_seq); NaN becomes NULL, ids lower case.
 
-    Arguments are column names or Columns.
+    Arguments are column names or Columns.  Places of a table read by ``with_stored_order`` are kept behind these.
     """
     def col(c):
         return F.col(c) if isinstance(c, str) else c
@@ -112,7 +113,8 @@ def as_readings(rows: DataFrame, machine, sensor, ts, value, ingest_seq=None) ->
     sequence = col(ingest_seq).cast("bigint") if ingest_seq is not None else F.lit(None).cast("bigint")
     return rows.select(
         col(machine).cast("string").alias("machine"), F.lower(col(sensor).cast("string")).alias("sensor"),
-        col(ts).alias("ts"), no_nan(col(value).cast("double")).alias("value"), sequence.alias("ingest_seq"))
+        col(ts).alias("ts"), no_nan(col(value).cast("double")).alias("value"), sequence.alias("ingest_seq"),
+        *[c for c in (FILE, ROW) if c in rows.columns])
 
 
 def write_rollup(rolled: DataFrame, path: str, mode: str = "overwrite") -> None:

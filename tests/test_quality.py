@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,12 +161,11 @@ def test_duplicate_ticks_sparse_and_full(rows):
     assert found(consistency.duplicate_ticks(sparse), "total_rows", "dup_rows") == [(5, 4)]
 
 
-@pytest.mark.parametrize("hours,chunk,expected", [
-    ((0, 0, 1), 1000, (0, 1, True)), ((0, 2, 1), 1000, (1, 0, False)),
-    ((0, 2, 1, 1, 5, 4), 1, (2, 1, False)), ((0, 2, 1, 1, 5, 4), 2, (2, 1, False))])
-def test_timestamp_order(rows, hours, chunk, expected):
+@pytest.mark.parametrize("hours,expected", [
+    ((0, 0, 1), (0, 1, True)), ((0, 2, 1), (1, 0, False)), ((0, 2, 1, 1, 5, 4), (2, 1, False))])
+def test_timestamp_order(rows, hours, expected):
     readings = rows("machine string, ts timestamp_ntz, ingest_seq long", *[("m", at(h), i) for i, h in enumerate(hours)])
-    got = consistency.timestamp_order(readings.repartition(3), chunk)
+    got = consistency.timestamp_order(readings.repartition(3))
     assert found(got, "n_backward", "n_equal", "monotonic") == [expected]
 
 
@@ -174,6 +175,67 @@ def test_order_without_numbers_is_not_assessable(rows):
     assert got == [("m", 2, None, "not_assessable"), ("n", 3, 1, "out_of_order")]
 
 
+ORDERED = "machine string, ts timestamp_ntz, ingest_seq long"
+
+
+def plain_order(rows):
+    """Counts of (machine, ts) rows in the order they come."""
+    out, last = {}, {}
+    for machine, ts in rows:
+        own = out.setdefault(machine, [0, 0, 0])
+        own[0] += 1
+        if ts is not None:
+            if machine in last:
+                own[1] += ts < last[machine]
+                own[2] += ts == last[machine]
+            last[machine] = ts
+    return sorted(((m, *c) for m, c in out.items()), key=repr)
+
+
+def order_counts(df):
+    return sorted((tuple(r)[:4] for r in df.collect()), key=repr)
+
+
+def test_stored_order_over_files_and_splits(spark, rows, tmp_path):
+    rng = random.Random(8)
+    data = [(rng.choice(["m", "n", None, "hot", "hot"]), rng.choice([None, at(rng.randint(0, 40))]) if rng.random() < 0.1 else at(rng.randint(0, 40)), None) for _ in range(4000)]
+    # Three files, whose rows lie in many row groups, read in small splits: runs are compared at every seam.
+    for i in range(3):
+        part = data[i * 1300:(i + 1) * 1300] if i < 2 else data[2600:]
+        rows(ORDERED, *part).coalesce(1).write.option("parquet.block.size", 4096).option("parquet.page.size", 512).mode("append").parquet(f"{tmp_path}/{i}")
+    expected = plain_order([(m, t) for m, t, _ in data])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2k", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            table = consistency.with_stored_order(spark.read.parquet(*[f"{tmp_path}/{i}" for i in range(3)]))
+            stored = consistency.timestamp_order(table, by="stored")
+            assert order_counts(stored) == expected
+            plan = stored._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" in plan and plan.index("Exchange") < plan.index("MapInArrow")  # nothing is dealt before the runs
+        # Without numbers the order by number falls back on the files.
+        assert order_counts(consistency.timestamp_order(table)) == expected
+        with pytest.raises(ValueError):
+            consistency.timestamp_order(spark.read.parquet(f"{tmp_path}/0"), by="stored")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("span", [1, 7, 100_000])
+def test_repeated_and_dense_numbers_are_cut_by_rows(rows, span):
+    rng = random.Random(span)
+    data = [(rng.choice(["hot", "hot", "hot", "m"]), at(rng.randint(0, 300) / 7), rng.randrange(span)) for _ in range(6000)]
+    expected = plain_order([(m, t) for m, t, _ in sorted(data, key=lambda r: (r[2], r[1]))])
+    got = consistency.timestamp_order(rows(ORDERED, *data).repartition(5))
+    assert order_counts(got) == expected
+    sizes = [r[0] for r in rows(ORDERED, *data).repartitionByRange(4, "machine", "ingest_seq", "ts").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 2500
+
+
+def test_order_of_nothing(rows):
+    assert consistency.timestamp_order(rows(ORDERED)).collect() == []
+
+
 def test_alarms(rows):
     data = rows(ROLLUP, *[("m", s, at(h), 360, 1.0, 360 - k, k) for s, alarms in
                           (("a", (0, 2, 1)), ("b", (0, 0, 0)), ("c", (3, 0, 0))) for h, k in enumerate(alarms)])

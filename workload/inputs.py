@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterline.operators.arrival import with_stored_order
 from meterline.operators.rollup import as_series, calendar_grid, machine_frame, machine_grid, rollup
 from meterline.schema import QualityConfig
 from meterline.session import settle
@@ -84,9 +85,11 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar_grid(stored, EVENTS.bucket, EVENTS.orig_freq_s).withColumn("mean", F.col("n").cast("double"))
 
 
-def line_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_readings(table(spark, sf_dir, "lineitem"), "l_linestatus", "l_returnflag", "l_shipdate",
-                       "l_extendedprice")
+def line_readings(spark: SparkSession, sf_dir: str, number: str | None = None, placed: bool = False) -> DataFrame:
+    """Lines as readings, without an arrival number unless one is named; *placed* keeps each row's place in the files."""
+    lines = table(spark, sf_dir, "lineitem")
+    return as_readings(with_stored_order(lines) if placed else lines, "l_linestatus", "l_returnflag", "l_shipdate",
+                       "l_extendedprice", number)
 
 
 def stored_line_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,9 +263,20 @@ SQL: dict[str, str] = {
            CASE WHEN count(*) FILTER (ts < prev) = 0 THEN 'ok' ELSE 'out_of_order' END AS status FROM (
            SELECT machine, ts, lag(ts) OVER (PARTITION BY machine ORDER BY ingest_seq) AS prev FROM ev)
            GROUP BY machine""", "ev"),
-    "timestamp_order_unnumbered": with_ctes(
-        """SELECT machine, count(*) AS total_rows, CAST(NULL AS BIGINT) AS n_backward, CAST(NULL AS BIGINT) AS n_equal,
-           CAST(NULL AS BOOLEAN) AS monotonic, 'not_assessable' AS status FROM li GROUP BY machine""", "li"),
+    "timestamp_order_unnumbered":
+        """SELECT machine, count(*) AS total_rows, count(*) FILTER (ts < prev) AS n_backward,
+           count(*) FILTER (ts = prev) AS n_equal, count(*) FILTER (ts < prev) = 0 AS monotonic,
+           CASE WHEN count(*) FILTER (ts < prev) = 0 THEN 'ok' ELSE 'out_of_order' END AS status FROM (
+           SELECT l_linestatus AS machine, l_shipdate AS ts, lag(l_shipdate) OVER (PARTITION BY l_linestatus ORDER BY place) AS prev
+           FROM (SELECT *, row_number() OVER () AS place FROM lineitem))
+           GROUP BY machine""",
+    "timestamp_order_repeated_numbers":
+        """SELECT machine, count(*) AS total_rows, count(*) FILTER (ts < prev) AS n_backward,
+           count(*) FILTER (ts = prev) AS n_equal, count(*) FILTER (ts < prev) = 0 AS monotonic,
+           CASE WHEN count(*) FILTER (ts < prev) = 0 THEN 'ok' ELSE 'out_of_order' END AS status FROM (
+           SELECT l_linestatus AS machine, l_shipdate AS ts,
+             lag(l_shipdate) OVER (PARTITION BY l_linestatus ORDER BY l_orderkey, l_shipdate) AS prev FROM lineitem)
+           GROUP BY machine""",
     "missing_readings": with_ctes(
         f"""SELECT machine, sensor, expected, actual, missing, {r6('missing_pct')} AS missing_pct,
             CASE WHEN missing > 0 THEN 'missing_readings' ELSE 'ok' END AS status FROM a8""", "a8"),

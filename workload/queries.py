@@ -282,7 +282,7 @@ def duplicate_texts(spark, sf):
 
 @query
 def timestamp_order(spark, sf):
-    return consistency.timestamp_order(inputs.order_readings(spark, sf), chunk_rows=100_000)
+    return consistency.timestamp_order(inputs.order_readings(spark, sf))
 
 
 @query
@@ -433,8 +433,14 @@ def histogram_dense(spark, sf):
 
 @query
 def timestamp_order_unnumbered(spark, sf):
-    """Readings without an arrival number cannot be put in order: not assessable."""
-    return consistency.timestamp_order(inputs.line_readings(spark, sf))
+    """Readings without an arrival number, in the order they lie in the table's files."""
+    return consistency.timestamp_order(inputs.line_readings(spark, sf, placed=True), by="stored")
+
+
+@query
+def timestamp_order_repeated_numbers(spark, sf):
+    """Order numbers that every line of an order repeats: equal numbers are taken by their timestamps."""
+    return consistency.timestamp_order(inputs.line_readings(spark, sf, number="l_orderkey"))
 
 
 @query

@@ -8,16 +8,16 @@ batch that runs again after a failure replaces its own output.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meterline.functions import seconds_between
 from meterline.operators.rollup import rollup_measures, with_validity
 from meterline.schema import QualityConfig
 from meterline.session import settle
 
 KEYS = ["machine", "sensor"]
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKET_KEYS = [*KEYS, "bucket_start"]
 
 
@@ -166,57 +166,55 @@ def stream_gaps(readings: DataFrame, config: QualityConfig, lateness: str = "1 h
     )
 
 
-def start_gap_watch(rolled: DataFrame, sensors: DataFrame, config: QualityConfig, path: str, checkpoint: str,
-                    available_now: bool = True) -> StreamingQuery:
-    """Under-filled and silent buckets of every expected sensor, as buckets close; ``closed_gaps`` reads the periods.
+def gap_events(rolled: DataFrame, sensors: DataFrame, config: QualityConfig) -> DataFrame:
+    """Periods of under-filled or silent buckets as they open and close: (machine, sensor, gap_start, gap_end, n_buckets, event).
+
+    *rolled* is a stream rollup in append mode, *sensors* the expected (machine, sensor, since) rows: from the
+    bucket that starts at *since* (a timestamp) a sensor owes a bucket each bucket length, whether its machine
+    is alive or not.  A sensor that was not expected is watched from its first reading.
 
-    *rolled* is a stream rollup in append mode, *sensors* the expected (machine, sensor) rows: a sensor or a
-    whole machine that sends nothing has a row per closed bucket all the same.  Each batch looks at the buckets
-    between the last closed one before it and its own last one, so its cost does not grow with the job's age.
+    Each sensor has one timer, at the end of the bucket it owes next; a closed bucket moves it on, and when the
+    watermark reaches it the buckets up to there are silent, however many, in one step.  So the state of a sensor
+    is three numbers however long the job runs, a dead one costs a timer a batch, and nothing written before is read.
+    A period has an "open" row when its first bucket is missed, and a "closed" row with its full length when a full
+    bucket ends it.  Late rows are dropped by the rollup's watermark.
     """
-    step = F.expr(f"INTERVAL {config.bucket}")
+    from meterline.streaming.gaps import EVENTS, GapProcessor
+
+    known = sensors.select(*KEYS, F.unix_timestamp(F.col("since").cast("timestamp")).alias("since_s")).distinct()
+    return (rolled.select(*BUCKET_KEYS, "n").groupBy(*KEYS)
+            .transformWithState(GapProcessor(config.bucket_s, config.agg_freq), EVENTS, "append", "eventTime", initialState=known.groupBy(*KEYS)))
 
-    def watch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # The stateful plan runs once, for this write.
-        batch.write.mode("overwrite").parquet(f"{path}/closed/batch_id={batch_id}")
-        rows = spark.read.schema(batch.schema).parquet(f"{path}/closed/batch_id={batch_id}")
-        low, high = rows.agg(F.min("bucket_start"), F.max("bucket_start")).first()
-        if high is None:
-            return
-        if batch_id and (known := _frontier(spark, path, batch_id)) is not None:
-            low = known
-        start = F.lit(low) + step if batch_id and known is not None else F.lit(low)
-        expected = sensors.select(*KEYS).distinct().withColumn("bucket_start", F.explode(F.sequence(start, F.lit(high), step)))
-        short = (expected.join(rows.select(*BUCKET_KEYS, "n"), BUCKET_KEYS, "left")
-                 .where(F.coalesce("n", F.lit(0)) < config.agg_freq).select(*BUCKET_KEYS))
-        short.write.mode("overwrite").parquet(f"{path}/short/batch_id={batch_id}")
-        spark.range(1).select(F.lit(high).alias("closed_to")).write.mode("overwrite").parquet(f"{path}/frontier/batch_id={batch_id}")
-
-    writer = rolled.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(watch)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
+def start_gap_watch(rolled: DataFrame, sensors: DataFrame, config: QualityConfig, path: str, checkpoint: str,
+                    available_now: bool = True, run: str = "0") -> StreamingQuery:
+    """``gap_events`` into a folder per run and batch; ``closed_gaps`` and ``open_gaps`` read them.
+
+    A start with a new checkpoint knows nothing of the periods before it: give it a *since* and a greater *run*.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
-def _frontier(spark: SparkSession, path: str, before: int | None = None):
-    """Start of the last closed bucket, of the batches before one if given; None if there is none."""
+    conf, name = rolled.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKS)  # timers need it; a query keeps the settings it is started with
     try:
-        told = spark.read.parquet(f"{path}/frontier")
-    except AnalysisException:  # nothing has closed yet
-        return None
-    return (told if before is None else told.where(F.col("batch_id") < before)).agg(F.max("closed_to")).first()[0]
+        writer = (gap_events(rolled, sensors, config).writeStream.outputMode("append")
+                  .option("checkpointLocation", checkpoint).foreachBatch(write))
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        conf.set(name, before) if before else conf.unset(name)
 
 
-def closed_gaps(spark: SparkSession, path: str, config: QualityConfig) -> DataFrame:
-    """(machine, sensor, gap_start, gap_end, n_buckets): periods of short or silent buckets that have ended.
+def closed_gaps(spark: SparkSession, path: str) -> DataFrame:
+    """(machine, sensor, gap_start, gap_end, n_buckets): periods of short or silent buckets that have ended."""
+    return spark.read.parquet(path).where("event = 'closed'").select(*KEYS, "gap_start", "gap_end", "n_buckets")
 
-    A period that reaches the last closed bucket may still grow and is left out.
-    """
-    short = spark.read.parquet(f"{path}/short").select(*BUCKET_KEYS).distinct()
-    order = Window.partitionBy(*KEYS).orderBy("bucket_start")
-    opens = F.when(seconds_between(F.lag("bucket_start").over(order), "bucket_start") <= config.bucket_s, 0).otherwise(1)
-    return (short.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order)).groupBy(*KEYS, "island")
-            .agg(F.min("bucket_start").alias("gap_start"), F.max("bucket_start").alias("gap_end"), F.count(F.lit(1)).alias("n_buckets"))
-            .where(F.col("gap_end") < F.lit(_frontier(spark, path))).drop("island"))
+
+def open_gaps(spark: SparkSession, path: str) -> DataFrame:
+    """(machine, sensor, gap_start): periods that go on, silent sensors and dead machines among them."""
+    events = spark.read.parquet(path).groupBy(*KEYS, "gap_start").agg(F.bool_or(F.col("event") == "closed").alias("ended"))
+    return events.where("NOT ended").select(*KEYS, "gap_start")
 
 
 def silent_buckets(closed: DataFrame, sensors: DataFrame) -> DataFrame:

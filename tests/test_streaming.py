@@ -85,21 +85,93 @@ def test_alarms_and_gaps(spark, place):
 
 
 def test_gap_watch_sees_dead_sensors_and_machines(spark, place):
-    sensors = spark.sql("SELECT * FROM VALUES ('m', 's'), ('m', 't'), ('dead', 'u') AS x(machine, sensor)")
+    sensors = spark.sql("SELECT *, timestamp '2024-01-01' AS since FROM VALUES ('m', 's'), ('m', 't'), ('dead', 'u') AS x(machine, sensor)")
     config = QualityConfig(orig_freq_s=1800)
 
     def watch():
-        jobs.start_gap_watch(jobs.stream_rollup(stream(spark, f"{place}/in")), sensors, config, f"{place}/gaps", f"{place}/state").awaitTermination()
+        query = jobs.start_gap_watch(jobs.stream_rollup(stream(spark, f"{place}/in")), sensors, config, f"{place}/gaps", f"{place}/state")
+        query.awaitTermination()
+        return query
 
     full = lambda sensor, *hours: [("m", sensor, h + k / 4, 1.0) for h in hours for k in range(2)]
     feed(spark, f"{place}/in", "a", *full("s", 0, 1, 3, 4), *full("t", 0), ("m", "s", 6.0, 1.0))
     watch()
-    feed(spark, f"{place}/in", "b", *full("s", 5, 6, 7, 8), *full("t", 6, 7, 8), ("m", "s", 12.0, 1.0))
-    watch()
-    got = found(jobs.closed_gaps(spark, f"{place}/gaps", config), "machine", "sensor", "gap_start", "gap_end", "n_buckets")
-    assert got == [("m", "s", at(2), at(2), 1), ("m", "t", at(1), at(5), 5)]  # the dead machine's period has not ended
-    short = spark.read.parquet(f"{place}/gaps/short")
-    assert short.where("machine = 'dead'").count() == 9
+    closed = lambda: found(jobs.closed_gaps(spark, f"{place}/gaps"), "machine", "sensor", "gap_start", "gap_end", "n_buckets")
+    opened = lambda: found(jobs.open_gaps(spark, f"{place}/gaps"), "machine", "sensor", "gap_start")
+    assert closed() == [("m", "s", at(2), at(2), 1)]
+    assert opened() == [("dead", "u", at(0)), ("m", "t", at(1))]
+    feed(spark, f"{place}/in", "b", *full("s", 5, 6, 7, 8), *full("t", 6, 7, 8), *full("new", 8), ("m", "s", 12.0, 1.0))
+    last = watch()
+    assert closed() == [("m", "s", at(2), at(2), 1), ("m", "t", at(1), at(5), 5)]
+    assert opened() == [("dead", "u", at(0)), ("m", "new", at(9)), ("m", "s", at(9)), ("m", "t", at(9))]
+    # A state row a sensor, and nothing that was written is read again.
+    states = [o for p in last.recentProgress for o in p["stateOperators"] if "transformWithState" in o["operatorName"]]
+    assert max(o["numRowsTotal"] for o in states) <= 4 * 3  # values, timers and the timers' index
+    assert not [c for c in (last.recentProgress[-1].get("sources") or []) if "gaps" in c["description"]]
+
+
+def test_gap_state_is_constant_over_a_thousand_batches():
+    """The processor alone, batch by batch, against runs found in the whole history."""
+    import random
+    from types import SimpleNamespace
+
+    from meterline.streaming.gaps import GapProcessor
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.value, self.most = set(), None, 0
+
+        def getValueState(self, name, schema):
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+            self.most = max(self.most, len(self.timers))
+
+        def deleteTimer(self, ms):
+            self.timers.remove(ms)
+
+    rng, step, handle = random.Random(4), 3600, Handle()
+    processor = GapProcessor(step, 2)
+    processor.init(handle)
+    processor.handleInitialState(("m", "s"), iter([SimpleNamespace(since_s=5)]), None)
+    good, closed, opened, now = set(), [], [], step
+    for _ in range(1000):
+        upto = now + step * rng.choice([0, 1, 1, 2, 7])
+        rows = []
+        for start in range(now, upto, step):
+            n = rng.choice([None, 0, 1, 2, 3])
+            if n is not None:
+                rows.append(SimpleNamespace(bucket_start=SimpleNamespace(timestamp=lambda s=start: float(s)), n=n))
+            good |= {start} if n and n >= 2 else set()
+        rng.shuffle(rows)
+        out = list(processor.handleInputRows(("m", "s"), iter(rows), None)) if rows else []
+        watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: upto * 1000 + 17)
+        for ms in [t for t in handle.timers if t <= upto * 1000]:
+            handle.timers.remove(ms)
+            out += list(processor.handleExpiredTimer(("m", "s"), watermark, None))
+        closed += [(int(r.gap_start.timestamp()), r.n_buckets) for r in out if r.event == "closed"]
+        opened += [int(r.gap_start.timestamp()) for r in out if r.event == "open"]
+        now = upto
+        assert len(handle.timers) == 1 and len(handle.value) == 3
+    expected, start = [], None
+    for b in range(step, now, step):
+        if b in good and start is not None:
+            expected.append((start, (b - start) // step))
+            start = None
+        elif b not in good and start is None:
+            start = b
+    assert handle.most == 1 and closed == expected and len(expected) > 100
+    assert opened == [g for g, _ in expected] + ([start] if start is not None else [])
 
 
 def test_log_reads_touch_the_asked_days_and_the_newest_run_wins(spark, place):

@@ -53,6 +53,13 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_columns(file_readings(spark, f"{sf_dir}/events.parquet*", schema))
 
 
+def expected_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(machine, sensor, since): every sensor of the events, owed from the hour of the first event on."""
+    sensors = event_readings(spark, sf_dir).groupBy("machine", "sensor").agg(F.min("ts").alias("lo"))
+    since = sensors.agg(F.date_trunc("hour", F.min("lo")).alias("since"))
+    return settle(sensors.select("machine", "sensor", since.scalar().alias("since")), "sensors")
+
+
 def event_rollup(spark: SparkSession, sf_dir: str, extremes: bool = False, judged: bool = True) -> DataFrame:
     """Hourly rollup; ``judged=False`` leaves the limits out where a query only counts readings."""
     known = event_dictionary(spark) if judged else None

@@ -466,6 +466,12 @@ SQL: dict[str, str] = {
            SELECT machine, sensor, min(b) AS gap_start, max(b) AS gap_end, count(*) AS n_buckets
            FROM (SELECT *, epoch(b) // 3600 - row_number() OVER (PARTITION BY machine, sensor ORDER BY b) AS island FROM short)
            GROUP BY machine, sensor, island, hi HAVING max(b) < hi""", "closed", "ev"),
+    "stream_open_gaps": with_ctes(
+        """, front AS (SELECT (SELECT min(bucket_start) FROM closed) AS lo, date_trunc('hour', wm) - INTERVAL 1 HOUR AS hi FROM wm),
+           known AS (SELECT DISTINCT machine, sensor FROM ev UNION SELECT 'm-dead', sensor FROM ev),
+           owed AS (SELECT k.machine, k.sensor, coalesce(max(c.bucket_start) + INTERVAL 1 HOUR, any_value(lo)) AS gap_start, any_value(hi) AS hi
+             FROM known k CROSS JOIN front LEFT JOIN closed c ON c.machine = k.machine AND c.sensor = k.sensor AND c.n >= 2 GROUP BY ALL)
+           SELECT machine, sensor, gap_start FROM owed WHERE gap_start <= hi""", "closed", "ev", "wm"),
     "stream_short_buckets": with_ctes(
         """SELECT machine, sensor, min(bucket_start) AS gap_start, max(bucket_start) AS gap_end, count(*) AS n_buckets
            FROM (SELECT *, epoch(bucket_start) // 3600 - row_number() OVER (

@@ -607,10 +607,20 @@ def stream_alarms(spark, sf):
 @query
 def stream_gaps(spark, sf):
     """Periods of short or silent buckets of every expected sensor, as the stream closes them."""
-    sensors = settle(inputs.event_readings(spark, sf).select("machine", "sensor").distinct(), "sensors")
+    sensors = inputs.expected_sensors(spark, sf)
     path = scratch_path(spark, "stream-gaps")
     jobs.start_gap_watch(jobs.stream_rollup(inputs.event_stream(spark, sf)), sensors, EVENTS, f"{path}/table", f"{path}/state").awaitTermination()
-    return zoneless(jobs.closed_gaps(spark, f"{path}/table", EVENTS), "gap_start", "gap_end")
+    return zoneless(jobs.closed_gaps(spark, f"{path}/table"), "gap_start", "gap_end")
+
+
+@query
+def stream_open_gaps(spark, sf):
+    """Periods that go on when the stream has ended: of sensors that fell silent, and of a machine that never sent anything."""
+    sensors = inputs.expected_sensors(spark, sf)
+    dead = sensors.groupBy(F.lit("m-dead").alias("machine"), "sensor").agg(F.min("since").alias("since"))
+    path = scratch_path(spark, "stream-open-gaps")
+    jobs.start_gap_watch(jobs.stream_rollup(inputs.event_stream(spark, sf)), sensors.union(dead), EVENTS, f"{path}/table", f"{path}/state").awaitTermination()
+    return zoneless(jobs.open_gaps(spark, f"{path}/table"), "gap_start")
 
 
 @query

@@ -16,7 +16,8 @@ ever comparing 400 bytes again.
 
 Hot buckets.  A bucket of more classes than one task should sort is compared by hashes, which are counted
 before they are shuffled: first the bytes that windows of neighbouring distances share, then the windows
-one by one where those bytes occur twice.  So no task holds a bucket, however many rows it has.
+one by one where those bytes occur twice.  So no task holds a bucket, however many rows it has.  Surroundings
+and windows that are told apart by hashes have 128 bits of two independent ones.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.llm.tables import pieces, record
@@ -46,18 +47,20 @@ def _gram(length: int) -> int:
 
 
 def cover_places(texts: list[str], length: int) -> dict[str, np.ndarray]:
-    """Cover places of all windows: text, hash of the gram, hash of the surroundings, first window, further windows, distance."""
+    """Cover places of all windows: text, hash of the gram, two hashes of the surroundings, first window, further windows, distance."""
     data, ends = joined_bytes(texts)
     k, n = _gram(length), len(data)
     period = length - k + 1
     none = np.zeros(0, np.int64)
     if n < length + 1:
-        return dict(text=none, gram=none, around=none, first=none, more=none, back=none)
+        return dict(text=none, gram=none, around=none, beyond=none, first=none, more=none, back=none)
     prefixes = Prefixes(data)
     at = np.arange(n - k + 1)
     gram = prefixes.of(at, at + k)
     # The order of grams; ties go to the leftmost, which the low bits say.
-    low = np.uint64(max(1, int(n).bit_length()))
+    low = np.uint64(32)  # the same for every piece: the order of grams must not hang on what they are read with
+    if n >= 2**32:
+        raise ValueError("a text of 4 GB or more")
     key = gram >> low << low | at.astype(np.uint64)
     rows = -(-len(key) // period)
     grid = np.full(rows * period, 2**64 - 1, np.uint64)
@@ -69,15 +72,16 @@ def cover_places(texts: list[str], length: int) -> dict[str, np.ndarray]:
     text = np.searchsorted(ends, start)
     start = start[start + length <= ends[text]]
     if not len(start):
-        return dict(text=none, gram=none, around=none, first=none, more=none, back=none)
+        return dict(text=none, gram=none, around=none, beyond=none, first=none, more=none, back=none)
     place = (np.minimum(behind[start], ahead[start + period - 1]) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]))
     first, last, place = start[new], start[np.append(new[1:], len(start)) - 1], place[new]
     text = np.searchsorted(ends, first)
     begin = np.concatenate([[0], ends[:-1] + 1])[text]
-    around = mix(prefixes.of(first, last + length) + (place - first).astype(np.uint64) * np.uint64(3) + (last - first).astype(np.uint64))
-    return dict(text=text, gram=gram[place].view(np.int64), around=around.view(np.int64), first=first - begin,
-                more=last - first, back=place - first)
+    shape = (place - first).astype(np.uint64) * np.uint64(3) + (last - first).astype(np.uint64)
+    around, beyond = (mix(p.of(first, last + length) + shape) for p in (prefixes, Prefixes(data, other=True)))
+    return dict(text=text, gram=gram[place].view(np.int64), around=around.view(np.int64), beyond=beyond.view(np.int64),
+                first=first - begin, more=last - first, back=place - first)
 
 
 def _common(a: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -137,8 +141,8 @@ _PLACE_KEYS = ["id", "version", "at"]
 
 
 def _twice(strips: DataFrame, name: str) -> DataFrame:
-    """Rows of *strips* whose (bucket, lo, key) occurs twice; as for grams, both sides are written, so that a hot key can be split."""
-    keys = ["bucket", "lo", "key"]
+    """Rows of *strips* whose (bucket, lo, key, other) occurs twice; as for grams, both sides are written, so that a hot key can be split."""
+    keys = ["bucket", "lo", "key", "other"]
     stored = settle(strips, name)
     many = settle(stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys), f"{name}-twice")
     return stored.join(many, keys).select(*_PLACE_KEYS, "lo")
@@ -157,7 +161,7 @@ def _hashed_windows(rows: DataFrame, length: int) -> DataFrame:
                     far = np.array([len(x) for x in left], np.int64)
                     size = far + np.array([len(x) for x in right], np.int64)
                     place = np.cumsum(size) - size + far
-                    prefixes = Prefixes(np.frombuffer(b"".join(x for two in zip(left, right) for x in two), np.uint8))
+                    data = np.frombuffer(b"".join(x for two in zip(left, right) for x in two), np.uint8)
                     # Strips are aligned, so rows agree on them; a strip may reach over either end of a row's distances.
                     low = part.column("near").to_numpy() // width
                     if "strips" in part.schema.names:
@@ -171,11 +175,11 @@ def _hashed_windows(rows: DataFrame, length: int) -> DataFrame:
                         n = far // width - low + 1
                         row = np.repeat(np.arange(len(far)), n)
                         lo = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]) * width
-                    key = prefixes.of(place[row] - lo, place[row] - lo - (width - 1) + length)
-                    yield record(**{c: part.column(c).take(pa.array(row)) for c in ("id", "version", "at", "bucket")}, lo=lo, key=key.view(np.int64))
+                    key, other = (Prefixes(data, o).of(place[row] - lo, place[row] - lo - (width - 1) + length).view(np.int64) for o in (False, True))
+                    yield record(**{c: part.column(c).take(pa.array(row)) for c in ("id", "version", "at", "bucket")}, lo=lo, key=key, other=other)
         return run
 
-    schema = f"{_KEYS}, at long, bucket long, lo long, key long"
+    schema = f"{_KEYS}, at long, bucket long, lo long, key long, other long"
     strips = _twice(rows.mapInArrow(hashed(strip), schema), "strips").groupBy(*_PLACE_KEYS).agg(F.collect_list("lo").alias("strips"))
     windows = _twice(rows.join(strips, _PLACE_KEYS).mapInArrow(hashed(1), schema), "windows")
     return windows.select("id", "version", (F.col("at") - F.col("lo")).alias("start"), (F.col("at") - F.col("lo") + length).alias("stop"))
@@ -193,24 +197,25 @@ def repeated_spans(texts_: DataFrame, length: int = LENGTH, dealt: DataFrame | N
             own = rows.select(["id", "version"]).take(pa.array(got.pop("text")))
             yield record(id=own.column("id"), version=own.column("version"), **got)
 
-    cover = settle(texts_.mapInArrow(places, f"{_KEYS}, gram long, around long, first long, more long, back long"), "cover")
+    cover = settle(texts_.mapInArrow(places, f"{_KEYS}, gram long, around long, beyond long, first long, more long, back long"), "cover")
     # Grams that occur twice; combined before the shuffle, so a gram of all documents costs one row a task.
-    # They are written before the join: with an exchange of its own on either side, Spark can split a hot gram.
-    twice = settle(cover.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("a0"), F.max("around").alias("a1"))
-                   .where("n > 1").select("gram", (F.col("a0") != F.col("a1")).alias("several")), "grams")
+    # What is joined is written first: with an exchange of its own on either side, Spark can split a hot key.
+    twice = settle(cover.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("a0"), F.max("around").alias("a1"),
+                                             F.min("beyond").alias("b0"), F.max("beyond").alias("b1"))
+                   .where("n > 1").select("gram", F.expr("a0 != a1 OR b0 != b1").alias("several")), "grams")
     ranked = settle(cover.join(twice, "gram"), "repeated")
-    place = F.struct("id", "version", "first", "more", "back")
-    classes = ranked.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"), F.first("several").alias("several"))
+    place, own = F.struct("id", "version", "first", "more", "back"), ["gram", "around", "beyond"]
+    classes = settle(ranked.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"), F.first("several").alias("several")), "classes")
     # A class of two or more: every window of it is repeated, whatever the other classes hold.
-    crowd = classes.where("n > 1").select("gram", "around")
-    whole = ranked.join(crowd, ["gram", "around"]).select(
+    crowd = classes.where("n > 1").select(*own)
+    whole = ranked.join(crowd, own).select(
         "id", "version", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("stop"))
     # Buckets of several classes are sorted, one row a class.
     alone = classes.where("several")
-    busy = alone.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
-    chosen = settle(alone.join(busy, "gram").select("gram", "around", "n", "p.*", (F.col("classes") > HOT).alias("hot")), "classes")
+    busy = settle(alone.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")), "buckets")
+    chosen = settle(alone.join(busy, "gram").select("gram", "n", "p.*", (F.col("classes") > HOT).alias("hot")), "chosen")
     blocks = max(1, -(-chosen.count() // BLOCK))
-    listed = chosen.groupBy("id", "version").agg(F.collect_list(F.struct("gram", "around", "n", "first", "more", "back", "hot")).alias("places"))
+    listed = chosen.groupBy("id", "version").agg(F.collect_list(F.struct("gram", "first", "more", "back", "hot")).alias("places"))
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in pieces(batches):
@@ -244,14 +249,20 @@ def repeated_spans(texts_: DataFrame, length: int = LENGTH, dealt: DataFrame | N
               .select("id", "version", (F.col("at") - F.col("b") + 1).alias("start"), (F.col("at") - F.col("a") + length).alias("stop")))
     if any_hot:
         single = single.union(_hashed_windows(bytes_.where("hot"), length))
+    # A set: rows that repeat id and text have the same spans, however many such rows there are.
     return whole.union(single).groupBy("id", "version").agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+        F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
 def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, version, text) of *docs*: null texts are empty."""
+    """(id, version, text) of *docs*: null texts are empty; rows without an id are known by two hashes of their texts."""
+    key, version, whole = _row_key(id_column, text)
+    return docs.select(key.alias("id"), version.alias("version"), whole.alias("text"))
+
+
+def _row_key(id_column: str, text: str) -> tuple[Column, Column, Column]:
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(whole).alias("version"), whole.alias("text"))
+    return F.coalesce(F.col(id_column).cast("long"), F.xxhash64(whole, F.lit("no id"))), F.xxhash64(whole), whole
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -270,27 +281,30 @@ def kept_parts(data: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of *docs*.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept_text), one row per row of *docs*.
 
     Every byte covered by a *length*-byte string that also starts anywhere else is removed, judged on
     the input.  Rows that repeat id and text are copies of each other.  Texts shorter than *length*,
-    empty or null ones lose nothing.  A null id comes back as -1.
+    empty or null ones lose nothing.  The digest is of the bytes that remain; in the kept text a character
+    of which a byte is removed goes as a whole.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in pieces(batches):
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for spans, text_ in zip(rows.column("spans").to_pylist(), texts):
                 data, runs = text_.encode("utf-8", "replace"), merged(spans)
-                gone = sum(b - a for a, b in runs)
-                for column, value in zip(out, (len(data), gone, len(runs), hashlib.sha256(b"".join(kept_parts(data, runs))).hexdigest())):
+                gone, parts = sum(b - a for a, b in runs), kept_parts(data, runs)
+                kept = "".join(p.decode("utf-8", "ignore") for p in parts)
+                for column, value in zip(out, (len(data), gone, len(runs), hashlib.sha256(b"".join(parts)).hexdigest(), kept)):
                     column.append(value)
-            yield record(id=rows.column("id"), n_bytes=pa.array(out[0], pa.int64()), n_removed=pa.array(out[1], pa.int64()),
-                         n_spans=pa.array(out[2], pa.int64()), kept_sha256=pa.array(out[3], pa.string()))
-
-    plain = keyed(docs, id_column, text)
-    rows = plain.repartition("id", "version")
-    found = rows.join(repeated_spans(plain, length, rows), ["id", "version"], "left").mapInArrow(
-        run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            yield record(id=rows.column("own"), n_bytes=pa.array(out[0], pa.int64()), n_removed=pa.array(out[1], pa.int64()),
+                         n_spans=pa.array(out[2], pa.int64()), kept_sha256=pa.array(out[3], pa.string()), kept_text=pa.array(out[4], pa.string()))
+
+    key, version, whole = _row_key(id_column, text)
+    rows = docs.select(F.col(id_column).alias("own"), key.alias("id"), version.alias("version"), whole.alias("text")).repartition("id", "version")
+    kind = docs.schema[id_column].dataType.simpleString()
+    found = rows.join(repeated_spans(keyed(docs, id_column, text), length, rows.drop("own")), ["id", "version"], "left").mapInArrow(
+        run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return found.withColumnRenamed("id", id_column)
 
 
@@ -313,8 +327,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
             columns[at] = pa.array(out, rows.column(text).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    plain = F.coalesce(F.col(text), F.lit(""))
-    tagged = docs.withColumn("__id", F.coalesce(F.col(id_column).cast("long"), F.lit(-1))).withColumn("__version", F.xxhash64(plain))
+    key, version, _ = _row_key(id_column, text)
+    tagged = docs.withColumn("__id", key).withColumn("__version", version)
     spans = repeated_spans(keyed(docs, id_column, text), length).select(
         F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("spans").alias("__spans"))
     return tagged.join(spans, ["__id", "__version"], "left").select(*names, "__spans").mapInArrow(run, schema)

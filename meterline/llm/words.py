@@ -6,7 +6,8 @@ import numpy as np
 
 #: Multiplier of the polynomial hash; odd, so it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 2**64)
+#: Of a second, independent hash, for where 64 bits are too few.
+_OTHER = 0xD1342543DE82EF95
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -24,6 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: A random 64-bit number for every byte.
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_OTHER_CODES = mix(BYTE_CODES + np.uint64(0x2545F4914F6CDD1D))
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -36,12 +38,13 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 class Prefixes:
-    """Polynomial hashes of any stretch of a byte array, from prefix sums."""
+    """Polynomial hashes of any stretch of a byte array, from prefix sums; *other* for a second, independent one."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, other: bool = False):
+        codes, base = (_OTHER_CODES, _OTHER) if other else (BYTE_CODES, _BASE)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data] * _power(_BASE, len(data)), out=self.sums[1:])
-        self.back = _power(_UNBASE, len(data) + 1)
+        np.cumsum(codes[data] * _power(base, len(data)), out=self.sums[1:])
+        self.back = _power(pow(base, -1, 2**64), len(data) + 1)
 
     def of(self, start, stop) -> np.ndarray:
         """Hashes of data[start:stop]; equal bytes give equal hashes wherever they stand."""

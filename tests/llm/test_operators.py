@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from meterline.llm import components, dialogues, language_model, lattice, licences, minhash, neighbours, quality, substrings
+from meterline.llm import components, dialogues, language_model, lattice, licences, minhash, neighbours, quality, substrings, tables
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -93,8 +93,18 @@ def removal(rows, length):
         if len(places) > 1:
             for n, s in places:
                 gone[n][s:s + length] = b"\1" * length
-    return sorted((-1 if key is None else key, len(b), sum(g), len(re.findall(b"\1+", bytes(g))),
-                   hashlib.sha256(bytes(x for x, f in zip(b, g) if not f)).hexdigest()) for (key, _), b, g in zip(rows, data, gone))
+    return sorted(((key, len(b), sum(g), len(re.findall(b"\1+", bytes(g))),
+                   hashlib.sha256(bytes(x for x, f in zip(b, g) if not f)).hexdigest()) for (key, _), b, g in zip(rows, data, gone)), key=repr)
+
+
+def removed(docs, length):
+    """Rows of the operator; the kept text is held against the digest where no character is cut in two."""
+    rows = substrings.removal_digests(docs, length).collect()
+    for r in rows:
+        assert r.n_bytes - r.n_removed >= len(r.kept_text.encode())
+        if r.n_bytes - r.n_removed == len(r.kept_text.encode()):
+            assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
+    return sorted((tuple(r)[:5] for r in rows), key=repr)
 
 
 @pytest.mark.parametrize("length, hot", [(40, 50_000), (17, 50_000), (40, 1), (61, 2)])
@@ -113,7 +123,7 @@ def test_substrings_equal_brute_force(spark, monkeypatch, length, hot):
         rows.append((i, own))
     rows += [(100, "a" * 300), (101, "a" * 170), (102, ""), (103, None), (104, "ab" * 100), (105, rows[3][1]), (105, rows[3][1]), (105, "zz"), (None, rows[4][1])]
     docs = spark.createDataFrame([(*r, "s", 3) for r in rows], "doc_id long, text string, version string, spans int")
-    assert sorted(tuple(r) for r in substrings.removal_digests(docs, length).collect()) == removal(rows, length)
+    assert removed(docs, length) == removal(rows, length)
 
 
 def test_substrings_never_sort_a_hot_bucket(spark, monkeypatch):
@@ -130,7 +140,37 @@ def test_substrings_never_sort_a_hot_bucket(spark, monkeypatch):
     passage = text(160)
     rows = [(i, text(rng.randint(0, 90)) + passage + text(rng.randint(0, 90))) for i in range(80)] + [(200, None), (201, text(100))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(tuple(r) for r in substrings.removal_digests(docs, 60).collect()) == removal(rows, 60)
+    assert removed(docs, 60) == removal(rows, 60)
+
+
+def test_rows_that_repeat_a_text_have_its_spans_once(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = [(None, text)] * 120 + [(-1, text), (7, text[:100])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substrings.repeated_spans(substrings.keyed(docs), 60).collect()
+    assert max(len(r.spans) for r in spans) <= 2 * len(text) and sum(len(r.spans) for r in spans) == len({(r.id, r.version, tuple(s)) for r in spans for s in r.spans})
+    assert removed(docs, 60) == removal(rows, 60)
+
+
+@pytest.mark.parametrize("pieces_of", [300, 1_000_000])
+def test_planted_passages_are_removed_from_400_bytes_on(spark, monkeypatch, pieces_of):
+    """Passages of over 50 words in otherwise different documents, by length; what the texts are read with changes nothing."""
+    monkeypatch.setattr(tables, "PIECE", pieces_of)
+    monkeypatch.setattr(substrings.pieces, "__defaults__", ("text", pieces_of))
+    rng = random.Random(3)
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(a, b)))
+    planted, rows = {}, []
+    for i, (low, high) in enumerate([(3, 6), (4, 7), (6, 9), (7, 9), (8, 10)] * 4):
+        planted[i] = " ".join(word(low, high) for _ in range(52))
+        rows += [(10 * i + k, " ".join(word(2, 8) for _ in range(60)) + " " + planted[i] + " " + " ".join(word(2, 8) for _ in range(40))) for k in range(2)]
+    got = {r.doc_id: r for r in substrings.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(len(p) >= 400 for p in planted.values()) >= 8 and sum(len(p) < 398 for p in planted.values()) >= 6
+    for i, p in planted.items():
+        for k in range(2):
+            r = got[10 * i + k]
+            # Blanks and chance letters on either side may be shared as well, so a passage of 398 or 399 bytes may go.
+            assert (p not in r.kept_text and r.n_removed >= len(p)) if len(p) >= 400 else (len(p) >= 396 or p in r.kept_text)
 
 
 def test_texts_without_repeats(spark):

@@ -36,6 +36,8 @@ from meterline.llm.words import Prefixes, joined_bytes, mix
 from meterline.session import settle
 
 LENGTH = 400
+#: Characters whose cover places are found at once: some twenty numbers of 64 bits each are held meanwhile.
+PLACES = 500_000
 #: Classes in a block of suffix buckets, the size from which the windows of one bucket are hashed instead, and the
 #: distances that such windows are first compared by together.
 BLOCK, HOT, STRIP = 8192, 50_000, 16
@@ -191,8 +193,10 @@ def repeated_spans(texts_: DataFrame, length: int = LENGTH, dealt: DataFrame | N
     *texts_* has (id, version, text); version tells apart rows that repeat an id.  *dealt* is the
     same table dealt by its key, if the caller joins the spans to it.
     """
+    limit = PLACES
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in pieces(batches):
+        for rows, texts in pieces(batches, limit=limit):
             got = cover_places(texts, length)
             own = rows.select(["id", "version"]).take(pa.array(got.pop("text")))
             yield record(id=own.column("id"), version=own.column("version"), **got)

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from meterline.llm import components, dialogues, language_model, lattice, licences, minhash, neighbours, quality, substrings, tables
+from meterline.llm import components, dialogues, language_model, lattice, licences, minhash, neighbours, quality, substrings
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -156,8 +156,7 @@ def test_rows_that_repeat_a_text_have_its_spans_once(spark):
 @pytest.mark.parametrize("pieces_of", [300, 1_000_000])
 def test_planted_passages_are_removed_from_400_bytes_on(spark, monkeypatch, pieces_of):
     """Passages of over 50 words in otherwise different documents, by length; what the texts are read with changes nothing."""
-    monkeypatch.setattr(tables, "PIECE", pieces_of)
-    monkeypatch.setattr(substrings.pieces, "__defaults__", ("text", pieces_of))
+    monkeypatch.setattr(substrings, "PLACES", pieces_of)
     rng = random.Random(3)
     word = lambda a, b: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(a, b)))
     planted, rows = {}, []

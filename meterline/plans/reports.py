@@ -64,31 +64,16 @@ def _tidy(stats: DataFrame, keys: list[str], metrics: dict[str, tuple[str, objec
     return stats.select("machine", sensor, F.inline(cells))
 
 
-def quality_report(rolled: DataFrame, dictionary: DataFrame, config: QualityConfig = QualityConfig(),
-                   readings: DataFrame | None = None) -> DataFrame:
-    """Tidy data-quality report (machine, sensor, check, metric, value, status) of a stored rollup.
+def _missing_pct():
+    return F.try_divide(F.col("cells") - F.col("points"), F.col("cells")) * 100
 
-    One aggregation for the profile, one more pass against it for outliers and
-    accuracy, then duplicates, timestamp order (of *readings* in arrival order, when
-    given) and correlation.  No grid: cells without a reading follow from the tick count.
-    The profile, one row per sensor, is settled because two passes use it.
-    """
-    ok = F.lit("ok")
-    x = F.col("mean")
-    series = as_series(rolled)
-    known = limits(dictionary).select("sensor", "low_limit", "high_limit", F.lit(True).alias("known"))
-    stats = series.groupBy(*KEYS).agg(
-        F.count(x).alias("points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        F.avg(x).alias("_avg"), F.stddev_samp(x).alias("_std"), F.min(x).alias("x0"), F.max(x).alias("x1"),
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    stats = settle(profile.with_cells(stats, machine_frame(rolled, config.orig_freq_s))
-                   .join(known, "sensor", "left"), "profile")
-    reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
-    fenced = stats.withColumn("low_fence", F.col("q")[0] - reach).withColumn("high_fence", F.col("q")[2] + reach)
 
-    missing_pct = F.try_divide(F.col("cells") - F.col("points"), F.col("cells")) * 100
+def profile_rows(stats: DataFrame, config: QualityConfig) -> DataFrame:
+    """Report rows of per-sensor statistics (points, cells, first_ts, last_ts, _avg, _std, x0, x1, q) and of their machines."""
+    ok = F.lit("ok")
+    missing_pct = _missing_pct()
     incomplete = missing_pct > 100 - config.completeness_threshold
-    profile_rows = _tidy(stats, KEYS, {
+    rows = _tidy(stats, KEYS, {
         "points": ("general", F.col("points"), ok),
         "mean": ("describe", F.col("_avg"), ok), "std": ("describe", F.col("_std"), ok),
         "min": ("describe", F.col("x0"), ok), "p25": ("describe", F.col("q")[0], ok),
@@ -104,7 +89,7 @@ def quality_report(rolled: DataFrame, dictionary: DataFrame, config: QualityConf
         F.count(F.lit(1)).alias("sensors"), F.sum("cells").alias("cells"), F.sum("points").alias("points"),
         F.avg(missing_pct).alias("avg_missing"))
     overall = 100 - F.col("avg_missing")
-    machine_rows = _tidy(totals, ["machine"], {
+    return rows.unionByName(_tidy(totals, ["machine"], {
         "start_epoch_s": ("general", F.unix_timestamp(F.col("first_ts").cast("timestamp")), ok),
         "end_epoch_s": ("general", F.unix_timestamp(F.col("last_ts").cast("timestamp")), ok),
         "sensors": ("general", F.col("sensors"), ok), "total_points": ("general", F.col("cells"), ok),
@@ -112,15 +97,14 @@ def quality_report(rolled: DataFrame, dictionary: DataFrame, config: QualityConf
         "total_missing_pct": ("general", F.try_divide(F.col("cells") - F.col("points"), F.col("cells")) * 100, ok),
         "overall_complete_pct": ("completeness", overall,
                                  F.when(overall < config.completeness_threshold, "below_threshold").otherwise(ok)),
-    })
+    }))
 
-    judged = salted_join(series.select(*KEYS, "ts", "mean"), fenced.drop("points"), KEYS, "ts").groupBy(
-        *KEYS, "known", "cells").agg(
-        F.count_if(outliers.outside_fences("mean")).alias("outliers"),
-        F.count_if(outliers.far_from_mean("mean", config.zscore_k)).alias("zscore_outliers"),
-        F.count("mean").alias("points"), F.count_if(violates_limits("mean")).alias("issues"))
+
+def deviation_rows(judged: DataFrame) -> DataFrame:
+    """Report rows of per-sensor counts (known, cells, points, outliers, zscore_outliers, issues)."""
+    ok = F.lit("ok")
     issue_pct = F.try_divide(F.col("issues"), F.col("points")) * 100
-    deviation_rows = _tidy(judged, KEYS, {
+    return _tidy(judged, KEYS, {
         "outlier_pct": ("outliers", F.try_divide(F.col("outliers"), F.col("cells")) * 100,
                         F.when(F.col("outliers") > 0, "outliers").otherwise(ok)),
         "zscore_outliers": ("outliers", F.col("zscore_outliers"),
@@ -130,6 +114,34 @@ def quality_report(rolled: DataFrame, dictionary: DataFrame, config: QualityConf
                       .when(F.col("issues") > 0, "accuracy_issues").otherwise(ok)),
     }))
 
+
+def quality_report(rolled: DataFrame, dictionary: DataFrame, config: QualityConfig = QualityConfig(),
+                   readings: DataFrame | None = None) -> DataFrame:
+    """Tidy data-quality report (machine, sensor, check, metric, value, status) of a stored rollup.
+
+    One aggregation for the profile, one more pass against it for outliers and
+    accuracy, then duplicates, timestamp order (of *readings* in arrival order, when
+    given) and correlation.  No grid: cells without a reading follow from the tick count.
+    The profile, one row per sensor, is settled because two passes use it.
+    """
+    ok = F.lit("ok")
+    x = F.col("mean")
+    series = as_series(rolled)
+    known = limits(dictionary).select("sensor", "low_limit", "high_limit", F.lit(True).alias("known"))
+    stats = series.groupBy(*KEYS).agg(
+        F.count(x).alias("points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.avg(x).alias("_avg"), F.stddev_samp(x).alias("_std"), F.min(x).alias("x0"), F.max(x).alias("x1"),
+        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    stats = settle(profile.with_cells(stats, machine_frame(rolled, config.orig_freq_s))
+                   .join(known, "sensor", "left"), "profile")
+    reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
+    fenced = stats.withColumn("low_fence", F.col("q")[0] - reach).withColumn("high_fence", F.col("q")[2] + reach)
+
+    judged = salted_join(series.select(*KEYS, "ts", "mean"), fenced.drop("points"), KEYS, "ts").groupBy(
+        *KEYS, "known", "cells").agg(
+        F.count_if(outliers.outside_fences("mean")).alias("outliers"),
+        F.count_if(outliers.far_from_mean("mean", config.zscore_k)).alias("zscore_outliers"),
+        F.count("mean").alias("points"), F.count_if(violates_limits("mean")).alias("issues"))
     duplicate_rows = _tidy(duplicate_ticks(series), ["machine"], {
         name: ("duplicates", F.col(name), F.when(F.col("dup_rows") > 0, "duplicates").otherwise(ok))
         for name in ("dup_rows", "dup_half", "dup_extra", "dup_pct")})
@@ -139,7 +151,7 @@ def quality_report(rolled: DataFrame, dictionary: DataFrame, config: QualityConf
                              F.concat(F.lit("r:"), F.col("sensor_b")).alias("metric"),
                              F.col("r").alias("value"), F.lit("strong").alias("status"))
 
-    report = (profile_rows.unionByName(machine_rows).unionByName(deviation_rows)
+    report = (profile_rows(stats, config).unionByName(deviation_rows(judged))
               .unionByName(duplicate_rows).unionByName(pair_rows))
     if readings is not None:
         order = _tidy(timestamp_order(readings), ["machine"], {

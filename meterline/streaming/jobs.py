@@ -228,36 +228,40 @@ def silent_buckets(closed: DataFrame, sensors: DataFrame) -> DataFrame:
 
 
 def _start_watch(rolled: DataFrame, mode: str, check, table: str, path: str, checkpoint: str,
-                 available_now: bool) -> StreamingQuery:
-    """Per batch: its rows into *table*, then ``check(spark, rows read back)`` into *path*.
+                 available_now: bool, run: str) -> StreamingQuery:
+    """Per batch: its rows into *table*, then ``check(spark, rows read back)`` into *path*, both by run and batch.
 
     The stateful plan runs once, for the write; the check reads the written rows.
     """
     def watch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _write_log(batch, table, "0", batch_id)
-        rows = spark.read.schema(batch.schema).parquet(f"{table}/run=0/batch_id={batch_id}")
+        _write_log(batch, table, run, batch_id)
+        rows = spark.read.schema(batch.schema).parquet(f"{table}/run={run}/batch_id={batch_id}")
         if not rows.isEmpty():
-            check(spark, rows).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            check(spark, rows).write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
     writer = rolled.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(watch)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def start_silence_watch(rolled: DataFrame, sensors: DataFrame, table: str, path: str, checkpoint: str,
-                        available_now: bool = True) -> StreamingQuery:
-    """``silent_buckets`` of every batch of closed buckets to *path*; the closed buckets themselves to *table*."""
+                        available_now: bool = True, run: str = "0") -> StreamingQuery:
+    """``silent_buckets`` of every batch of closed buckets to *path*; the closed buckets themselves to *table*.
+
+    As for ``start_upsert``, a start with a new checkpoint needs a greater *run*.
+    """
     return _start_watch(rolled, "append", lambda spark, closed: silent_buckets(closed, sensors),
-                        table, path, checkpoint, available_now)
+                        table, path, checkpoint, available_now, run)
 
 
 def start_quality_watch(rolled: DataFrame, dictionary: DataFrame, config: QualityConfig, table: str, path: str,
-                        checkpoint: str, available_now: bool = True) -> StreamingQuery:
+                        checkpoint: str, available_now: bool = True, run: str = "0") -> StreamingQuery:
     """Quality report per micro-batch, over the buckets the batch changed.
 
     The upsert log at *table* grows by the batch first; the report then covers the current
     rows of the touched buckets, so a bucket that changes twice is judged on its full content.
-    Only the log files of the touched days are read.
+    Only the log files of the touched days are read.  ``history.start_history_watch`` reports on the whole history
+    instead.  As for ``start_upsert``, a start with a new checkpoint needs a greater *run*.
     """
     from meterline.plans.reports import quality_report
 
@@ -267,7 +271,7 @@ def start_quality_watch(rolled: DataFrame, dictionary: DataFrame, config: Qualit
         current = latest(spark, table, days=days).join(touched, ["machine", "bucket_start"], "left_semi")
         return quality_report(settle(current, "touched"), dictionary, config)
 
-    return _start_watch(rolled, "update", report, table, path, checkpoint, available_now)
+    return _start_watch(rolled, "update", report, table, path, checkpoint, available_now, run)
 
 
 def dropped_late_rows(query: StreamingQuery) -> int:

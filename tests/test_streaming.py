@@ -247,3 +247,70 @@ def test_report_statuses(spark, rows):
     assert status[None, "n_backward"] == (1.0, "out_of_order")
     assert status[None, "total_points"][0] == 90.0 and status[None, "total_missing"][0] == 29.0
     assert status[None, "end_epoch_s"][0] - status[None, "start_epoch_s"][0] == timedelta(hours=29).total_seconds()
+
+
+HISTORY_CHECKS = ("general", "describe", "missing", "completeness", "outliers", "accuracy")
+
+
+def test_history_report_equals_the_batch_report_after_every_batch(spark, place):
+    import random
+
+    from meterline.streaming import history
+
+    rng, config, known = random.Random(6), QualityConfig(orig_freq_s=1800), inputs.event_dictionary(spark)
+
+    def feed_days(name, machine, first, days):
+        values = [(machine, s, h + 0.1, rng.choice([rng.gauss(60, 30), rng.gauss(60, 30), 0.0, -2.5, 5e6, 1e-3]))
+                  for h in range(24 * first, 24 * (first + days), 2) for s in ("click", "view", "other") if rng.random() < 0.7]
+        feed(spark, f"{place}/in", name, *values)
+
+    def watch(checkpoint, run="0"):
+        rolled = jobs.stream_rollup(stream(spark, f"{place}/in"))
+        history.start_history_watch(rolled, known, config, f"{place}/history", f"{place}/{checkpoint}", run=run).awaitTermination()
+
+    def expected(run, batch_id):
+        values = spark.read.parquet(f"{place}/history/values/run={run}").where(F.col("batch_id") <= batch_id)
+        rolled = values.select("machine", "sensor", F.col("ts").alias("bucket_start"), F.lit(1).alias("n"), F.col("mean").alias("sum_v"), F.lit(1).alias("n_valid"), F.lit(0).alias("n_invalid"))
+        return quality_report(rolled, known, config).where(F.col("check").isin(*HISTORY_CHECKS))
+
+    def cells(df):
+        return {(r.machine, r.sensor, r.check, r.metric): (r.value and round(r.value, 6), r.status) for r in df.collect()}
+
+    feed_days("a", "m", 0, 4)
+    watch("state")
+    feed_days("b", "m", 4, 5)
+    feed_days("c", "n", 4, 5)
+    watch("state")
+    reports = spark.read.parquet(f"{place}/history/report")
+    batches = sorted({r.batch_id for r in reports.select("batch_id").distinct().collect()})
+    assert len(batches) >= 3
+    for batch_id in (batches[1], batches[-1]):
+        got = cells(reports.where(F.col("batch_id") == batch_id))
+        assert got and got == cells(expected("0", batch_id))
+    assert cells(history.latest_report(spark, f"{place}/history")) == cells(expected("0", batches[-1]))
+    # Two states are kept, and a start with a new checkpoint adds a run without touching the one before.
+    assert spark.read.parquet(f"{place}/history/moments").select("batch_id").distinct().count() <= 2
+    before = reports.where("run = '0'").count()
+    watch("state-2", run="1")
+    again = spark.read.parquet(f"{place}/history/report")
+    assert again.where("run = 0").count() == before
+    assert cells(history.latest_report(spark, f"{place}/history")) == cells(expected("1", again.where("run = 1").agg(F.max("batch_id")).first()[0]))
+
+
+def test_value_bins_rise_with_the_value(spark):
+    from meterline.streaming import history
+
+    xs = sorted([float("-inf"), -1e308, -5e6, -1.0, -1e-9, -0.0, 0.0, 1e-300, 0.5, 0.51, 1.0, 2.0, 1e9, 1.7e308, float("inf")])
+    bins = [r.b for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", history.value_bin(F.col("x")).alias("b")).orderBy("x").collect()]
+    assert bins == sorted(bins) and len(set(bins)) >= 10
+
+
+def test_a_new_run_of_a_watch_keeps_what_the_old_one_wrote(spark, place):
+    sensors = spark.sql("SELECT 'm' AS machine, explode(array('s', 't')) AS sensor")
+    feed(spark, f"{place}/in", "a", ("m", "s", 0.1, 1.0), ("m", "t", 0.1, 1.0), ("m", "s", 1.1, 1.0), ("m", "s", 9, 1.0))
+    for run_name in ("0", "1"):
+        jobs.start_silence_watch(jobs.stream_rollup(stream(spark, f"{place}/in")), sensors, f"{place}/closed", f"{place}/silent",
+                                 f"{place}/state-{run_name}", run=run_name).awaitTermination()
+    silent = spark.read.parquet(f"{place}/silent")
+    assert {r.run for r in silent.collect()} == {0, 1} and silent.count() == 2
+    assert spark.read.parquet(f"{place}/closed").select("run").distinct().count() == 2

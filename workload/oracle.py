@@ -544,3 +544,8 @@ _REPORT = [
 SQL["quality_report"] = with_ctes(_STATS + "\nUNION ALL ".join(_REPORT), "fence", "dict", "ev", "pair")
 SQL["stream_quality_report"] = with_ctes(
     _STATS + "\nUNION ALL ".join(part for part in _REPORT if "timestamp_order" not in part), "fence", "dict", "ev", "pair")
+_CLOSED = "date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)"
+SQL["stream_history_report"] = with_ctes(
+    _STATS + "\nUNION ALL ".join(_REPORT[:3]), "fence", "dict", "ev").replace(
+    "event_id AS ingest_seq FROM events", f"event_id AS ingest_seq FROM events WHERE {_CLOSED}").replace(
+    r6("r1.sum_v / nullif(r1.n, 0)"), "r1.sum_v / nullif(r1.n, 0)")

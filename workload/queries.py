@@ -20,7 +20,7 @@ from meterline.schema import QualityConfig
 from meterline.session import scratch_path, settle
 from meterline.sources import dictionary as dictionary_reader
 from meterline.sources import tables
-from meterline.streaming import jobs
+from meterline.streaming import history, jobs
 from workload import inputs
 from workload.inputs import EVENTS, LINES
 
@@ -644,7 +644,7 @@ def stream_silent_buckets(spark, sf):
     sensors = settle(inputs.event_readings(spark, sf).select("machine", "sensor").distinct(), "sensors")
     path = scratch_path(spark, "stream-silent")
     jobs.start_silence_watch(rolled, sensors, f"{path}/closed", f"{path}/silent", f"{path}/state").awaitTermination()
-    return zoneless(spark.read.parquet(f"{path}/silent").drop("batch_id"), "bucket_start")
+    return zoneless(spark.read.parquet(f"{path}/silent").drop("run", "batch_id"), "bucket_start")
 
 
 @query
@@ -659,3 +659,12 @@ def stream_quality_report(spark, sf):
     newest = report.groupBy("machine", "sensor", "check", "metric").agg(
         F.max_by(F.struct("value", "status"), "batch_id").alias("m"))
     return rounded(newest.select("machine", "sensor", "check", "metric", "m.*"), "value")
+
+
+@query
+def stream_history_report(spark, sf):
+    """The report over all closed buckets after the last batch, from merged state; the means are not rounded on their way in."""
+    path = scratch_path(spark, "stream-history")
+    rolled = jobs.stream_rollup(inputs.event_stream(spark, sf))
+    history.start_history_watch(rolled, inputs.event_dictionary(spark), EVENTS, f"{path}/history", f"{path}/state").awaitTermination()
+    return rounded(history.latest_report(spark, f"{path}/history"), "value")

@@ -58,14 +58,22 @@ def histogram(series: DataFrame, value: str = "mean", method: str = "percentile"
     counts = (placed.withColumn("bin", settled).groupBy(*KEYS, "n_bins", "low", "bin_width", "bin")
               .agg(F.count(F.lit(1)).alias("count")))
     if dense:
-        bins = layout.select(*KEYS, "n_bins", "low", "bin_width",
-                             F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1)).alias("bin"))
+        bins = _listed_bins(layout)
         counts = (bins.join(counts.select(*KEYS, "bin", "count"), [*KEYS, "bin"], "left")
                   .withColumn("count", F.coalesce("count", F.lit(0).cast("bigint"))))
     return counts.select(*KEYS, "n_bins", "bin", edge(F.col("bin")).alias("bin_low"),
                          edge(F.col("bin") + 1).alias("bin_high"), "count")
 
 
+def _listed_bins(layout: DataFrame) -> DataFrame:
+    """A row per bin, first the starts of runs and then the bins of each: no row holds more than the root of their number."""
+    run = F.ceil(F.sqrt("n_bins")).cast("bigint")
+    runs = layout.select(*KEYS, "n_bins", "low", "bin_width", run.alias("run")).withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1, F.col("run"))))
+    return runs.select(*KEYS, "n_bins", "low", "bin_width",
+                       F.explode(F.sequence("first", F.least(F.col("first") + F.col("run"), F.col("n_bins")) - 1)).alias("bin"))
+
+
 def density(series: DataFrame, value: str = "mean", points: int = 200) -> DataFrame:
     """(machine, sensor, point, x, density): Gaussian kernel estimate, Scott bandwidth.
 

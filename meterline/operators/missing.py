@@ -10,6 +10,8 @@ from meterline.functions import seconds_between
 from meterline.schema import QualityConfig
 
 KEYS = ["machine", "sensor"]
+#: Bucket lengths of a stretch in which periods are found at once.
+CHUNK = 8192
 
 
 def missing_readings(rolled: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -47,23 +49,37 @@ def bad_buckets(grid: DataFrame, config: QualityConfig = QualityConfig()) -> Dat
     return grid.where(short)
 
 
-def missing_intervals(grid: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
+def missing_intervals(grid: DataFrame, config: QualityConfig = QualityConfig(), chunk: int = CHUNK) -> DataFrame:
     """(machine, sensor, gap_start, gap_end, n_buckets): runs of under-filled buckets.
 
-    Only bad cells reach the window; a sensor has at most one per bucket.
+    Only bad cells are looked at, in stretches of *chunk* bucket lengths: the periods inside a stretch are
+    final, the first and the last one may go on beyond its ends.  Only these, two a stretch, are compared along
+    the sensor, so no window holds a whole sensor, however long it is or however much of it is bad.
     """
     merge_s = (F.col("freq_s") if config.gap_mode == "bucket"
                else F.col("agg_freq") * config.orig_freq_s)
-    order = Window.partitionBy(*KEYS).orderBy("ts")
-    step = seconds_between(F.lag("ts").over(order), "ts")
-    bad = bad_buckets(grid, config).select(*KEYS, "ts", merge_s.alias("merge_s"))
-    return (
+    origin = F.lit("1970-01-01 00:00:00").cast(dict(grid.dtypes)["ts"])
+    stretch = F.floor(seconds_between(origin, "ts") / F.lit(config.bucket_s * chunk))
+    bad = bad_buckets(grid, config).select(*KEYS, "ts", merge_s.alias("merge_s"), stretch.alias("stretch"))
+
+    inside = Window.partitionBy(*KEYS, "stretch").orderBy("ts")
+    step = seconds_between(F.lag("ts").over(inside), "ts")
+    periods = (
         bad.withColumn("opens", F.when(step <= F.col("merge_s"), 0).otherwise(1))
-        .withColumn("island", F.sum("opens").over(order))
-        .groupBy(*KEYS, "island")
-        .agg(F.min("ts").alias("gap_start"), F.max("ts").alias("gap_end"), F.count(F.lit(1)).alias("n_buckets"))
-        .drop("island")
-    )
+        .withColumn("island", F.sum("opens").over(inside))
+        .groupBy(*KEYS, "stretch", "island")
+        .agg(F.min("ts").alias("gap_start"), F.max("ts").alias("gap_end"), F.count(F.lit(1)).alias("n_buckets"), F.min_by("merge_s", "ts").alias("merge_s")))
+    last = F.max("island").over(Window.partitionBy(*KEYS, "stretch"))
+    inner = (F.col("island") > 1) & (F.col("island") < last)
+    # An inner period is a group of its own; the outer ones of all stretches are one, in which neighbours may join.
+    placed = periods.withColumn("inner", inner).withColumn("own", F.when(F.col("inner"), F.struct("stretch", "island")))
+    along = Window.partitionBy(*KEYS, "own").orderBy("gap_start")
+    gap = seconds_between(F.lag("gap_end").over(along), "gap_start")
+    return (
+        placed.withColumn("opens", F.when(gap <= F.col("merge_s"), 0).otherwise(1)).withColumn("joined", F.sum("opens").over(along))
+        .groupBy(*KEYS, "own", "joined")
+        .agg(F.min("gap_start").alias("gap_start"), F.max("gap_end").alias("gap_end"), F.sum("n_buckets").alias("n_buckets"))
+        .drop("own", "joined"))
 
 
 def gap_list(intervals: DataFrame, sensors: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ def rollup(readings: DataFrame, dictionary: DataFrame | None = None, bucket: str
 
     The only operator that must read all raw rows.  Partial sums combine before
     the shuffle, and the shuffle key holds the bucket, so a hot sensor spreads
-    over as many keys as it has buckets.
+    over as many keys as it has buckets.  A reading without a timestamp has no
+    bucket: ``untimed`` counts those.
     """
     return (
         with_validity(readings, dictionary)
@@ -60,6 +61,13 @@ def rollup(readings: DataFrame, dictionary: DataFrame | None = None, bucket: str
     )
 
 
+def untimed(readings: DataFrame) -> DataFrame:
+    """(machine, sensor, rows, untimed, status): readings and those of them that no bucket can hold, as they have no timestamp."""
+    counted = readings.withColumn("sensor", F.lower("sensor")).groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ts").isNull()).alias("untimed"))
+    return counted.withColumn("status", F.when(F.col("untimed") > 0, "untimed_readings").otherwise("ok"))
+
+
 def merge_rollup(rolled: DataFrame, bucket: str) -> DataFrame:
     """Coarser rollup (hour -> day) from a finer one; raw rows are not read again."""
     measures = [F.sum(c).alias(c) for c in ("n", "sum_v", "n_valid", "n_invalid")]
@@ -113,7 +121,10 @@ def calendar_ticks(rolled: DataFrame, bucket: str) -> DataFrame:
     runs = span.withColumn("last", last).withColumn("run", run).select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"), F.col("run"))).alias("first"))
     cells = runs.select("machine", "lo", F.explode(F.sequence("first", F.least(F.col("first") + F.col("run") - 1, F.col("last")))).alias("idx"))
-    return cells.select("machine", F.timestamp_add("SECOND", (F.col("idx") * step).cast("int"), "lo").alias("ts"), F.col("idx").cast("int").alias("idx"))
+    # Whole hours and the seconds beyond them: seconds alone outgrow an int after 68 years.
+    past = F.col("idx") * step
+    hours, rest = F.call_function("div", past, F.lit(3600).cast("bigint")).cast("int"), (past % 3600).cast("int")
+    return cells.select("machine", F.timestamp_add("SECOND", rest, F.timestamp_add("HOUR", hours, F.col("lo"))).alias("ts"), F.col("idx").cast("int").alias("idx"))
 
 
 def tick_frequency(tick_rows: DataFrame, orig_freq_s: int = 10) -> DataFrame:

@@ -232,6 +232,29 @@ def test_repeated_and_dense_numbers_are_cut_by_rows(rows, span):
     assert max(sizes) < 2500
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 8192])
+def test_periods_join_over_stretches(rows, chunk):
+    """A long sensor that is bad most of the time, in stretches of any length, against one walk over it."""
+    rng = random.Random(chunk)
+    cells, expected = [], []
+    for sensor, share in (("a", 0.9), ("b", 0.5), ("c", 1.0), ("d", 0.0)):
+        last = None
+        for h in range(300):
+            if rng.random() < 0.05 and sensor != "c":
+                continue  # the machine has no such tick: a period does not reach over it
+            bad = rng.random() < share
+            cells.append(("m", sensor, at(h), 1 if bad else 2, 3600, 2))
+            if bad:
+                if last is not None and h - last[1] == 1:
+                    last[1], last[2] = h, last[2] + 1
+                else:
+                    last = [h, h, 1]
+                    expected.append((sensor, last))
+    grid = rows("machine string, sensor string, ts timestamp_ntz, n bigint, freq_s long, agg_freq long", *cells)
+    got = missing.missing_intervals(grid.repartition(3), QualityConfig(orig_freq_s=1800), chunk)
+    assert found(got, "sensor", "gap_start", "gap_end", "n_buckets") == sorted((s, at(a), at(b), n) for s, (a, b, n) in expected)
+
+
 def test_order_of_nothing(rows):
     assert consistency.timestamp_order(rows(ORDERED)).collect() == []
 

@@ -1,8 +1,14 @@
+import os
+import random
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from meterline.operators import dictionary, invalid, reshape, rollup
 from meterline.schema import QualityConfig, duration_seconds
+from meterline.session import scratch_path
+from meterline.sources import incremental
 from tests.conftest import SF, at, found
 from workload import inputs
 
@@ -133,3 +139,54 @@ def test_metadata_lint(rows):
     assert found(dictionary.metadata_lint(tags(rows)), "sensor", "issue") == [
         ("p1", "threshold_malformed"), ("p1", "untrimmed_text"), ("p2", "unit_spelling"),
         ("p3", "low_above_high"), ("p4", "duplicate_tag"), ("p4", "high_threshold_missing"), ("p4", "not_assessed")]
+
+
+def test_calendar_spans_more_than_a_century(rows):
+    data = rows(ROLLUP, ("m", "a", datetime(1901, 1, 1), 1, 1.0, 1, 0), ("m", "a", datetime(2024, 5, 1, 3), 1, 1.0, 1, 0))
+    got = rollup.calendar_ticks(data, "1 hour")
+    last = got.orderBy(F.desc("idx")).first()
+    hours = int((datetime(2024, 5, 1, 3) - datetime(1901, 1, 1)).total_seconds() // 3600)
+    assert (got.count(), last.idx, last.ts) == (hours + 1, hours, datetime(2024, 5, 1, 3))
+    odd = rollup.calendar_ticks(rows(ROLLUP, ("m", "a", datetime(2024, 1, 1), 1, 1.0, 1, 0), ("m", "a", datetime(2024, 1, 1, 2, 30), 1, 1.0, 1, 0)), "90 minutes")
+    assert found(odd, "idx", "ts") == [(0, datetime(2024, 1, 1)), (1, datetime(2024, 1, 1, 1, 30))]
+
+
+def test_readings_without_a_time_are_counted(rows):
+    data = rows("machine string, sensor string, ts timestamp_ntz, value double", ("m", "A", None, 1.0), ("m", "a", at(0), 2.0), ("m", "b", at(0), 3.0))
+    assert found(rollup.untimed(data), "sensor", "rows", "untimed", "status") == [("a", 2, 1, "untimed_readings"), ("b", 1, 0, "ok")]
+    assert rollup.untimed(data.limit(0)).collect() == []
+
+
+ROLLUP = ("machine string, sensor string, bucket_start timestamp_ntz, n bigint, sum_v double, n_valid bigint, "
+          "n_invalid bigint")
+MEASURES = ["machine", "sensor", "bucket_start", "n", "sum_v", "n_valid", "n_invalid"]
+
+
+def test_folds_equal_one_rebuild_and_repeats_change_nothing(spark, rows, monkeypatch):
+    path, rng = scratch_path(spark, "folds"), random.Random(3)
+    data = [[(rng.choice(["01", "m"]), rng.choice("abc"), at(rng.random() * 60), float(rng.randint(0, 9)), i) for i in range(200)] + [("m", "a", None, 1.0, 0)] for _ in range(4)]
+    loads = [rows(READING, *own) for own in data]
+    whole = lambda k: found(rollup.rollup(rows(READING, *[r for own in data[:k] for r in own])), *MEASURES)
+    now = lambda: found(incremental.read_folded(spark, path), *MEASURES)
+    assert incremental.record(spark, path).collect() == []
+    assert incremental.fold(loads[0], None, path, "one") and incremental.fold(loads[1], None, path, "two")
+    assert now() == whole(2)
+    assert not incremental.fold(loads[1], None, path, "two") and now() == whole(2)
+    # A fold that dies before its record leaves nothing that counts, and is repeated.
+    with monkeypatch.context() as m:
+        m.setattr(incremental, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            incremental.fold(loads[2], None, path, "three")
+        with pytest.raises(RuntimeError):
+            incremental.compact(spark, path)
+    assert now() == whole(2)
+    incremental.compact(spark, path)
+    assert now() == whole(2) and [p for p in os.listdir(f"{path}/data") if p.startswith("part=")] == ["part=c-3"]
+    assert incremental.fold(loads[2], None, path, "three") and not incremental.fold(loads[0], None, path, "one")
+    assert incremental.fold(loads[3].limit(0), None, path, "empty")
+    assert now() == whole(3)
+    assert found(incremental.record(spark, path), "batch", "readings", "untimed") == [("empty", 0, 0), ("one", 201, 1), ("three", 201, 1), ("two", 201, 1)]
+    plan = incremental.read_folded(spark, path).where("day = DATE '2024-01-02' AND machine = 'm'")._jdf.queryExecution().executedPlan().toString()
+    assert "day" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    with pytest.raises(ValueError):
+        incremental.fold(loads[0], None, path, "../x")

@@ -158,3 +158,9 @@ def test_density(rows):
     assert [d for _, _, d in got] == pytest.approx(expected.tolist())
     flat = found(distribution.density(series(rows, [2.0, 2.0])), "density")
     assert set(flat) == {(None,)}
+
+
+def test_dense_bins_are_all_listed_once(rows):
+    layout = rows("machine string, sensor string, n_bins bigint, low double, bin_width double", *[("m", f"s{n}", n, 0.0, 1.0) for n in (1, 2, 3, 4, 5, 16, 17, 1000)])
+    got = found(distribution._listed_bins(layout), "n_bins", "bin")
+    assert got == sorted((n, b) for n in (1, 2, 3, 4, 5, 16, 17, 1000) for b in range(n))

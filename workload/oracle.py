@@ -549,3 +549,9 @@ SQL["stream_history_report"] = with_ctes(
     _STATS + "\nUNION ALL ".join(_REPORT[:3]), "fence", "dict", "ev").replace(
     "event_id AS ingest_seq FROM events", f"event_id AS ingest_seq FROM events WHERE {_CLOSED}").replace(
     r6("r1.sum_v / nullif(r1.n, 0)"), "r1.sum_v / nullif(r1.n, 0)")
+SQL["rollup_folded_in_batches"] = with_ctes(
+    f"SELECT machine, sensor, bucket_start, n, {r6('sum_v')} AS sum_v, n_valid, n_invalid FROM r1", "r1")
+SQL["readings_without_time"] = """
+SELECT l_linestatus AS machine, lower(l_returnflag) AS sensor, count(*) AS "rows", count(*) FILTER (l_tax <= 0) AS untimed,
+       CASE WHEN count(*) FILTER (l_tax <= 0) > 0 THEN 'untimed_readings' ELSE 'ok' END AS status
+FROM lineitem GROUP BY ALL"""

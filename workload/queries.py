@@ -19,7 +19,8 @@ from meterline.plans import reports
 from meterline.schema import QualityConfig
 from meterline.session import scratch_path, settle
 from meterline.sources import dictionary as dictionary_reader
-from meterline.sources import tables
+from meterline.sources import incremental, tables
+from meterline.sources.tables import as_readings
 from meterline.streaming import history, jobs
 from workload import inputs
 from workload.inputs import EVENTS, LINES
@@ -668,3 +669,22 @@ def stream_history_report(spark, sf):
     rolled = jobs.stream_rollup(inputs.event_stream(spark, sf))
     history.start_history_watch(rolled, inputs.event_dictionary(spark), EVENTS, f"{path}/history", f"{path}/state").awaitTermination()
     return rounded(history.latest_report(spark, f"{path}/history"), "value")
+
+
+@query
+def rollup_folded_in_batches(spark, sf):
+    """The hourly rollup from four loads, one of them sent twice and a compaction between them."""
+    path, readings, known = scratch_path(spark, "folded"), inputs.event_readings(spark, sf), inputs.event_dictionary(spark)
+    for load in (0, 1, 1, 2, 3):
+        incremental.fold(readings.where(F.pmod("ingest_seq", F.lit(4)) == load), known, path, f"load-{load}", EVENTS.bucket)
+        if load == 2:
+            incremental.compact(spark, path)
+    return rounded(incremental.read_folded(spark, path).drop("day"), "sum_v")
+
+
+@query
+def readings_without_time(spark, sf):
+    """Lines without a tax count as sent without a time here: readings that no bucket can hold, per sensor."""
+    lines = inputs.table(spark, sf, "lineitem")
+    moment = F.when(F.col("l_tax") > 0, F.col("l_shipdate"))
+    return rollup.untimed(as_readings(lines, "l_linestatus", "l_returnflag", moment, "l_quantity"))

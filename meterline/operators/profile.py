@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from meterline.operators.quantiles import exact_quantiles
+from meterline.operators.quantiles import bin_moments, exact_quantiles, value_bins
+from meterline.session import settle
 
 KEYS = ["machine", "sensor"]
 QUARTILES = [0.25, 0.5, 0.75]
@@ -45,10 +46,12 @@ def general_info(series: DataFrame, value: str = "mean", frame: DataFrame | None
     return totals.withColumn("missing_pct", F.try_divide(F.col("missing"), F.col("total_points")) * 100)
 
 
-def describe(series: DataFrame, value: str = "mean", method: str = "percentile") -> DataFrame:
+def describe(series: DataFrame, value: str = "mean", method: str = "percentile", bins: DataFrame | None = None) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max per sensor, NULLs ignored.
 
-    ``method='refine'`` is for raw readings (see ``exact_quantiles``).
+    ``method='refine'`` is for raw readings (see ``exact_quantiles``): all but the quartiles comes from the value
+    bins, so the readings are read twice, or once with stored *bins*.  A sensor without a value then has no row
+    in the bins; its numbers are NULL and its count 0.
     """
     x = F.col(value).cast("double")
     basics = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
@@ -57,8 +60,8 @@ def describe(series: DataFrame, value: str = "mean", method: str = "percentile")
         stats = series.groupBy(*KEYS).agg(
             *basics, F.percentile(x, F.array(*map(F.lit, QUARTILES))).alias("quantiles"))
     else:
-        stats = series.groupBy(*KEYS).agg(*basics).join(
-            exact_quantiles(series, KEYS, value, QUARTILES, method), KEYS, "left")
+        bins = settle(value_bins(series, KEYS, value) if bins is None else bins, "bins")
+        stats = bin_moments(bins, KEYS).join(exact_quantiles(series, KEYS, value, QUARTILES, method, bins=bins), KEYS, "left")
     q = F.col("quantiles")
     return stats.select(*KEYS, "n", "mean", "std", "min", q[0].alias("p25"), q[1].alias("p50"),
                         q[2].alias("p75"), "max")

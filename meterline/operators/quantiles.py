@@ -12,19 +12,24 @@ from meterline.session import settle
 BINS = 4096
 #: Where infinite values stand on the squashed scale: beyond the logarithm of the largest double.
 BEYOND = 1000.0
+#: Bins of one unit of the scale log(1 + |x|), and the bin of the largest double.
+FINE, LAST = 64, 50_000
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    method: str = "percentile", gather: int = 1_000_000, spread_by: str = "ts") -> DataFrame:
+                    method: str = "percentile", gather: int = 1_000_000, spread_by: str = "ts",
+                    bins: DataFrame | None = None) -> DataFrame:
     """(keys..., quantiles ARRAY<DOUBLE>) of the non-null values, in the order of *probs*.
 
     ``percentile``  the built-in: one shuffle, but one task holds every distinct value
                     of a key.  Right for rollups, whose keys have one value per bucket.
-    ``refine``      for raw readings, where one key may own a third of all rows: counts in
-                    bins shrink the value range of each rank, at least once and until at most
-                    *gather* values are left in it, then counts by value find it.  Same result;
-                    only counts are shuffled.  *spread_by* scatters a key's rows should the
-                    ranges not fit a broadcast.  The caller chooses; no size does.
+    ``refine``      for raw readings, where one key may own a third of all rows: counts in the bins
+                    of a fixed scale give each rank its bin exactly, and one more scan counts the values
+                    of these bins.  Bins of more than *gather* values are cut further first.  Same
+                    result; only counts are shuffled.  *spread_by* scatters a key's rows should the
+                    ranges not fit a broadcast.  *bins* are stored ``value_bins`` of the same rows, which
+                    merge and so are kept beside a rollup: with them the values are read once.
+                    The caller chooses the method; no size does.
     """
     x = F.col(value).cast("double").alias("x")
     present = df.where(F.col(value).isNotNull())
@@ -33,7 +38,50 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     if method != "refine":
         raise ValueError("method is 'percentile' or 'refine'")
     values = present.select(*keys, x, F.col(spread_by).alias("_by"))
-    return _refined(values, keys, [float(p) for p in probs], gather)
+    if bins is None:
+        bins = value_bins(values, keys, "x")
+    return _refined(values, keys, [float(p) for p in probs], gather, settle(bins.where("bin IS NOT NULL").select(*keys, "bin", "c", "lo", "hi"), "bins"))
+
+
+def value_bin(x: Column) -> Column:
+    """The value's bin on a fixed scale: it never falls as x rises, so ranks can be counted in bins; NaN is the greatest."""
+    size = F.least(F.floor(F.log1p(F.abs(x)) * FINE), F.lit(LAST).cast("bigint")).cast("int")
+    far = F.when(x > 0, LAST + 1).otherwise(-LAST - 2)
+    return F.when(F.isnan(x), LAST + 2).when(F.abs(x) == float("inf"), far).when(x >= 0, size).otherwise(-size - 1)
+
+
+def value_bins(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., bin, c, lo, hi, mean, squares): values of each bin, how many, their range, mean and squared deviations.
+
+    Combined before the shuffle; a key has some hundred bins, however many rows.  Rows without a value make a bin
+    NULL of count 0, so that no key is lost.
+    """
+    x = F.col(value).cast("double")
+    return (df.groupBy(*keys, value_bin(x).alias("bin"))
+            .agg(F.count(x).alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("squares")))
+
+
+def merge_bins(*parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Bins of all the rows behind *parts*; deviations are merged about the common mean."""
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    c = F.col("c")
+    mean = F.try_divide(F.sum(F.col("mean") * c).over(Window.partitionBy(*keys, "bin")), F.sum(c).over(Window.partitionBy(*keys, "bin")))
+    about = F.coalesce(F.col("squares"), F.lit(0.0)) + c * (F.col("mean") - F.col("common")) * (F.col("mean") - F.col("common"))
+    return (rows.withColumn("common", mean).groupBy(*keys, "bin")
+            .agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("common").alias("mean"), F.sum(about).alias("squares")))
+
+
+def bin_moments(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., n, mean, std, min, max) of the values behind *bins*."""
+    c = F.col("c")
+    totals = bins.groupBy(*keys).agg(F.sum("c").alias("n"), F.try_divide(F.sum(F.col("mean") * c), F.sum("c")).alias("mean"), F.min("lo").alias("min"), F.max("hi").alias("max"))
+    shift = F.col("own") - F.col("mean")
+    spread = (bins.withColumnRenamed("mean", "own").join(totals.select(*keys, "mean"), keys).groupBy(*keys)
+              .agg(F.sum(F.col("squares") + c * shift * shift).alias("squares")))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
+    return totals.join(spread, keys).select(*keys, "n", "mean", std.alias("std"), "min", "max")
 
 
 def _built_in(values: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
@@ -41,27 +89,29 @@ def _built_in(values: DataFrame, keys: list[str], probs: list[float]) -> DataFra
         F.percentile("x", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles"))
 
 
-def _refined(values: DataFrame, keys: list[str], probs: list[float], gather: int) -> DataFrame:
+def _refined(values: DataFrame, keys: list[str], probs: list[float], gather: int, bins: DataFrame) -> DataFrame:
     # A target is one order statistic next to a rank p*(n-1): a value range known to hold it
     # and its rank inside.  The targets, one row per key, are written each time: their real
     # size then decides whether the next scan broadcasts them, and no scan repeats an earlier one.
-    bounds = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     wanted = []
     for i, p in enumerate(probs):
         rank = F.lit(p) * (F.col("n") - 1)
         for side, r in (("low", F.floor(rank)), ("high", F.ceil(rank))):
-            wanted.append(F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), r.alias("rank"),
-                                   (rank - F.floor(rank)).alias("weight"), F.col("n").alias("size"),
-                                   F.col("lo").alias("lo"), F.col("hi").alias("hi")))
-    targets = settle(bounds.select(*keys, F.array(*wanted).alias("targets")), "targets")
-    ranges = 1
+            wanted.append(F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), r.alias("rank"), (rank - F.floor(rank)).alias("weight")))
+    own = Window.partitionBy(*keys)
+    upto = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stacked = bins.withColumn("n", F.sum("c").over(own)).withColumn("before", F.sum("c").over(upto) - F.col("c"))
+    held = F.filter(F.array(*wanted), lambda t: (F.col("before") <= t["rank"]) & (t["rank"] < F.col("before") + F.col("c")))
+    found = F.transform(held, lambda t: F.struct(
+        t["q"].alias("q"), t["side"].alias("side"), (t["rank"] - F.col("before")).alias("rank"), t["weight"].alias("weight"),
+        F.col("c").alias("size"), F.col("lo").alias("lo"), F.col("hi").alias("hi")))
+    targets = settle(stacked.withColumn("found", found).where(F.size("found") > 0).groupBy(*keys)
+                     .agg(F.flatten(F.collect_list("found")).alias("targets")), "targets")
+    ranges = 2 * len(probs)
     # A range's ends fall into different bins, so every level splits it; a double has no more
     # than a few such splits in it.
-    first = True
-    while first or _crowded(targets, gather):
-        targets = settle(_narrowed(values, keys, targets, ranges, squashed=first), "targets")
-        ranges, first = 2 * len(probs), False
+    while _crowded(targets, gather):
+        targets = settle(_narrowed(values, keys, targets, ranges), "targets")
 
     counts = _in_ranges(values, keys, targets, ranges).groupBy(*keys, "lo", "hi", "x").agg(
         F.count(F.lit(1)).alias("c"))
@@ -107,12 +157,12 @@ def _ranked(counts: DataFrame, keys: list[str], targets: DataFrame, order: str)
             .where((F.col("before") <= F.col("t.rank")) & (F.col("t.rank") < F.col("before") + F.col("c"))))
 
 
-def _narrowed(values: DataFrame, keys: list[str], targets: DataFrame, ranges: int, squashed: bool) -> DataFrame:
+def _narrowed(values: DataFrame, keys: list[str], targets: DataFrame, ranges: int) -> DataFrame:
     """Targets shrunk to the bin that holds their rank, between the bin's smallest and largest value.
 
-    Bins are even on the squashed scale at first, and for ranges too wide to subtract; else on the values' own.
+    Bins are even on the values' own scale, and on the squashed one for ranges too wide to subtract.
     """
-    wide = F.lit(squashed) | (F.abs(F.col("hi") - F.col("lo")) == float("inf")) | F.isnan(F.col("hi") - F.col("lo"))
+    wide = (F.abs(F.col("hi") - F.col("lo")) == float("inf")) | F.isnan(F.col("hi") - F.col("lo"))
     lo, hi, x = (F.when(wide, _squashed(F.col(c))).otherwise(F.col(c)) for c in ("lo", "hi", "x"))
     place = F.floor(F.try_divide(x - lo, hi - lo) * BINS)
     bins = F.coalesce(F.least(place, F.lit(BINS - 1).cast("bigint")), F.lit(0).cast("bigint"))

@@ -16,23 +16,16 @@ from pyspark.sql.streaming import StreamingQuery
 from meterline.functions import violates_limits
 from meterline.operators.dictionary import limits
 from meterline.operators.outliers import far_from_mean, outside_fences
+from meterline.operators.quantiles import value_bin
 from meterline.operators.rollup import with_mean
 from meterline.schema import QualityConfig
 from meterline.session import settle
 from meterline.streaming.jobs import _delete_matching
 
 KEYS = ["machine", "sensor"]
-#: Bins of one unit of the scale log(1 + |x|), and the bin of the largest double.
-FINE, LAST = 64, 50_000
 PARTS = ("moments", "bins", "ticks")
 
 
-def value_bin(x: Column) -> Column:
-    """The value's bin: never falls as x rises, so ranks can be counted in bins."""
-    size = F.least(F.floor(F.log1p(F.abs(x)) * FINE), F.lit(LAST).cast("bigint")).cast("int")
-    return F.when(F.abs(x) == float("inf"), F.when(x > 0, LAST).otherwise(-LAST - 1)).when(x >= 0, size).otherwise(-size - 1)
-
-
 def history_values(closed: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(machine, sensor, ts, mean, bin, known, issue) of closed buckets."""
     known = limits(dictionary).select("sensor", "low_limit", "high_limit", F.lit(True).alias("known"))

@@ -123,14 +123,33 @@ def test_refined_quantiles_with_infinities_and_a_hot_key(rows, monkeypatch):
     hot = [float("-inf"), float("inf"), 1.7e308, -1.7e308, *[1.0 + i * 1e-12 for i in range(600)], *[3.0] * 300]
     data = series(rows, hot).unionByName(series(rows, [1.0, 2.0], "b"))
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    for gather, most in ((1_000_000, 1), (5, 8)):
+    for gather, most in ((1_000_000, 0), (5, 8)):
         levels.clear()
         got = exact_quantiles(data, ["machine", "sensor"], "mean", probs, method="refine", gather=gather)
         found_ = dict(found(got, "sensor", "quantiles"))
         ordered = sorted(hot)
         expected = [ordered[0], *[ordered[int(p * (len(hot) - 1))] for p in probs[1:-1]], ordered[-1]]
         assert found_["a"] == pytest.approx(expected, rel=1e-9) and found_["b"] == [1.0, 1.25, 1.5, 1.75, 2.0]
-        assert 1 <= len(levels) <= most
+        assert (gather < 10) <= len(levels) <= most
+
+
+def test_stored_bins_merge_and_leave_one_scan(rows, monkeypatch):
+    from meterline.operators import quantiles
+
+    rng = random.Random(9)
+    values = [rng.choice([rng.gauss(1000, 30), rng.gauss(-5, 1), 1e9, 0.0]) for _ in range(900)]
+    parts = [series(rows, values[i::3]).unionByName(series(rows, [None, 4.0], "b")).unionByName(series(rows, [None], "c")) for i in range(3)]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    keys = ["machine", "sensor"]
+    stored = quantiles.merge_bins(*[quantiles.value_bins(p, keys, "mean") for p in parts], keys=keys)
+    monkeypatch.setattr(quantiles, "_narrowed", None)  # no scan but the counting one
+    monkeypatch.setattr(profile, "value_bins", None)
+    columns = ["sensor", "n", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    got = found(profile.describe(whole, method="refine", bins=stored), *columns)
+    expected = found(profile.describe(whole), *columns)
+    assert [r[:2] for r in got] == [r[:2] for r in expected] and got[2] == ("c", 0, *[None] * 7)
+    for g, e in zip(got[:2], expected[:2]):
+        assert g[2:] == pytest.approx(e[2:], rel=1e-12)
 
 
 def test_refined_quantiles_by_key(rows):

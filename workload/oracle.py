@@ -555,3 +555,4 @@ SQL["readings_without_time"] = """
 SELECT l_linestatus AS machine, lower(l_returnflag) AS sensor, count(*) AS "rows", count(*) FILTER (l_tax <= 0) AS untimed,
        CASE WHEN count(*) FILTER (l_tax <= 0) > 0 THEN 'untimed_readings' ELSE 'ok' END AS status
 FROM lineitem GROUP BY ALL"""
+SQL["describe_with_stored_bins"] = SQL["describe_raw_readings"]

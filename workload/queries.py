@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions import digits_only
 from meterline.operators import (
-    accuracy, consistency, correlation, dictionary, distribution, invalid, missing, outliers, profile, reshape,
+    accuracy, consistency, correlation, dictionary, distribution, invalid, missing, outliers, profile, quantiles, reshape,
     rollup, timeseries,
 )
 from meterline.plans import reports
@@ -662,6 +662,15 @@ def stream_quality_report(spark, sf):
     return rounded(newest.select("machine", "sensor", "check", "metric", "m.*"), "value")
 
 
+@query
+def describe_with_stored_bins(spark, sf):
+    """Raw readings once: value bins of two loads, stored and merged as a rollup would be, bound every quartile."""
+    readings, keys = inputs.line_readings(spark, sf), ["machine", "sensor"]
+    loads = [settle(quantiles.value_bins(readings.where(half), keys, "value"), "value-bins") for half in ("ts < '1995-01-01'", "ts >= '1995-01-01' OR ts IS NULL")]
+    stats = profile.describe(readings, "value", method="refine", bins=quantiles.merge_bins(*loads, keys=keys))
+    return rounded(stats, "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
 @query
 def stream_history_report(spark, sf):
     """The report over all closed buckets after the last batch, from merged state; the means are not rounded on their way in."""

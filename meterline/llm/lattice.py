@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from meterline.llm.components import connected_components
 from meterline.llm.tables import record
-from meterline.llm.vectors import matrix, unit, usable
+from meterline.llm.vectors import by_dimension, matrix, unit, usable
 from meterline.llm.words import mix
 from meterline.session import settle
 
@@ -153,20 +153,8 @@ def _compare(least: float, tables: int, probes: int, scale: float, seed: int):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, id_column: str = "vec_id", vector: str = "embedding",
-                           tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = 7) -> DataFrame:
-    """(id, n_links, component_id, kept), one row per row of *vectors*.
-
-    Linked are vectors found with cosine >= *least*.  Equal vectors are one class, which is hashed once
-    and counts as many links as it has members.  Vectors that are null, zero, hold null or non-finite
-    components, or are of another than the commonest dimension link with nothing.  Rows that repeat an id are members
-    of their own but share n_links (the greatest) and component.  A null id comes back with no links.
-    """
-    good = usable(vectors, id_column, vector)
-    classes = good.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    member = settle(good.join(classes, "v"), "vectors")
-    rep = member.where("id = rep").dropDuplicates(["id"]).select("id", "n", "v")
-
+def _met(rep: DataFrame, least: float, tables: int, probes: int, scale: float, seed: int) -> DataFrame:
+    """(id, links, least): what the classes *rep* (id, n, v) of one dimension meet in each group of cells."""
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
@@ -180,7 +168,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, id_column: st
                     home=np.tile(np.arange(width) % (probes + 1) == 0, len(own)), id=part.column("id").take(row),
                     n=part.column("n").take(row), v=part.column("v").take(row))
 
-    placed = rep.mapInArrow(places, f"cell long, table int, home boolean, id long, n long, v {good.schema['v'].dataType.simpleString()}")
+    placed = rep.mapInArrow(places, f"cell long, table int, home boolean, id long, n long, v {rep.schema['v'].dataType.simpleString()}")
     # Sizes first, without the vectors: cells nobody lives in, or with one row, are done; large ones are cut into blocks.
     sizes = settle(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("lived_in"))
                    .where("rows > 1 AND lived_in").select("cell", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "cells")
@@ -192,8 +180,27 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, id_column: st
                      (F.col("own") > F.col("k")).alias("side")))
     total = rep.count() * tables * (probes + 1)
     groups = max(1, -(-total // GROUP))
-    met = settle(dealt.withColumn("group", F.pmod(F.xxhash64("cell", "x", "y"), F.lit(groups))).groupBy("group").applyInPandas(
+    return settle(dealt.withColumn("group", F.pmod(F.xxhash64("cell", "x", "y"), F.lit(groups))).groupBy("group").applyInPandas(
         _compare(least, tables, probes, scale, seed), "id long, links long, least long"), "met")
+
+
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, id_column: str = "vec_id", vector: str = "embedding",
+                           tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = 7) -> DataFrame:
+    """(id, n_links, component_id, kept), one row per row of *vectors*.
+
+    Linked are vectors found with cosine >= *least*.  Equal vectors are one class, which is hashed once
+    and counts as many links as it has members.  Vectors that are null, zero, hold null or non-finite
+    components link with nothing; vectors of different dimensions are never compared.  Rows that repeat an id are members
+    of their own but share n_links (the greatest) and component.  A null id comes back with no links.
+    """
+    good = usable(vectors, id_column, vector)
+    classes = good.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    member = settle(good.join(classes, "v"), "vectors")
+    rep = member.where("id = rep").dropDuplicates(["id"]).select("id", "n", "v")
+    met = None
+    for part in by_dimension(rep):
+        own = _met(part, least, tables, probes, scale, seed)
+        met = own if met is None else met.union(own)
     outside = met.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
     edges = met.where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v")).union(
         member.where("id != rep").select(F.col("rep").alias("u"), F.col("id").alias("v")))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.llm.tables import record
-from meterline.llm.vectors import matrix, unit, usable
+from meterline.llm.vectors import by_dimension, matrix, unit, usable
 from meterline.session import settle
 
 #: Vectors the tree is fitted on, children of a node, sample vectors a leaf is made of at least.
@@ -151,10 +151,20 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_colum
     """(query_id, rank, vec_id, score): the *k* nearest found of each row whose id is divisible by *every*.
 
     Candidates are all rows but the query's own.  Vectors that are null, zero, hold null or non-finite
-    components, or are of another than the commonest dimension take no part, nor do rows without an id; rows that
-    repeat an id are one candidate, the nearest of them.  With fewer than *k* candidates all are returned.
+    components take no part, nor do rows without an id; each dimension has a tree of its own, and candidates are of
+    the query's dimension.  Rows that repeat an id are one candidate, the nearest of them.  With fewer than *k*
+    candidates all are returned.
     """
-    rows = settle(usable(vectors, id_column, vector), "rows")
+    parts = by_dimension(settle(usable(vectors, id_column, vector), "rows"))
+    found = None
+    for rows in parts:
+        own = _found(rows, every, k, sample, recall, leaf)
+        found = own if found is None else found.union(own)
+    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _found(rows: DataFrame, every: int, k: int, sample: int, recall: float, leaf: int) -> DataFrame:
+    """(query_id, vec_id, score): the nearest of each query in each bin it asks, for vectors of one dimension."""
     kind = rows.schema["v"].dataType.simpleString()
     fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     tree = fit(unit(np.stack(fitted.v.to_list()).astype(float)) if len(fitted) else np.zeros((0, 1)), leaf=leaf)
@@ -190,5 +200,4 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_colum
         return pd.DataFrame(_nearest(left.id.to_numpy(), np.stack(left.v.to_list()).astype(float), right.id.to_numpy(),
                                      np.stack(right.v.to_list()).astype(float), k))
 
-    found = asked.groupBy("bin").cogroup(kept.groupBy("bin")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return asked.groupBy("bin").cogroup(kept.groupBy("bin")).applyInPandas(compare, "query_id long, vec_id long, score double")

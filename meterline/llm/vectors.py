@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(id, v) of the rows whose vector is finite, not zero and of the table's commonest dimension (the greater on a tie).
+    """(id, v) of the rows whose vector is finite and not zero, of any dimension.
 
     v keeps single precision where the table has it, which halves what is shuffled; all arithmetic is in double.
     """
     v = F.col("v")
     kind = vectors.schema[vector].dataType.simpleString()
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    found = (vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast(kind if kind == "array<float>" else "array<double>").alias("v"))
-             .where(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)))
-    common = found.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    return found.where(F.size("v") == (common.size if common else 0))
+    return (vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast(kind if kind == "array<float>" else "array<double>").alias("v"))
+            .where(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)))
+
+
+def by_dimension(rows: DataFrame) -> list[DataFrame]:
+    """*rows* (id, v) parted by the dimension of v, which only the like can be compared in; one empty part without rows."""
+    sizes = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())  # one number a dimension
+    return [rows.where(F.size("v") == n) for n in sizes] or [rows]
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -395,3 +395,32 @@ def test_licences(spark):
                    (7, None, None, None), (8, None, None, None), (9, None, "MIT", "a/LICENSE")]
     assert licences.scan(files).count() == len(rows)
     assert licences.scan(files.limit(0)).count() == 0
+
+
+def test_vectors_of_every_dimension_take_part(spark):
+    """Three dimensions, the rarest with two vectors: links and neighbours against all pairs of one dimension."""
+    rng = np.random.default_rng(5)
+    base = {3: rng.normal(size=(6, 3)), 8: rng.normal(size=(9, 8)), 2: np.array([[1.0, 0.0]])}
+    rows, key = [], 0
+    for size, many in ((3, 40), (8, 60), (2, 2)):
+        for i in range(many):
+            v = base[size][i % len(base[size])] + (rng.normal(size=size) * 0.05 if size != 2 else np.array([0.0, 0.01 * i]))
+            rows.append((key, v.tolist()))
+            key += 1
+    rows += [(200, None), (201, [0.0, 0.0]), (202, [1.0, float("nan")]), (203, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows[:key]}
+    cosine = lambda a, b: float(unit[a] @ unit[b]) if len(unit[a]) == len(unit[b]) else None
+    links = [(a, b) for a in unit for b in unit if a < b and cosine(a, b) is not None and cosine(a, b) >= 0.9]
+    degree = Counter(x for p in links for x in p)
+    component = groups([k for k, _ in rows], links)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicate_vectors(table).collect()}
+    assert got == {k: (degree[k], component[k]) for k, _ in rows}
+    assert got[100] == (1, 100) and got[101] == (1, 100)
+    near = {}
+    for r in neighbours.nearest_neighbours(table, every=10, recall=1.0).collect():
+        near.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in [k for k in unit if k % 10 == 0]:
+        best = sorted((k for k in unit if k != q and cosine(q, k) is not None), key=lambda k: (-cosine(q, k), k))[:5]
+        assert [v for _, v in sorted(near[q])] == best
+    assert near[100] == [(1, 101)]

@@ -397,6 +397,29 @@ def test_licences(spark):
     assert licences.scan(files.limit(0)).count() == 0
 
 
+def test_licences_whole(spark):
+    """Wrapped headers, whole licence files, titles, declared identifiers, ties, repeats and a very long text; plain code has none."""
+    grant, rest = licences._MIT_GRANT, licences._MIT_REST
+    wrap = lambda text, lead: "\n".join(lead + " ".join(text.split()[i:i + 9]) for i in range(0, len(text.split()), 9))
+    mit = f"MIT License\n\nCopyright (c) 2024 Jane Doe\n\n{wrap(grant, '')}\n\n{wrap(rest, '')}\n"
+    gpl = wrap(licences._GNU_NOTICE.format(kind="General", version=3), "# ")
+    old = wrap(licences._GNU_NOTICE.format(kind="General", version=2), " * ")
+    rows = [(1, "m/LICENSE", mit), (2, "m/src/a.py", "import os\n"), (3, "g/b.py", f"#!/usr/bin/env python\n#\n{gpl}\n#\nimport os\nx = 1\n"),
+            (4, "g/c.c", f"/*\n{old}\n */\nint main;\n"), (5, "s/d.rs", "// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main() {}\n"),
+            (6, "p/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007"),
+            (7, "p/q/e.txt", "word " * 400_000 + "\nno header here\n" * 1000), (8, "z/f.c", gpl.replace("# ", "// ") + "\n\n" + "x = y;\n" * 50_000),
+            (9, "z/g.txt", "The software is licensed to nobody in particular, and the license does not matter."), (10, None, old), (10, None, old)]
+    got = {r.doc_id: (r.own_licence, r.licence, r.licence_from) for r in
+           licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {
+        1: ("MIT", "MIT", "m/LICENSE"), 2: (None, "MIT", "m/LICENSE"), 3: ("GPL-3.0", "GPL-3.0", "g/b.py"), 4: ("GPL-2.0", "GPL-2.0", "g/c.c"),
+        5: ("MIT OR Apache-2.0", "MIT OR Apache-2.0", "s/d.rs"), 6: ("GPL-3.0", "GPL-3.0", "p/COPYING"), 7: (None, "GPL-3.0", "p/COPYING"),
+        8: ("GPL-3.0", "GPL-3.0", "z/f.c"), 9: (None, None, None), 10: ("GPL-2.0", "GPL-2.0", None)}
+    tie = licences.scan(spark.createDataFrame([(1, "a", "one two three")], "doc_id long, path string, text string"),
+                        templates={"B": ["one two three"], "A": ["three two one"]}).first()
+    assert (tie.own_licence, tie.own_score) == ("A", 1.0)
+
+
 def test_vectors_of_every_dimension_take_part(spark):
     """Three dimensions, the rarest with two vectors: links and neighbours against all pairs of one dimension."""
     rng = np.random.default_rng(5)

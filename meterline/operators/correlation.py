@@ -83,21 +83,31 @@ def correlation(series: DataFrame, value: str = "mean", bucket: str = "1 hour",
     size and however short the buckets, and only six sums per pair and slice leave it.  r is NULL when either sensor is constant
     over the common ticks.
     """
-    slice_s = duration_seconds(bucket) * slice_ticks
-    rows = series.where(F.col(value).isNotNull()).select(
-        "machine", "sensor", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("tick"),
-        F.col(value).cast("double").alias("x"))
+    rows = _tick_rows(series, value)
     per_sensor = rows.groupBy("machine", "sensor").agg(F.avg("x").alias("centre"))
     blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("machine")) / F.lit(block_sensors)).cast("int")
     placed = per_sensor.select(
-        "machine", "sensor", "centre", blocks.alias("blocks"),
+        "machine", "sensor", "centre", F.sequence(F.lit(0), blocks - 1).alias("partners"),
         F.pmod(F.xxhash64("sensor"), blocks).cast("int").alias("block"))
-    partner = F.col("partner")
+    return correlate_blocks(rows, placed, duration_seconds(bucket) * slice_ticks)
+
+
+def _tick_rows(series: DataFrame, value: str) -> DataFrame:
+    return series.where(F.col(value).isNotNull()).select(
+        "machine", "sensor", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("tick"),
+        F.col(value).cast("double").alias("x"))
+
+
+def correlate_blocks(rows: DataFrame, placed: DataFrame, slice_s: int) -> DataFrame:
+    """Correlation of *rows* (machine, sensor, tick, x) for the pairs of blocks that *placed* asks for.
+
+    *placed* has (machine, sensor, centre, block, partners): a sensor meets the sensors of the blocks in *partners*.
+    """
     cells = (
         salted_join(rows, placed, ["machine", "sensor"], "tick")
-        .withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("partner", F.explode("partners"))
         .select("machine", F.expr(f"tick div {slice_s}").alias("slice"),
-                F.least("block", partner).alias("left"), F.greatest("block", partner).alias("right"),
+                F.least("block", "partner").alias("left"), F.greatest("block", "partner").alias("right"),
                 "block", "sensor", "tick", "x", "centre")
     )
     partial = cells.groupBy("machine", "slice", "left", "right").applyInPandas(_block_sums(), _PARTIAL)

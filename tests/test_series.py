@@ -1,9 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from meterline.operators import correlation, distribution, timeseries
+from meterline.operators import correlation, distribution, strong, timeseries
 from tests.conftest import at, found
 
 SERIES = "machine string, sensor string, ts timestamp_ntz, idx bigint, mean double"
@@ -112,6 +113,42 @@ def test_correlation_blocks_equal_pandas(rows, block, ticks):
             assert r == pytest.approx(expected.loc[a, b], abs=1e-6)
 
 
+@pytest.mark.parametrize("threshold,share", [(0.9, 0.25), (0.7, 0.5), (0.3, 1.0)])
+def test_pruned_strong_pairs_equal_all(spark, threshold, share):
+    """Smooth series in families of either sign, noise, constants, and sensors with ticks of their own; a machine without any large group."""
+    rng = np.random.default_rng(5)
+    n = 150
+    t = np.arange(n) / n
+    frame = {}
+    for k in range(8):
+        base = np.sin(2 * np.pi * (k % 4 + 1) * t + k) + 0.3 * rng.normal(size=n).cumsum() / np.sqrt(n)
+        for i in range(6):
+            frame[f"s{k}_{i}"] = (-1) ** i * 10**i * (base + 0.15 * rng.normal(size=n)) + 1e5
+    frame["flat"], frame["noise"] = np.full(n, 2.5), rng.normal(size=n)
+    for i in range(4):
+        holed = frame[f"s{i}_0"] + 0.01 * rng.normal(size=n)
+        holed[rng.random(n) < 0.2] = np.nan
+        frame[f"h{i}"] = holed
+    wide = pd.DataFrame(frame)
+    wide["ts"] = [at(i) for i in range(n)]
+    long = wide.melt("ts", var_name="sensor", value_name="mean").dropna()
+    long["machine"] = "m"
+    other = long[long.sensor.isin(["h0", "h1", "h2"])].assign(machine="k")
+    data = spark.createDataFrame(pd.concat([long, other])[["machine", "sensor", "ts", "mean"]])
+    want = found(correlation.strong_pairs(correlation.correlation(data), threshold), "machine", "sensor_a", "sensor_b", "r", "n_pairs")
+    got = found(strong.find_strong_pairs(data, threshold, slice_ticks=40, block_sensors=16, least_group=8), "machine", "sensor_a", "sensor_b", "r", "n_pairs")
+    assert [(*g[:3], g[4]) for g in got] == [(*w[:3], w[4]) for w in want] and len(want) > 50
+    assert all(abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, want))
+
+    complete = data.where("machine = 'm' AND sensor NOT LIKE 'h%' AND sensor <> 'flat'")
+    vectors = complete.select("machine", "sensor", F.struct(F.lit(n).cast("bigint").alias("n")).alias("group"), F.unix_timestamp("ts").alias("tick"),
+                              ((F.col("mean") - F.avg("mean").over(Window.partitionBy("sensor")))
+                               / F.stddev_pop("mean").over(Window.partitionBy("sensor")) / n**0.5).alias("u"))
+    formed = strong.candidates(strong.sketches(vectors, 8), threshold).count()
+    assert 0 < formed <= share * 49 * 48 / 2
+    assert strong.find_strong_pairs(data.limit(0), threshold).isEmpty()
+
+
 def test_machines_are_never_paired(rows):
     data = series(rows, [1.0, 2.0], "a", "m").unionByName(series(rows, [1.0, 2.0], "b", "k"))
     assert correlation.correlation(data).isEmpty()

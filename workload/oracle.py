@@ -409,6 +409,15 @@ SQL: dict[str, str] = {
     "strong_pairs": with_ctes(
         f"SELECT machine, sensor_a, sensor_b, {r6('r')} AS r, n_pairs FROM pair WHERE abs(r) > CAST(0.04 AS DOUBLE)",
         "pair"),
+    "strong_pairs_of_gappy_series": with_ctes(
+        f"SELECT machine, sensor_a, sensor_b, {r6('r')} AS r, n_pairs FROM pair WHERE abs(r) > CAST(0.04 AS DOUBLE)",
+        "pair"),
+    "strong_pairs_pruned": with_ctes(
+        f"""SELECT machine, sensor_a, sensor_b, {r6('c / sqrt(vx * vy)')} AS r, n_pairs FROM (
+            SELECT a.machine, a.sensor AS sensor_a, b.sensor AS sensor_b, count(*) AS n_pairs,
+              var_pop(a.mean) AS vx, var_pop(b.mean) AS vy, covar_pop(a.mean, b.mean) AS c
+            FROM cal a JOIN cal b ON a.machine = b.machine AND a.ts = b.ts AND a.sensor < b.sensor GROUP BY ALL)
+            WHERE vx > 0 AND vy > 0 AND abs(c / sqrt(vx * vy)) > CAST(0.04 AS DOUBLE)""", "cal"),
     "rolling_mean": with_ctes(_rolled("avg", "cal", 24), "cal"),
     "rolling_mean_of_means": with_ctes(_rolled("avg", "dgrid", 7), "dgrid"),
     "rolling_std": with_ctes(_rolled("stddev_samp", "cal", 24), "cal"),

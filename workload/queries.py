@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from meterline.functions import digits_only
 from meterline.operators import (
     accuracy, consistency, correlation, dictionary, distribution, invalid, missing, outliers, profile, quantiles, reshape,
-    rollup, timeseries,
+    rollup, strong, timeseries,
 )
 from meterline.plans import reports
 from meterline.schema import QualityConfig
@@ -485,6 +485,18 @@ def strong_pairs(spark, sf):
     return rounded(correlation.strong_pairs(pairs, 0.04), "r")
 
 
+@query
+def strong_pairs_pruned(spark, sf):
+    """Pairs of readings per hour, formed only where the leading coefficients allow them to be strong."""
+    return rounded(strong.find_strong_pairs(inputs.event_counts(spark, sf), 0.04, least_group=2), "r")
+
+
+@query
+def strong_pairs_of_gappy_series(spark, sf):
+    """Sensors with ticks of their own go through the blocked product."""
+    return rounded(strong.find_strong_pairs(inputs.stored_event_series(spark, sf), 0.04, least_group=2), "r")
+
+
 # -- time series ---------------------------------------------------------------
 
 @query

@@ -74,25 +74,37 @@ def _listed_bins(layout: DataFrame) -> DataFrame:
                        F.explode(F.sequence("first", F.least(F.col("first") + F.col("run"), F.col("n_bins")) - 1)).alias("bin"))
 
 
-def density(series: DataFrame, value: str = "mean", points: int = 200) -> DataFrame:
+#: Power sums kept of a bin.
+_ORDERS = 9
+
+
+def density(series: DataFrame, value: str = "mean", points: int = 200, method: str = "values") -> DataFrame:
     """(machine, sensor, point, x, density): Gaussian kernel estimate, Scott bandwidth.
 
-    *points* evenly spaced places from the smallest to the largest value.  Equal values
-    fold into one weighted row first; a task then sums the kernels of its rows of a sensor at all
-    places at once, and only these sums, *points* a sensor and batch, leave it.
-    A sensor without spread gets NULL densities.
+    *points* evenly spaced places from the smallest to the largest value.  A task sums the kernels of its
+    rows of a sensor at all places at once, and only these sums, *points* a sensor and batch, leave it.
+    ``"values"`` folds equal values into one weighted row first.  ``"moments"`` folds values into bins a quarter of a
+    bandwidth wide and keeps nine power sums of each, so the cost does not depend on how many values differ; each
+    kernel is then off by less than 2e-11 of its height.  A sensor without spread gets NULL densities.
     """
-    values = series.where(F.col(value).isNotNull()).select(*KEYS, F.col(value).alias("v"))
-    weighted = values.groupBy(*KEYS, "v").agg(F.count(F.lit(1)).alias("w"))
+    if method not in ("values", "moments"):
+        raise ValueError(f"unknown method {method!r}")
+    values = series.where(F.col(value).isNotNull()).select(*KEYS, F.col(value).cast("double").alias("v"))
     stats = values.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("x0"), F.max("v").alias("x1"),
         F.stddev_samp("v").alias("std"))
     bandwidth = F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     stats = stats.select(*KEYS, "n", "x0", "x1", F.nullif(bandwidth, F.lit(0.0)).alias("bw"))
     place = F.col("x0") + F.col("point") * ((F.col("x1") - F.col("x0")) / (points - 1))
-    joined = salted_join(weighted, stats, KEYS, "v").select(*KEYS, "v", "w", "n", "x0", "x1", "bw")
-    sums = (joined.where("bw IS NOT NULL").sortWithinPartitions(*KEYS)
-            .mapInPandas(_kernel_sums(points), "machine string, sensor string, point int, k double")
+    if method == "values":
+        weighted = values.groupBy(*KEYS, "v").agg(F.count(F.lit(1)).alias("w"))
+        joined = salted_join(weighted, stats, KEYS, "v").select(*KEYS, "v", "w", "n", "x0", "x1", "bw").where("bw IS NOT NULL")
+        summed = _kernel_sums(points)
+    else:
+        joined = _binned_moments(salted_join(values, stats.where("bw IS NOT NULL"), KEYS, "v"))
+        summed = _series_sums(points)
+    sums = (joined.sortWithinPartitions(*KEYS)
+            .mapInPandas(summed, "machine string, sensor string, point int, k double")
             .groupBy(*KEYS, "point").agg(F.sum("k").alias("k")))
     places = stats.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", place)
     return (places.join(sums, [*KEYS, "point"], "left")
@@ -100,6 +112,45 @@ def density(series: DataFrame, value: str = "mean", points: int = 200) -> DataFr
                     (F.col("k") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density")))
 
 
+def _binned_moments(values: DataFrame) -> DataFrame:
+    """Power sums m0, m1, ... of the distances to the bin's centre, in bandwidths, per sensor and bin of a quarter bandwidth.
+
+    With |e| <= 1/8 the terms e^k He_k(z) exp(-z^2/2) / k! of a kernel are at most 1.09 e^k / sqrt(k!), so those from
+    k = 9 on are below 2e-11 together.
+    """
+    width = F.col("bw") / 4
+    bin_ = F.floor((F.col("v") - F.col("x0")) / width)
+    centre = F.col("x0") + (F.col("bin") + 0.5) * width
+    off = (values.withColumn("bin", bin_).withColumn("centre", centre)
+           .withColumn("e", (F.col("v") - F.col("centre")) / F.col("bw")).drop("v").withColumnRenamed("centre", "v"))
+    return off.groupBy(*KEYS, "x0", "x1", "bw", "bin", "v").agg(
+        *[F.sum(F.pow("e", F.lit(float(k)))).alias(f"m{k}") for k in range(_ORDERS)])
+
+
+def _series_sums(points: int, rows: int = 1024):
+    """Kernel sums at all places from the power sums of bins: Hermite series around each bin's centre."""
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            for (machine, sensor, x0, x1, bw), own in frame.groupby([*KEYS, "x0", "x1", "bw"], sort=False):
+                x = x0 + np.arange(points) * ((x1 - x0) / (points - 1))
+                k, v = np.zeros(points), own["v"].to_numpy()
+                moments = own[[f"m{i}" for i in range(_ORDERS)]].to_numpy()
+                for i in range(0, len(v), rows):
+                    z = (x[None, :] - v[i:i + rows, None]) / bw
+                    before, here, factor = np.zeros_like(z), np.ones_like(z), 1.0
+                    total = moments[i:i + rows, 0, None] * here
+                    for order in range(1, _ORDERS):
+                        before, here = here, z * here - (order - 1) * before
+                        factor *= order
+                        total += moments[i:i + rows, order, None] / factor * here
+                    k += (total * np.exp(-0.5 * z * z)).sum(axis=0)
+                yield pd.DataFrame({"machine": machine, "sensor": sensor, "point": np.arange(points, dtype="int32"), "k": k})
+    return run
+
+
 def _kernel_sums(points: int, rows: int = 1024):
     """Weighted kernel sums at all places, per sensor of a batch; *rows* bounds the matrix in memory."""
     def run(frames):

@@ -201,3 +201,14 @@ def test_dense_bins_are_all_listed_once(rows):
     layout = rows("machine string, sensor string, n_bins bigint, low double, bin_width double", *[("m", f"s{n}", n, 0.0, 1.0) for n in (1, 2, 3, 4, 5, 16, 17, 1000)])
     got = found(distribution._listed_bins(layout), "n_bins", "bin")
     assert got == sorted((n, b) for n in (1, 2, 3, 4, 5, 16, 17, 1000) for b in range(n))
+
+
+@pytest.mark.parametrize("values", [np.random.default_rng(3).normal(1e4, 3, 700), np.r_[np.arange(40.0), 1e4], np.repeat([1.0, 2.0, 7.0], 5), [1.0, 2.0]])
+def test_density_from_moments_equals_values(rows, values):
+    data = series(rows, [float(v) for v in values]).unionByName(series(rows, [2.0, 2.0, None], "flat"))
+    whole = found(distribution.density(data), "sensor", "point", "x", "density")
+    binned = found(distribution.density(data, method="moments"), "sensor", "point", "x", "density")
+    assert [w[:3] for w in whole] == [b[:3] for b in binned] and len(whole) == 400
+    peak = max(w[3] or 0 for w in whole)
+    assert all((w[3] is None) == (b[3] is None) and (w[3] is None or abs(w[3] - b[3]) < 1e-9 * peak) for w, b in zip(whole, binned))
+    assert distribution.density(data.limit(0), method="moments").isEmpty()

@@ -105,6 +105,15 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+#: Additive decomposition with a period of 24 over the calendar grid, as CTEs t, p and c.
+DECOMPOSED = """t AS (SELECT machine, sensor, ts, idx % 24 AS phase, mean AS observed,
+    CASE WHEN count(*) OVER w = 25 THEN (sum(mean) OVER w - (lag(mean, 12) OVER o + lead(mean, 12) OVER o) / 2)
+    / 24 END AS trend FROM cal WINDOW o AS (PARTITION BY machine, sensor ORDER BY idx),
+    w AS (PARTITION BY machine, sensor ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
+    p AS (SELECT machine, sensor, phase, avg(observed - trend) AS d FROM t GROUP BY ALL),
+    c AS (SELECT machine, sensor, phase, d - avg(d) OVER (PARTITION BY machine, sensor) AS seasonal FROM p)"""
+
+
 def with_ctes(body: str, *names: str) -> str:
     """*body* under WITH, preceded by the named CTEs and everything they use."""
     order: list[str] = []
@@ -389,6 +398,23 @@ SQL: dict[str, str] = {
               {r6('sum(exp(-0.5 * pow((x - mean) / bw, 2))) / (pt.n * bw * sqrt(2 * pi()))')} AS density
             FROM pt JOIN grid g ON g.machine = pt.machine AND g.sensor = pt.sensor AND g.mean IS NOT NULL
             GROUP BY pt.machine, pt.sensor, point, pt.x, pt.n, bw""", "quart"),
+    "kde_from_moments": with_ctes(
+        f""", st AS (SELECT machine, sensor, n, x0, x1, s * pow(CAST(n AS DOUBLE), CAST(-0.2 AS DOUBLE)) AS bw,
+              unnest(generate_series(0, 199)) AS point FROM quart),
+            pt AS (SELECT *, x0 + point * ((x1 - x0) / 199) AS x FROM st)
+            SELECT pt.machine, pt.sensor, CAST(point AS INTEGER) AS point, {r6('x')} AS x,
+              {r6('sum(exp(-0.5 * pow((x - mean) / bw, 2))) / (pt.n * bw * sqrt(2 * pi()))')} AS density
+            FROM pt JOIN grid g ON g.machine = pt.machine AND g.sensor = pt.sensor AND g.mean IS NOT NULL
+            GROUP BY pt.machine, pt.sensor, point, pt.x, pt.n, bw""", "quart"),
+    "kde_of_raw_readings": with_ctes(
+        f""", st AS (SELECT machine, sensor, count(value) AS n, min(value) AS x0, max(value) AS x1,
+              stddev_samp(value) * pow(CAST(count(value) AS DOUBLE), CAST(-0.2 AS DOUBLE)) AS bw,
+              unnest(generate_series(0, 39)) AS point FROM ev GROUP BY machine, sensor),
+            pt AS (SELECT *, x0 + point * ((x1 - x0) / 39) AS x FROM st)
+            SELECT pt.machine, pt.sensor, CAST(point AS INTEGER) AS point, {r6('x')} AS x,
+              {r6('sum(exp(-0.5 * pow((x - value) / bw, 2))) / (pt.n * bw * sqrt(2 * pi()))')} AS density
+            FROM pt JOIN ev g ON g.machine = pt.machine AND g.sensor = pt.sensor AND g.value IS NOT NULL
+            GROUP BY pt.machine, pt.sensor, point, pt.x, pt.n, bw""", "ev"),
     "box_stats": with_ctes(
         f"""SELECT machine, sensor, {r6('q1')} AS q1, {r6('q2')} AS median, {r6('q3')} AS q3,
             {r6('min(mean) FILTER (mean >= lo)')} AS low_whisker, {r6('max(mean) FILTER (mean <= hi)')} AS high_whisker,
@@ -424,12 +450,7 @@ SQL: dict[str, str] = {
     "series_with_limits": with_ctes(
         _rolled("avg", "cal LEFT JOIN dict USING (sensor)", 24, ", low_limit, high_limit"), "cal", "dict"),
     "seasonal_decompose": with_ctes(
-        f""", t AS (SELECT machine, sensor, ts, idx % 24 AS phase, mean AS observed,
-              CASE WHEN count(*) OVER w = 25 THEN (sum(mean) OVER w - (lag(mean, 12) OVER o + lead(mean, 12) OVER o) / 2)
-                / 24 END AS trend FROM cal WINDOW o AS (PARTITION BY machine, sensor ORDER BY idx),
-              w AS (PARTITION BY machine, sensor ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
-            p AS (SELECT machine, sensor, phase, avg(observed - trend) AS d FROM t GROUP BY ALL),
-            c AS (SELECT machine, sensor, phase, d - avg(d) OVER (PARTITION BY machine, sensor) AS seasonal FROM p)
+        f""", {DECOMPOSED}
             SELECT t.machine, t.sensor, ts, 'ok' AS status, observed, {r6('trend')} AS trend,
               {r6('seasonal')} AS seasonal, {r6('observed - trend - seasonal')} AS resid
             FROM t JOIN c ON c.machine = t.machine AND c.sensor = t.sensor AND c.phase = t.phase""", "cal"),
@@ -441,15 +462,27 @@ SQL: dict[str, str] = {
             count(*) FILTER (mean < lo OR mean > hi) AS fliers,
             {r6('max(mean) FILTER (mean <= hi)')} AS high_whisker,
             count(*) FILTER (abs(mean - m) > s * 2) AS anomalies FROM fence GROUP BY machine, sensor""", "fence"),
+    "exploration_of_counts": with_ctes(
+        f""", {DECOMPOSED}
+            SELECT t.machine, t.sensor, count(*) AS cells, count(trend) AS with_trend, {r6('sum(trend)')} AS trend,
+              {r6('sum(seasonal * seasonal)')} AS seasonal_energy, {r6('sum(pow(observed - trend - seasonal, 2))')} AS resid_energy
+            FROM t JOIN c ON c.machine = t.machine AND c.sensor = t.sensor AND c.phase = t.phase GROUP BY t.machine, t.sensor""", "cal"),
     "exploration_parts": with_ctes(
-        f""", lay AS ({LAYOUT}), p(machine, sensor, part, n_rows, total) AS (
+        f""", lay AS ({LAYOUT}),
+          st AS (SELECT machine, sensor, n, x0, x1, s * pow(CAST(n AS DOUBLE), CAST(-0.2 AS DOUBLE)) AS bw,
+            unnest(generate_series(0, 199)) AS point FROM quart),
+          est AS (SELECT st.machine, st.sensor, point,
+              sum(exp(-0.5 * pow((x0 + point * ((x1 - x0) / 199) - mean) / bw, 2))) / (st.n * bw * sqrt(2 * pi())) AS density
+            FROM st JOIN grid g ON g.machine = st.machine AND g.sensor = st.sensor AND g.mean IS NOT NULL
+            GROUP BY st.machine, st.sensor, point, st.n, bw),
+          p(machine, sensor, part, n_rows, total) AS (
           SELECT machine, sensor, 'describe', 1, n FROM quart
           UNION ALL SELECT machine, sensor, 'zscore', 1, count(*) FILTER (abs(mean - m) > s * 3) FROM fence GROUP BY machine, sensor
           UNION ALL SELECT machine, sensor_a, 'correlation', count(*), sum(n_pairs) FROM pair GROUP BY machine, sensor_a
           UNION ALL SELECT machine, sensor, 'limits', count(*), sum(mean) FROM grid GROUP BY machine, sensor
           UNION ALL SELECT g.machine, g.sensor, 'histogram', count(DISTINCT greatest(0, least(nb - 1, floor((g.mean - low) / w)))), count(g.mean)
             FROM grid g JOIN lay USING (machine, sensor) WHERE g.mean IS NOT NULL GROUP BY g.machine, g.sensor
-          UNION ALL SELECT machine, sensor, 'density', 200, 199 * 100 FROM quart
+          UNION ALL SELECT machine, sensor, 'density', 200, sum(density) FROM est GROUP BY machine, sensor
           UNION ALL SELECT machine, sensor, 'box', 1, count(*) FILTER (mean < lo OR mean > hi) FROM fence GROUP BY machine, sensor
           UNION ALL SELECT machine, sensor, 'fliers', count(*), sum(mean) FROM fence WHERE mean < lo OR mean > hi GROUP BY machine, sensor
           UNION ALL SELECT machine, sensor, 'decomposition', count(*), NULL FROM grid GROUP BY machine, sensor

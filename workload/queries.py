@@ -449,6 +449,18 @@ def kde(spark, sf):
     return rounded(distribution.density(inputs.stored_event_series(spark, sf)), "x", "density")
 
 
+@query
+def kde_from_moments(spark, sf):
+    return rounded(distribution.density(inputs.stored_event_series(spark, sf), method="moments"), "x", "density")
+
+
+@query
+def kde_of_raw_readings(spark, sf):
+    """Density of the raw values themselves, at forty places."""
+    readings = inputs.event_readings(spark, sf)
+    return rounded(distribution.density(readings, "value", points=40, method="moments"), "x", "density")
+
+
 @query
 def box_stats(spark, sf):
     stats = distribution.box_stats(inputs.stored_event_series(spark, sf))
@@ -563,7 +575,7 @@ def exploration_parts(spark, sf):
     one, of = F.lit(1), {
         "describe": (page.describe, "n"), "zscore": (page.zscore, "outliers"),
         "correlation": (page.correlation.withColumnRenamed("sensor_a", "sensor"), "n_pairs"), "limits": (page.limits, "value"),
-        "histogram": (page.histogram, "count"), "density": (page.density, "point"), "box": (page.box, "fliers"),
+        "histogram": (page.histogram, "count"), "density": (page.density, "density"), "box": (page.box, "fliers"),
         "fliers": (page.fliers, "value"), "decomposition": (page.decomposition, "trend"), "anomalies": (page.anomalies, "value"),
     }
     parts = [part.groupBy("machine", "sensor").agg(F.count(one).alias("rows"), round6(F.sum(total).cast("double")).alias("total"))
@@ -574,6 +586,16 @@ def exploration_parts(spark, sf):
     return found
 
 
+@query
+def exploration_of_counts(spark, sf):
+    """Decomposition part of the exploration page of readings per hour, a series without holes."""
+    page = reports.explore(settle(inputs.event_counts(spark, sf), "counts"), inputs.event_dictionary(spark), config=EVENTS)
+    parts = page.decomposition.groupBy("machine", "sensor").agg(
+        F.count(F.lit(1)).alias("cells"), F.count("trend").alias("with_trend"), F.sum("trend").alias("trend"),
+        F.sum(F.col("seasonal") * F.col("seasonal")).alias("seasonal_energy"), F.sum(F.col("resid") * F.col("resid")).alias("resid_energy"))
+    return rounded(parts, "trend", "seasonal_energy", "resid_energy")
+
+
 @query
 def load_report(spark, sf):
     """Wide machine table -> annotated long data with frequency, as the loading page prepares it."""

@@ -6,9 +6,9 @@ from meterline.functions.expr import (
     seconds_between,
     violates_limits,
 )
-from meterline.functions.joins import salted_join
+from meterline.functions.joins import measure_hot, salted_join
 
 __all__ = [
-    "digits_only", "limit_columns", "no_nan", "plot_label",
+    "digits_only", "limit_columns", "measure_hot", "no_nan", "plot_label",
     "salted_join", "seconds_between", "violates_limits",
 ]

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions import salted_join, violates_limits
+from meterline.functions import measure_hot, salted_join, violates_limits
 from meterline.operators.dictionary import limits
 
 KEYS = ["machine", "sensor"]
 
 
-def accuracy(series: DataFrame, dictionary: DataFrame, value: str = "mean") -> DataFrame:
+def accuracy(series: DataFrame, dictionary: DataFrame, value: str = "mean", measured: bool = False) -> DataFrame:
     """(machine, sensor, n, issues, issue_pct, status) of every sensor in the dictionary.
 
     The share is over non-null values.  With a dictionary small enough to broadcast,
-    values fold to counts before anything is shuffled.
+    values fold to counts before anything is shuffled.  With *measured* a job finds the hot sensors first,
+    and only they are spread, by their share.
     """
     known = limits(dictionary).select("sensor", "low_limit", "high_limit")
     values = series.select("machine", F.lower("sensor").alias("sensor"), "ts", F.col(value).alias("x"))
+    hot = measure_hot(values, ["sensor"]) if measured else None
     assessed = (
-        salted_join(values, known, ["sensor"], "ts")
+        salted_join(values, known, ["sensor"], "ts", hot=hot)
         .groupBy(*KEYS)
         .agg(F.count("x").alias("n"), F.count_if(violates_limits("x")).alias("issues"))
     )

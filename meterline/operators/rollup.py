@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from meterline.functions import no_nan, salted_join, seconds_between, violates_limits
+from meterline.functions import measure_hot, no_nan, salted_join, seconds_between, violates_limits
 from meterline.operators.dictionary import limits
 from meterline.schema import duration_seconds
 
 KEYS = ("machine", "sensor")
 
 
-def with_validity(readings: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+def with_validity(readings: DataFrame, dictionary: DataFrame | None = None, measured: bool = False) -> DataFrame:
     """Clean readings plus ``is_invalid`` (outside the dictionary limits).
 
     The dictionary is one row per sensor: below its size threshold Catalyst broadcasts
-    it, above it the salt keeps a hot sensor's readings apart.
+    it, above it the salt keeps a hot sensor's readings apart: of every sensor, or with *measured*
+    (batch only, starts a job) of those that a sketch finds hot, by their share.
     """
     clean = readings.withColumn("sensor", F.lower("sensor")).withColumn("value", no_nan("value"))
     if dictionary is None:
         return clean.withColumn("is_invalid", F.lit(False))
     known = limits(dictionary).select("sensor", "low_limit", "high_limit")
-    return (salted_join(clean, known, ["sensor"], "ts", how="left")
+    hot = measure_hot(clean, ["sensor"]) if measured else None
+    return (salted_join(clean, known, ["sensor"], "ts", how="left", hot=hot)
             .withColumn("is_invalid", violates_limits("value"))
             .drop("low_limit", "high_limit"))
 
@@ -43,16 +45,16 @@ def rollup_measures(extremes: bool = False) -> list:
 
 
 def rollup(readings: DataFrame, dictionary: DataFrame | None = None, bucket: str = "1 hour",
-           extremes: bool = False) -> DataFrame:
+           extremes: bool = False, measured: bool = False) -> DataFrame:
     """(machine, sensor, bucket_start, n, sum_v, n_valid, n_invalid[, min_v, max_v]).
 
     The only operator that must read all raw rows.  Partial sums combine before
     the shuffle, and the shuffle key holds the bucket, so a hot sensor spreads
     over as many keys as it has buckets.  A reading without a timestamp has no
-    bucket: ``untimed`` counts those.
+    bucket: ``untimed`` counts those.  *measured* as for ``with_validity``.
     """
     return (
-        with_validity(readings, dictionary)
+        with_validity(readings, dictionary, measured)
         .groupBy(*KEYS, F.window("ts", bucket).alias("w"))
         .agg(*rollup_measures(extremes))
         .select(*KEYS, F.col("w.start").alias("bucket_start"), *[

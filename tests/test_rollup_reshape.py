@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from meterline.functions import joins, measure_hot, salted_join
 from meterline.operators import dictionary, invalid, reshape, rollup
 from meterline.schema import QualityConfig, duration_seconds
 from meterline.session import scratch_path
@@ -190,3 +191,24 @@ def test_folds_equal_one_rebuild_and_repeats_change_nothing(spark, rows, monkeyp
     assert "day" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
     with pytest.raises(ValueError):
         incremental.fold(loads[0], None, path, "../x")
+
+
+def test_measured_salts_spread_hot_keys_only(spark):
+    """Half the rows have one key: it alone is spread, by its share, and results stay those of a plain join."""
+    spread = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 10 = 1 THEN 'warm' WHEN id = 3 THEN NULL ELSE 's' || id END AS sensor", "id AS ts")
+    hot = measure_hot(spread, ["sensor"], parts=16)
+    by_hash = {r.h: r.sensor for r in spread.select("sensor", F.xxhash64("sensor").alias("h")).distinct().collect()}
+    assert {by_hash[h]: n for h, n in hot.items()} == {"hot": 8, "warm": 2}
+    limits = spread.where("sensor IS NOT NULL").select("sensor").distinct().withColumn("top", F.length("sensor"))
+    for how in ("inner", "left"):
+        got = salted_join(spread, limits.where("sensor <> 's7'"), ["sensor"], "ts", how=how, hot=hot)
+        plain = spread.join(limits.where("sensor <> 's7'"), ["sensor"], how)
+        assert sorted(got.select("ts", "sensor", "top").collect(), key=str) == sorted(plain.select("ts", "sensor", "top").collect(), key=str)
+    salted = spread.where("sensor = 'hot'").select(F.pmod(F.xxhash64("ts"), joins._salts_of(hot, ["sensor"])).alias("salt")).groupBy("salt").count()
+    assert max(r["count"] for r in salted.collect()) < 4000 / 16 * 1.3
+    copies = limits.withColumn("n", joins._salts_of(hot, ["sensor"])).agg(F.sum("n"), F.count("n")).first()
+    assert copies[0] == copies[1] + 7 + 1
+    assert measure_hot(spread.limit(0), ["sensor"]) == {} and measure_hot(limits, ["sensor"], parts=16) == {}
+    assert salted_join(spread, limits, ["sensor"], "ts", hot={}).count() == 3999
+    with pytest.raises(ValueError):
+        salted_join(spread.withColumn("sensor", F.col("ts").cast("int")), spread.select(F.col("ts").alias("sensor")), ["sensor"], "ts", hot={1: 2})

@@ -356,6 +356,13 @@ SQL: dict[str, str] = {
             'accuracy_issues' AS status FROM (SELECT machine, sensor, count(value) AS n,
               count(*) FILTER (value < low_limit OR value > high_limit) AS issues
             FROM pr JOIN plim USING (sensor) GROUP BY ALL) WHERE issues > 0""", "pr", "plim"),
+    "accuracy_measured": with_ctes(
+        f"""SELECT machine, sensor, n, issues, {r6('issues / CAST(n AS DOUBLE) * 100')} AS issue_pct,
+            'accuracy_issues' AS status FROM (SELECT machine, sensor, count(value) AS n,
+              count(*) FILTER (value < low_limit OR value > high_limit) AS issues
+            FROM pr JOIN plim USING (sensor) GROUP BY ALL) WHERE issues > 0""", "pr", "plim"),
+    "hourly_rollup_measured": with_ctes(
+        f"SELECT machine, sensor, bucket_start, n, {r6('sum_v')} AS sum_v, n_valid, n_invalid FROM r1", "r1"),
     "iqr_outliers": with_ctes(
         f"""SELECT machine, sensor, {r6('avg(CASE WHEN mean < lo OR mean > hi THEN 1.0::DOUBLE ELSE 0 END) * 100')}
             AS outlier_pct FROM fence GROUP BY ALL""", "fence"),

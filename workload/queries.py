@@ -388,6 +388,19 @@ def accuracy_issues(spark, sf):
     return rounded(result, "issue_pct")
 
 
+@query
+def accuracy_measured(spark, sf):
+    """Only sensors that a sketch finds hot are spread over tasks."""
+    found = accuracy.accuracy(inputs.part_readings(spark, sf), inputs.part_dictionary(spark, sf), "value", measured=True)
+    return rounded(found.where("issues > 0"), "issue_pct")
+
+
+@query
+def hourly_rollup_measured(spark, sf):
+    found = rollup.rollup(inputs.event_readings(spark, sf), inputs.event_dictionary(spark), EVENTS.bucket, measured=True)
+    return rounded(found, "sum_v")
+
+
 # -- outliers, distribution, correlation --------------------------------------
 
 @query

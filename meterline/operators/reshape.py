@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from meterline.functions import no_nan
 
@@ -87,6 +88,36 @@ def annotated_to_wide(annotated: DataFrame, sensors: list[str] | None = None) ->
     return pivoted.select(*columns)
 
 
+def numbered_sensors(annotated: DataFrame) -> DataFrame:
+    """(sensor, place): every sensor and its place among the columns of a wide export, from 0 by name."""
+    return annotated.select("sensor").distinct().withColumn("place", F.row_number().over(Window.orderBy("sensor")) - 1)
+
+
+def wide_header(numbered: DataFrame) -> DataFrame:
+    """One row: the CSV header of ``wide_lines``."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct("place", "sensor"))), lambda s: F.to_csv(
+        F.struct(s["sensor"], F.concat(s["sensor"], F.lit("_alarms")))))
+    return numbered.agg(F.array_join(F.concat(F.array(F.lit("machine"), F.lit("ts")), names), ",").alias("value"))
+
+
+def wide_lines(annotated: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(machine, ts, value): the CSV lines of ``annotated_to_wide`` for any number of sensors.
+
+    No pivot and no column per sensor: a tick keeps the cells it has, each with its place, and
+    places without a cell become runs of commas when the line is put together.
+    """
+    cells = annotated.join(numbered, "sensor").groupBy("machine", "ts").agg(
+        F.array_sort(F.collect_list(F.struct("place", F.to_csv(F.struct("mean", "alarms")).alias("text")))).alias("cells"))
+    width = numbered.agg(F.count(F.lit(1)).alias("width"))
+    before = lambda i: F.when(i > 0, F.get("cells", i - 1)["place"]).otherwise(F.lit(-1))
+    skipped = lambda gap: F.repeat(F.lit(","), gap.cast("int"))
+    body = F.array_join(F.transform("cells", lambda c, i: F.concat(
+        skipped(2 * (c["place"] - before(i) - 1) + 1), c["text"])), "")
+    last = F.get("cells", F.size("cells") - 1)["place"]
+    return cells.select("machine", "ts", F.concat(
+        F.to_csv(F.struct("machine", "ts")), body, skipped(2 * (width.select("width").scalar() - 1 - last))).alias("value"))
+
+
 def select_sensors(series: DataFrame, sensors: list[str]) -> DataFrame:
     """Only the chosen sensors.  Reaches a stored table's scan as a pushed filter; on readings still
     to be lower-cased (``as_readings``) it is applied right after the scan."""

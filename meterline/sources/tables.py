@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from meterline.functions import no_nan
 from meterline.operators.arrival import FILE, ROW
-from meterline.operators.reshape import annotated_to_wide
-from meterline.session import scratch_path
+from meterline.operators.reshape import annotated_to_wide, numbered_sensors, wide_header, wide_lines
+from meterline.session import scratch_path, settle
 
 
 @dataclass(frozen=True)
@@ -136,6 +136,28 @@ def write_annotated_csv(annotated: DataFrame, path: str, sensors: list[str] | No
     annotated_to_wide(annotated, sensors).write.mode(mode).option("header", True).csv(path)
 
 
+def write_wide_csv(annotated: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The annotated wide export for any number of sensors: the header in *path*/header, the lines in *path*/rows."""
+    numbered = settle(numbered_sensors(annotated), "places")
+    wide_header(numbered).write.mode(mode).text(f"{path}/header")
+    wide_lines(annotated, numbered).select("value").write.mode(mode).text(f"{path}/rows")
+
+
+def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(machine, sensor, ts, mean, alarms) of a ``write_wide_csv`` export: the cells that hold something, without a column per sensor.
+
+    Names and machines with a comma or a quote are not read back.
+    """
+    header = F.split(spark.read.text(f"{path}/header").select("value").scalar(), ",")
+    cells = F.split("value", ",", -1)
+    pairs = F.transform(F.sequence(F.lit(2), F.size("cells") - 2, F.lit(2)), lambda i: F.struct(
+        F.get("names", i).alias("sensor"), F.nullif(F.get("cells", i), F.lit("")).cast("double").alias("mean"),
+        F.nullif(F.get("cells", i + 1), F.lit("")).cast("bigint").alias("alarms")))
+    return (spark.read.text(f"{path}/rows").select(cells.alias("cells"), header.alias("names"))
+            .select(F.col("cells")[0].alias("machine"), F.col("cells")[1].cast("timestamp").alias("ts"), F.inline(pairs))
+            .where("mean IS NOT NULL OR alarms IS NOT NULL"))
+
+
 def csv_round_trip(annotated: DataFrame, sensors: list[str] | None = None) -> DataFrame:
     """The annotated export written to the shared folder and read back with its own schema."""
     wide = annotated_to_wide(annotated, sensors)

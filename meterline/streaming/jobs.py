@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from meterline.operators.rollup import rollup_measures, with_validity
 from meterline.schema import QualityConfig
@@ -274,6 +274,33 @@ def start_quality_watch(rolled: DataFrame, dictionary: DataFrame, config: Qualit
     return _start_watch(rolled, "update", report, table, path, checkpoint, available_now, run)
 
 
+class LateRows(StreamingQueryListener):
+    """Running totals of rows dropped by the watermark, one number a query however long it runs.
+
+    To be added before the query starts: ``spark.streams.addListener(late)``; ``late.total(query)`` then counts this run of
+    the query from its first batch on.  Progress arrives shortly after a batch ends.
+    """
+
+    def __init__(self):
+        self._totals: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        self._totals[str(event.runId)] = 0
+
+    def onQueryProgress(self, event):
+        run = str(event.progress.runId)
+        self._totals[run] = self._totals.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def total(self, query: StreamingQuery) -> int:
+        return self._totals.get(str(query.runId), 0)
+
+
 def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark dropped so far, from the query's progress."""
+    """Rows the watermark dropped in the batches that the query's progress still lists, the last hundred; ``LateRows`` counts all."""
     return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])

@@ -178,3 +178,26 @@ def test_every_query_has_an_oracle():
 def test_session_settings(spark):
     assert workdir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert build_session().sparkContext is spark.sparkContext
+
+
+def test_wide_lines_equal_the_pivot_and_hold_any_number_of_sensors(spark):
+    """Holes at every place, null means, quoted names; then twice as many sensors as a pivot takes."""
+    rows = [("m", s, at(h), None if (h + i) % 5 == 0 else h + i / 4, (h * i) % 3) for h in range(6) for i, s in enumerate(["a", "b", "c,d", "e", "f"])
+            if (h * 5 + i) % 4 or h == 0]
+    annotated = spark.createDataFrame(rows + [("k", "e", at(2), 1e300, 0)], "machine string, sensor string, ts timestamp_ntz, mean double, alarms bigint")
+    wide, lines = scratch_path(spark, "wide"), scratch_path(spark, "lines")
+    tables.write_annotated_csv(annotated.coalesce(1), wide)
+    tables.write_wide_csv(annotated, lines)
+    old = [r.value for r in spark.read.text(wide).collect()]
+    header = [r.value for r in spark.read.text(f"{lines}/header").collect()]
+    assert header[0].replace('"', "") in {line.replace('"', "") for line in old} and len(header) == 1
+    body = sorted(line.replace('""', "") for line in old if not line.startswith("machine,"))
+    assert sorted(r.value.replace('""', "") for r in spark.read.text(f"{lines}/rows").collect()) == body and len(body) == 7
+
+    many = spark.range(20_000).selectExpr("'m' AS machine", "'s' || id AS sensor", "timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id % 3 AS int)) AS ts",
+                                          "id / 8D AS mean", "id % 2 AS alarms")
+    tables.write_wide_csv(many, lines)
+    back = tables.read_wide_csv(spark, lines)
+    assert back.count() == 20_000 and back.agg({"mean": "sum"}).first()[0] == many.agg({"mean": "sum"}).first()[0]
+    assert back.where("sensor = 's777'").select("mean", "alarms").first() == (777 / 8, 1)
+    assert {line.value.count(",") for line in spark.read.text(f"{lines}/rows").collect()} == {40_001}

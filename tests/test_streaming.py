@@ -1,4 +1,5 @@
 import re
+import time
 from datetime import timedelta
 
 import pytest
@@ -50,6 +51,23 @@ def test_update_mode_equals_batch_and_survives_a_restart(spark, place):
     assert found(spark.read.parquet(f"{place}/compact"), *MEASURES) == found(got, *MEASURES)
 
 
+def test_late_rows_are_counted_by_a_listener(spark, place):
+    late = jobs.LateRows()
+    spark.streams.addListener(late)
+    try:
+        feed(spark, f"{place}/in", "a", ("m", "s", 0.1, 1.0), ("m", "s", 5.0, 2.0))
+        run(jobs.start_append, jobs.stream_rollup(stream(spark, f"{place}/in")), place)
+        feed(spark, f"{place}/in", "b", ("m", "s", 0.5, 9.0), ("m", "s", 4.5, 3.0))
+        second = run(jobs.start_append, jobs.stream_rollup(stream(spark, f"{place}/in")), place)
+        for _ in range(100):
+            if late.total(second):
+                break
+            time.sleep(0.1)
+        assert late.total(second) == jobs.dropped_late_rows(second) == 1
+    finally:
+        spark.streams.removeListener(late)
+
+
 def test_append_mode_emits_closed_buckets_and_counts_late_rows(spark, place):
     feed(spark, f"{place}/in", "a", ("m", "s", 0.1, 1.0), ("m", "s", 5.0, 2.0))
     first = jobs.stream_rollup(stream(spark, f"{place}/in"))

@@ -183,6 +183,7 @@ SQL: dict[str, str] = {
         "SELECT machine, ts, " + ", ".join(
             f"max(mean) FILTER (sensor = '{s}') AS {s}, max(n_invalid) FILTER (sensor = '{s}') AS {s}_alarms"
             for s in ("click", "error", "purchase", "signup", "view")) + " FROM grid GROUP BY machine, ts", "grid"),
+    "wide_export_lines": with_ctes("SELECT machine, sensor, ts, mean, n_invalid AS alarms FROM grid", "grid"),
     "combined_means_and_alarms": with_ctes(
         f""", daily AS (SELECT machine, sensor, date_trunc('day', bucket_start) AS ts, CAST(sum(n_invalid) AS BIGINT) AS alarms
               FROM r1 GROUP BY ALL)

@@ -144,6 +144,14 @@ def wide_export(spark, sf):
     return tables.csv_round_trip(rollup.annotate(grid))
 
 
+@query
+def wide_export_lines(spark, sf):
+    """Export without a pivot, for any number of sensors, written and read back."""
+    path = scratch_path(spark, "wide-lines")
+    tables.write_wide_csv(settle(rollup.annotate(inputs.event_grid(spark, sf, judged=True)), "annotated"), path)
+    return tables.read_wide_csv(spark, path)
+
+
 @query
 def combined_means_and_alarms(spark, sf):
     """Hourly means beside daily alarms, whole tables: most rows have one side only, midnights both."""

@@ -1,22 +1,22 @@
-"""Text probabilities from a log-frequency Bloom filter.
+"""Text probabilities from a log-frequency Bloom filter that is learned once, stored, and probed by texts.
 
 Counts of word pairs are quantised on a roughly logarithmic scale; a pair is put into the filter once
 for each step its count reaches, and a probe climbs the steps until one is missing.  The filter is cut
-into segments by ranges of the pair's hash, as many as the corpus needs, and every pair is kept.  A
-segment is filled and probed by the task that its pairs meet in; no task or driver holds the whole.
+into segments by ranges of the pair's hash, as many as the corpus needs, and every pair is kept.
+
+`learn` writes a model: rows of filter segments, and rows of words with their exact counts.  `score`
+sends the distinct words and pairs of any texts to the segments of their hashes and puts the answers
+together; it sees no count but those the model gives back.  No task or driver holds the whole filter.
 
 A token's probability mixes the pair's share of its context with the smoothed frequency of the word:
     weight * count(v, w) / count(v) + (1 - weight) * (count(w) + add) / (N + add * (V + 1)).
 Quantised counts never exceed the true ones, so the mixture sums to at most one, but for false hits.
-
-Texts are gathered into chunks.  A chunk sends each of its distinct words and pairs once, with their
-counts in its training texts, to the segment of their hash, and gets the counts over all training
-texts back: exact ones for words, quantised ones for pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ STEPS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 5
 BITS_PER_ENTRY, PROBES = 10, 4
 WEIGHT = 0.15
 ADD = 0.1
-#: Tokens in a chunk, unless a text has more, and tokens per segment.
-CHUNK, PER_SEGMENT = 500_000, 250_000
+#: Tokens in a chunk, unless a text has more, and tokens per segment: a chunk sends a row to every segment, so segments are large.
+CHUNK, PER_SEGMENT = 500_000, 2_000_000
 _LOW40 = np.uint64((1 << 40) - 1)
 _WORDS, _PAIRS = 0, 1
 
@@ -64,48 +64,46 @@ def segments_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(segments) >> np.uint64(24)).astype(np.int64)
 
 
-def _places(keys: np.ndarray, step: int, size: np.ndarray) -> list[np.ndarray]:
-    """Bit of each probe within a segment of *size* bits."""
+def _places(keys: np.ndarray, step: int, size: int) -> Iterator[np.ndarray]:
+    """Bits of the probes within a segment of *size* bits, one probe of every key after the other."""
     a = mix(keys ^ np.uint64(0x9E3779B97F4A7C15 * (2 * step + 1) % 2**64))
     b = (a >> np.uint64(32)) | np.uint64(1)
-    return [(a + np.uint64(i) * b) % size for i in range(PROBES)]
-
-
-class LogFrequencyFilter:
-    """Segments of bits, one after another; *starts* are their first bits, from the lowest kept step on."""
-
-    def __init__(self, starts: np.ndarray, data: np.ndarray, lowest: int):
-        self.starts, self.data, self.lowest = starts, data, lowest
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised count of each pair, 0 where the filter does not have it."""
-        out = np.zeros(len(keys), np.int64)
-        if len(self.starts) < 2 or not len(keys):
-            return out
-        segment = segments_of(keys, len(self.starts) - 1)
-        start, size = self.starts[segment].astype(np.uint64), (self.starts[segment + 1] - self.starts[segment]).astype(np.uint64)
-        left = np.flatnonzero(size)
-        low = keys & _LOW40
-        for step in range(self.lowest, len(STEPS)):
-            for place in range(PROBES):
-                bit = start[left] + _places(low[left], step, size[left])[place]
-                left = left[(self.data[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            if not len(left):
-                break
-            out[left] = STEPS[step]
-        return out
-
-
-def filled_segment(keys: np.ndarray, steps: np.ndarray, lowest: int) -> bytes:
-    """Bits of one segment: each key is entered for the steps from *lowest* to its own."""
-    entries = int(np.maximum(steps - lowest + 1, 0).sum())
-    size = -(-entries * BITS_PER_ENTRY // 8) * 8
-    bits = np.zeros(size, np.uint8)
-    for step in range(lowest, int(steps.max(initial=-1)) + 1):
-        own = keys[steps >= step]
-        for place in _places(own, step, np.full(len(own), size, np.uint64)):
-            bits[place.astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    return ((a + np.uint64(i) * b) % np.uint64(size) for i in range(PROBES))
+
+
+def filled_segment(keys: np.ndarray, counts: np.ndarray, bits: int = BITS_PER_ENTRY) -> bytes:
+    """A segment of the filter: each key, counted at least once, is entered for every step up to its count."""
+    steps = np.searchsorted(STEPS, counts, "right") - 1
+    size = -(-int((steps + 1).sum()) * bits // 8) * 8
+    out = np.zeros(size, np.uint8)
+    for step in range(int(steps.max(initial=-1)) + 1):
+        for place in _places(keys[steps >= step], step, size):
+            out[place.astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def probed_segment(data: bytes, keys: np.ndarray) -> np.ndarray:
+    """How many steps the segment shows for each key, 0 where it does not have it; never less than were entered."""
+    out = np.zeros(len(keys), np.uint8)
+    bits = np.frombuffer(data, np.uint8)
+    left = np.arange(len(keys) if len(bits) else 0)
+    for step in range(len(STEPS)):
+        if not len(left):
+            break
+        hit = np.ones(len(left), bool)
+        for place in _places(keys[left], step, len(bits) * 8):
+            hit &= (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        left = left[hit]
+        out[left] = step + 1
+    return out
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def _plain(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, "zstd", asbytes=True)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -123,7 +121,8 @@ def chunks(docs: DataFrame) -> DataFrame:
             words, token = np.unique(np.concatenate(every), return_inverse=True)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             count_, held_ = np.concatenate(count), pa.concat_arrays(held)
-            packed = pa.compress(token.astype("<u4").tobytes(), "zstd", asbytes=True)
+            # The first bytes of all places, then the second ones: high bytes are nearly all zero.
+            packed = _packed(token.astype("<u4").view(np.uint8).reshape(-1, 4).T)
             return record(chunk=[chunk], train_tokens=[int(count_[~held_.to_numpy(zero_copy_only=False)].sum())], ids=one(pa.concat_arrays(ids)),
                           held_out=one(held_), count=one(pa.array(count_)), words=pa.array([words.tobytes()], pa.binary()), token=pa.array([packed], pa.binary()))
 
@@ -146,7 +145,8 @@ def _unpacked(rows: pa.RecordBatch | pa.Table, i: int) -> tuple[pa.Array, np.nda
     ids, held, count = (rows.column(n)[i].values for n in ("ids", "held_out", "count"))
     count = count.to_numpy()
     words = np.frombuffer(rows.column("words")[i].as_py(), np.uint64)
-    token = np.frombuffer(pa.decompress(rows.column("token")[i].as_py(), 4 * int(count.sum()), "zstd", asbytes=True), "<u4").astype(np.int64)
+    planes = np.frombuffer(_plain(rows.column("token")[i].as_py(), 4 * int(count.sum())), np.uint8).reshape(4, -1)
+    token = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
     # Every text closes with the end, which therefore stands before the next.
     return ids, held.to_numpy(zero_copy_only=False), count, words, token, np.concatenate([np.searchsorted(words, [END]), token[:-1]])
 
@@ -162,79 +162,125 @@ def _eight(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def asked(chunks_: DataFrame, segments: int) -> DataFrame:
-    """(kind, segment, chunk, keys, counts): distinct words and pairs of each chunk, once each, with their counts in its training texts."""
+def _joined(kind: int, blobs: list[bytes]) -> np.ndarray:
+    data = b"".join(blobs)
+    return np.frombuffer(data, np.uint64) if kind == _WORDS else _eight(data)
+
+
+def keys_of(chunks_: DataFrame, segments: int, learning: bool) -> DataFrame:
+    """(kind, segment, chunk, n, keys, counts): the *n* distinct words or pairs of a chunk that belong to a segment.
+
+    When *learning*, those of its training texts with their counts there; else those of all its texts,
+    without counts.  A key is sent once a chunk, however often it occurs.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for i, chunk in enumerate(rows.column("chunk").to_pylist()):
                 _, held, count, words, token, before = _unpacked(rows, i)
-                train = np.repeat(~held, count)
-                keys, at = np.unique(pair_keys(words[before], words[token]), return_inverse=True)
-                for kind, own, place in ((_WORDS, words, token), (_PAIRS, keys, at)):
-                    times = np.bincount(place, train, len(own)).astype("<u4")
-                    low = _five(own) if kind == _PAIRS else own
+                if learning and held.all():
+                    continue
+                pairs, at = np.unique(pair_keys(words[before], words[token]), return_inverse=True)
+                for kind, own, place in ((_WORDS, words, token), (_PAIRS, pairs, at)):
+                    times = np.zeros(len(own), "<u4")
+                    if learning:
+                        times = np.bincount(place, np.repeat(~held, count), len(own)).astype("<u4")
+                        own, times = own[times > 0], times[times > 0]
                     segment = segments_of(own, segments)
+                    low = _five(own) if kind == _PAIRS else own
                     cut = np.flatnonzero(np.diff(segment, prepend=-1))
                     ranges = list(zip(cut.tolist(), [*cut[1:].tolist(), len(own)]))
                     yield record(kind=np.full(len(cut), kind, np.int32), segment=segment[cut], chunk=np.full(len(cut), chunk, np.int64),
+                                 n=np.array([b - a for a, b in ranges], np.int64),
                                  keys=pa.array([low[a:b].tobytes() for a, b in ranges], pa.binary()),
-                                 counts=pa.array([times[a:b].tobytes() for a, b in ranges], pa.binary()))
+                                 counts=pa.array([_packed(times[a:b]) if learning else None for a, b in ranges], pa.binary()))
 
-    return chunks_.mapInArrow(run, "kind int, segment long, chunk long, keys binary, counts binary")
+    return chunks_.mapInArrow(run, "kind int, segment long, chunk long, n long, keys binary, counts binary")
 
 
-def answered(asked_: DataFrame) -> DataFrame:
-    """(kind, segment, chunk, found, vocabulary): for the keys of each row of *asked_*, in order, the counts over all rows.
+def segment_rows(learning_keys: DataFrame, bits: int = BITS_PER_ENTRY) -> DataFrame:
+    """(kind, segment, n, keys, data): the model's rows from the keys and counts of all chunks.
 
-    Words get exact counts (eight bytes), pairs the steps that the filter's segment shows (a byte, 0 for none).
-    The words of a segment that were counted at all add up in vocabulary.
+    Of words the sorted hashes and exact counts are kept, of pairs the filter alone; n is the number of keys entered.
     """
     def run(rows: pa.Table) -> pa.Table:
         kind = rows.column("kind")[0].as_py()
-        blobs, counts = rows.column("keys").to_pylist(), rows.column("counts").to_pylist()
-        keys = np.frombuffer(b"".join(blobs), np.uint64) if kind == _WORDS else _eight(b"".join(blobs))
-        keys, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, np.frombuffer(b"".join(counts), "<u4"), len(keys)).astype(np.int64)
-        if kind == _PAIRS:
-            some = total > 0
-            data = filled_segment(keys[some], np.searchsorted(STEPS, total[some], "right") - 1, 0)
-            seen = LogFrequencyFilter(np.array([0, len(data) * 8]), np.frombuffer(data, np.uint8), 0)
-            found = np.searchsorted(STEPS, seen.counts(keys), "right").astype(np.uint8)[at]
-        else:
-            found = total.astype("<i8")[at]
-        cut = np.cumsum([0, *[len(c) // 4 for c in counts]]).tolist()
-        vocabulary = np.zeros(len(blobs), np.int64)
-        vocabulary[0] = int((total > 0).sum()) if kind == _WORDS else 0
-        return pa.table({"kind": rows.column("kind"), "segment": rows.column("segment"), "chunk": rows.column("chunk"),
-                         "found": pa.array([found[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), "vocabulary": vocabulary})
-
-    return asked_.groupBy("kind", "segment").applyInArrow(run, "kind int, segment long, chunk long, found binary, vocabulary long")
+        counts = [_plain(c, 4 * n) for c, n in zip(rows.column("counts").to_pylist(), rows.column("n").to_pylist())]
+        keys, at = np.unique(_joined(kind, rows.column("keys").to_pylist()), return_inverse=True)
+        total = np.bincount(at, np.frombuffer(b"".join(counts), "<u4"), len(keys)).astype("<i8")
+        words = kind == _WORDS
+        return pa.table({"kind": pa.array([kind], pa.int32()), "segment": [rows.column("segment")[0].as_py()], "n": [len(keys)],
+                         "keys": pa.array([keys.tobytes() if words else b""], pa.binary()),
+                         "data": pa.array([_packed(total) if words else filled_segment(keys, total, bits)], pa.binary())})
 
+    return learning_keys.groupBy("kind", "segment").applyInArrow(run, "kind int, segment long, n long, keys binary, data binary")
 
-def train_and_score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", folds: int = 10,
-                    hot_words: int | None = None, weight: float = WEIGHT) -> DataFrame:
-    """Learn from the rows outside the held-out fold, score all rows.
 
-    (id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of *docs*.  A
-    null text is empty and has the end as its only token.  A null id is never held out.  Without
-    training tokens every probability is the smoothed one of an unknown word.  *hot_words* is taken
-    for older callers and changes nothing: no word or context is treated by its frequency.
+@dataclass(frozen=True)
+class Model:
+    """A learned model: a stored table of segments and the few numbers that every probability takes."""
+
+    rows: DataFrame
+    segments: int
+    train_tokens: int
+    vocabulary: int
+    weight: float = WEIGHT
+
+
+def _learned(stored: DataFrame, weight: float, bits: int) -> Model:
+    """The model of the training texts of stored chunks."""
+    n = stored.agg(F.sum("train_tokens")).first()[0] or 0
+    segments = max(1, -(-n // PER_SEGMENT))
+    rows = settle(segment_rows(keys_of(stored, segments, True), bits), "segments")
+    return Model(rows, segments, n, rows.where(F.col("kind") == _WORDS).agg(F.sum("n")).first()[0] or 0, weight)
+
+
+def learn(docs: DataFrame, text: str = "text", weight: float = WEIGHT, bits: int = BITS_PER_ENTRY) -> Model:
+    """A model of all texts of *docs*, a null text as an empty one; *bits* of the filter for each step of a pair."""
+    named = docs.select(F.lit(0).cast("long").alias("id"), F.lit(False).alias("held_out"), F.col(text).alias("text"))
+    return _learned(settle(chunks(named), "chunks"), weight, bits)
+
+
+def answered(asked: DataFrame, model: Model) -> DataFrame:
+    """(kind, segment, chunk, n, found): what the model has for the keys of each row of *asked*, in order.
+
+    Words get exact counts (eight bytes), pairs the number of steps that the filter's segment shows (one byte).
     """
-    held = F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds == 0, F.lit(False))
-    named = docs.select(F.col(id_column).cast("long").alias("id"), held.alias("held_out"), F.col(text).alias("text"))
-    stored = settle(chunks(named), "chunks")
-    n, every = stored.agg(F.sum("train_tokens"), F.sum(F.aggregate("count", F.lit(0).cast("long"), lambda a, b: a + b))).first()
-    n = n or 0
-    answers = settle(answered(asked(stored, max(1, -(-(every or 0) // PER_SEGMENT)))), "answers")
-    bottom = n + ADD * ((answers.agg(F.sum("vocabulary")).first()[0] or 0) + 1)
-
-    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by([("kind", "ascending"), ("segment", "ascending")])
-        blobs = {kind: b"".join(b for k, b in zip(found.column("kind").to_pylist(), found.column("found").to_pylist()) if k == kind) for kind in (_WORDS, _PAIRS)}
+    def run(asked_: pa.Table, stored: pa.Table) -> pa.Table:
+        blobs, n = asked_.column("keys").to_pylist(), asked_.column("n").to_pylist()
+        found = np.zeros(sum(n), np.int64)
+        if asked_.num_rows and stored.num_rows:
+            kind, data = asked_.column("kind")[0].as_py(), stored.column("data")[0].as_py()
+            keys = _joined(kind, blobs)
+            if kind == _WORDS:
+                known = np.frombuffer(stored.column("keys")[0].as_py(), np.uint64)
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                found = np.where(known[at] == keys, np.frombuffer(_plain(data, 8 * len(known)), "<i8")[at], 0)
+            else:
+                found = probed_segment(data, keys)
+        cut = np.cumsum([0, *n]).tolist()
+        width = {_WORDS: "<i8", _PAIRS: "u1"}
+        kinds = asked_.column("kind").to_pylist()
+        return pa.table({"kind": asked_.column("kind"), "segment": asked_.column("segment"), "chunk": asked_.column("chunk"), "n": asked_.column("n"),
+                         "found": pa.array([_packed(found[a:b].astype(width[k])) for k, a, b in zip(kinds, cut, cut[1:])], pa.binary())})
+
+    return asked.select("kind", "segment", "chunk", "n", "keys").groupBy("kind", "segment").cogroup(
+        model.rows.select("kind", "segment", "keys", "data").groupBy("kind", "segment")).applyInArrow(
+        run, "kind int, segment long, chunk long, n long, found binary")
+
+
+def _scored(stored: DataFrame, model: Model, id_column: str) -> DataFrame:
+    n, weight = model.train_tokens, model.weight
+    bottom = n + ADD * (model.vocabulary + 1)
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by([("kind", "ascending"), ("segment", "ascending")])
+        blobs: dict[int, list[bytes]] = {_WORDS: [], _PAIRS: []}
+        for kind, size, found in zip(*(answers.column(c).to_pylist() for c in ("kind", "n", "found"))):
+            blobs[kind].append(_plain(found, size * (8 if kind == _WORDS else 1)))
         ids, held_out, count, words, token, before = _unpacked(chunk, 0)
-        c = np.frombuffer(blobs[_WORDS], "<i8")
+        c = np.frombuffer(b"".join(blobs[_WORDS]), "<i8")
         at = np.unique(pair_keys(words[before], words[token]), return_inverse=True)[1]
-        pair = np.concatenate([[0], STEPS])[np.frombuffer(blobs[_PAIRS], np.uint8)][at]
+        pair = np.concatenate([[0], STEPS])[np.frombuffer(b"".join(blobs[_PAIRS]), np.uint8)][at]
         context = c[before]
         # A pair cannot outnumber its context or its word: what is above that is a false hit of the filter.
         share = weight * np.minimum(np.minimum(pair, context), c[token]) / np.maximum(context, 1)
@@ -245,5 +291,31 @@ def train_and_score(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         return pa.table({id_column: ids, "held_out": held_out, "n_tokens": count, "n_known": known.astype(np.int64),
                          "train_tokens": np.full(len(count), n, np.int64), "base_score": base, "score": mixed})
 
-    return stored.groupBy("chunk").cogroup(answers.select("chunk", "kind", "segment", "found").groupBy("chunk")).applyInArrow(
+    answers = answered(keys_of(stored, model.segments, False), model)
+    return stored.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         run, f"`{id_column}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score), one row per row of *docs*, which the model need not have seen.
+
+    A null text is empty and has the end as its only token; a null id stays null.  A model without
+    training tokens gives every token the smoothed probability of an unknown word.
+    """
+    named = docs.select(F.col(id_column).cast("long").alias("id"), F.lit(True).alias("held_out"), F.col(text).alias("text"))
+    return _scored(settle(chunks(named), "chunks"), model, id_column).drop("held_out")
+
+
+def train_and_score(docs: DataFrame, id_column: str = "doc_id", text: str = "text", folds: int = 10,
+                    weight: float = WEIGHT, bits: int = BITS_PER_ENTRY) -> DataFrame:
+    """Learn from the rows outside the held-out fold, score all rows by the stored model.
+
+    (id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of *docs*.  A
+    null text is empty and has the end as its only token.  A null id is never held out.  Without
+    training tokens every probability is the smoothed one of an unknown word.  No word or context is
+    treated by its frequency.
+    """
+    held = F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds == 0, F.lit(False))
+    named = docs.select(F.col(id_column).cast("long").alias("id"), held.alias("held_out"), F.col(text).alias("text"))
+    stored = settle(chunks(named), "chunks")
+    return _scored(stored, _learned(stored, weight, bits), id_column)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from meterline.llm import components, dialogues, language_model, lattice, licences, minhash, neighbours, quality, substrings
@@ -179,49 +180,73 @@ def test_texts_without_repeats(spark):
     assert got == {1: ("ä1- é", "u"), 2: ("", "v"), 3: ("short", "w"), 4: (None, "x")}
 
 
-@pytest.mark.parametrize("hot_words", [1 << 20, 5])
-def test_language_model(spark, hot_words):
-    rng = random.Random(6)
-    vocabulary = ["the", "Of", "naïve", "x1", *[f"w{i}" for i in range(30)]]
-    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40)))) for i in range(120)] + [(500, None), (501, ""), (502, "only here"), (None, "the of")]
-    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, token string")
-    got = {r.doc_id: r for r in language_model.train_and_score(docs, hot_words=hot_words).collect()}
-    tokens = {k: [*WORD.findall(lowered(t)), None] for k, t in rows}
-    out = {k: k is not None and zlib.crc32(str(k).encode()) % 10 == 0 for k in tokens}
+def lm_oracle(learned, text, weight=0.15):
+    """(tokens, known, base, score) of a text by plain counting over the *learned* texts, pairs by the step they reach."""
     counts, pairs = Counter(), Counter()
-    for k, t in tokens.items():
-        if not out[k]:
-            counts.update(t)
-            pairs.update(zip([None, *t], t))
+    for other in learned:
+        t = [*WORD.findall(lowered(other)), None]
+        counts.update(t)
+        pairs.update(zip([None, *t], t))
     n, v = sum(counts.values()), len(counts)
-    for k, t in tokens.items():
-        r, base = got[k], sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[k], len(t), sum(counts[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(base, rel=1e-12) and r.score < 0
-        if hot_words > 5:
-            step = lambda c: max([s for s in language_model.STEPS.tolist() if s <= c], default=0)
-            share = [0.15 * step(pairs[p]) / max(1, counts[p[0]]) for p in zip([None, *t], t)]
-            least = sum(math.log10(s + 0.85 * (counts[w] + 0.1) / (n + 0.1 * (v + 1))) for s, w in zip(share, t))
-            # A false hit of the filter can only raise a probability.
-            assert least - 1e-9 <= r.score <= least + 0.1 * len(t)
+    t = [*WORD.findall(lowered(text)), None]
+    step = lambda c: max([s for s in language_model.STEPS.tolist() if s <= c], default=0)
+    share = [weight * step(pairs[p]) / max(1, counts[p[0]]) for p in zip([None, *t], t)]
+    frequency = [(counts[w] + 0.1) / (n + 0.1 * (v + 1)) for w in t]
+    return (len(t), sum(counts[w] > 0 for w in t), sum(map(math.log10, frequency)),
+            sum(math.log10(s + (1 - weight) * f) for s, f in zip(share, frequency)))
+
+
+def lm_rows():
+    rng = random.Random(6)
+    vocabulary = ["the", "Of", "naïve", "x1", *[f"w{i}" for i in range(30)]]
+    return [*[(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40)))) for i in range(120)],
+            (500, None), (501, ""), (502, "only here"), (503, "the of " * 3000), (None, "the of"), (7, "an id twice")]
+
+
+def is_held(k):
+    return k is not None and zlib.crc32(str(k).encode()) % 10 == 0
+
+
+# With 200 bits an entry one probe in six million is a false hit: scores are those of plain counting.
+@pytest.mark.parametrize("per_segment", [2_000_000, 500])
+def test_language_model_equals_plain_counting(spark, monkeypatch, per_segment):
+    monkeypatch.setattr(language_model, "PER_SEGMENT", per_segment)
+    rows = lm_rows()
+    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, token string, chunk int")
+    got = language_model.train_and_score(docs, bits=200).collect()
+    learned = [t for k, t in rows if not is_held(k)]
+    wanted = sorted((str(k), is_held(k), *lm_oracle(learned, t)) for k, t in rows)
+    found = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in got)
+    assert [f[:4] for f in found] == [w[:4] for w in wanted]
+    assert {r.train_tokens for r in got} == {sum(len(WORD.findall(lowered(t))) + 1 for t in learned)}
+    for f, w in zip(found, wanted):
+        assert f[4] == pytest.approx(w[4], rel=1e-12) and f[5] == pytest.approx(w[5], rel=1e-12)
     assert language_model.train_and_score(docs.limit(0)).count() == 0
 
 
+def test_language_model_scores_texts_it_has_not_seen(spark):
+    rows = lm_rows()
+    model = language_model.learn(spark.createDataFrame(rows, "doc_id long, text string"), bits=200)
+    # The stored rows are all that the model is: filter segments without keys, words with counts.
+    assert {r.kind: r.bytes for r in model.rows.groupBy("kind").agg({"keys": "max"}).selectExpr("kind", "length(`max(keys)`) AS bytes").collect()}[1] == 0
+    new = ["the of w1 w2", "never a word", "", None, "w1 " * 50]
+    got = {r.doc_id: r for r in language_model.score(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(new):
+        n, known, base, full = lm_oracle([x for _, x in rows], t)
+        assert (got[i].n_tokens, got[i].n_known) == (n, known)
+        assert got[i].base_score == pytest.approx(base, rel=1e-12) and got[i].score == pytest.approx(full, rel=1e-12)
+    empty = language_model.learn(spark.createDataFrame([], "doc_id long, text string"))
+    unknown = language_model.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), empty).first()
+    assert (empty.train_tokens, empty.vocabulary, unknown.n_known) == (0, 0, 0)
+    assert unknown.base_score == pytest.approx(0) and unknown.score == pytest.approx(3 * math.log10(0.85))
+
+
 def near_score(spark, rows, **options):
     """(score, expected score) of each row: pairs by their step, contexts and words by their counts."""
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    out = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in rows}
-    tokens = {k: [*t.split(), None] for k, t in rows.items()}
-    counts, pairs = Counter(), Counter()
-    for k, t in tokens.items():
-        if not out[k]:
-            counts.update(t)
-            pairs.update(zip([None, *t], t))
-    n, v = sum(counts.values()), len(counts)
+    learned = [t for k, t in rows.items() if not is_held(k)]
     for r in language_model.train_and_score(docs, **options).collect():
-        t = tokens[r.doc_id]
-        share = [0.15 * max([s for s in (1, *language_model.STEPS.tolist()) if s <= pairs[p]], default=0) / max(1, counts[p[0]]) for p in zip([None, *t], t)]
-        yield r.score, sum(math.log10(s + 0.85 * (counts[w] + 0.1) / (n + 0.1 * (v + 1))) for s, w in zip(share, t))
+        yield r.score, lm_oracle(learned, rows[r.doc_id])[3]
 
 
 def test_language_model_keeps_pairs_seen_once(spark):
@@ -232,33 +257,34 @@ def test_language_model_keeps_pairs_seen_once(spark):
 
 
 def test_language_model_counts_rare_contexts_exactly(spark):
-    """Each word is followed by the same one: a share of one, whatever the number of frequent words."""
+    """Each word is followed by the same one: a share of one, however rare it is."""
     rows = {i: " ".join(f"w{i % 20}x{j}" for j in range(40)) + " the of to and" * 30 for i in range(100)}
-    found = list(near_score(spark, rows, hot_words=5))
-    assert all(got >= least - 1e-9 for got, least in found)
-    assert sum(got <= least + 0.5 for got, least in found) >= 90
+    assert all(got == pytest.approx(least, rel=1e-12) for got, least in near_score(spark, rows, bits=200))
 
 
 def test_language_model_sends_a_hot_pair_once_a_chunk(spark):
     docs = spark.createDataFrame([(i, False, "again and " * 5000) for i in range(40)], "id long, held_out boolean, text string")
     chunks = language_model.chunks(docs).cache()
-    asked = language_model.asked(chunks, 8).cache()
     n = chunks.count()
-    # END, "again", "and" of eight bytes; the end and first word, the two ways round and the last word and end of five.
-    assert asked.selectExpr("sum(length(keys))").first()[0] == n * (3 * 8 + 4 * 5)
-    top = asked.where("kind = 1").selectExpr("segment", "counts").collect()
-    assert sum(int(np.frombuffer(r.counts, "<u4").sum()) for r in top) == 40 * 10001
+    for learning in (True, False):
+        sent = language_model.keys_of(chunks, 8, learning).cache()
+        # END, "again", "and" of eight bytes; the end and first word, the two ways round and the last word and end of five.
+        assert sent.selectExpr("sum(length(keys))").first()[0] == n * (3 * 8 + 4 * 5)
+        assert sent.where("counts IS NOT NULL").count() == (sent.count() if learning else 0)
+    learned = {r.kind: r for r in language_model.segment_rows(language_model.keys_of(chunks, 1, True)).collect()}
+    counts = np.frombuffer(pa.decompress(learned[0].data, 24, "zstd", asbytes=True), "<i8")
+    assert sorted(counts.tolist()) == [40, 200000, 200000] and (learned[0].n, learned[1].n) == (3, 4)
 
 
-def test_filter_is_bounded_and_keeps_the_frequent():
+def test_filter_never_understates_and_seldom_overstates():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))
-    steps = rng.integers(0, 6, len(keys))
-    data = language_model.filled_segment(keys, steps, 3)
-    seen = language_model.LogFrequencyFilter(np.array([0, len(data) * 8]), np.frombuffer(data, np.uint8), 3)
-    found = seen.counts(keys)
-    assert (found >= np.where(steps >= 3, language_model.STEPS[steps], 0)).all()
-    assert (seen.counts(rng.integers(0, 1 << 40, 5000, dtype=np.uint64)) > 0).mean() < 0.05
+    counts = language_model.STEPS[rng.integers(0, 6, len(keys))]
+    data = language_model.filled_segment(keys, counts)
+    found = np.concatenate([[0], language_model.STEPS])[language_model.probed_segment(data, keys)]
+    assert (found >= counts).all() and (found > counts).mean() < 0.05
+    assert (language_model.probed_segment(data, rng.integers(0, 1 << 40, 5000, dtype=np.uint64)) > 0).mean() < 0.05
+    assert language_model.filled_segment(keys[:0], counts[:0]) == b"" and not language_model.probed_segment(b"", keys).any()
 
 
 def clustered(rng, size=16):

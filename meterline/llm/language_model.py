@@ -38,7 +38,8 @@ WEIGHT = 0.15
 ADD = 0.1
 #: Tokens in a chunk, unless a text has more, and tokens per segment: a chunk sends a row to every segment, so segments are large.
 CHUNK, PER_SEGMENT = 500_000, 2_000_000
-_LOW40 = np.uint64((1 << 40) - 1)
+#: Pairs are told apart by the upper 48 bits of their hash.
+_SPARE = np.uint64(16)
 _WORDS, _PAIRS = 0, 1
 
 
@@ -56,7 +57,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_keys(before: np.ndarray, every: np.ndarray) -> np.ndarray:
-    return mix(mix(before * np.uint64(3)) + every)
+    return mix(mix(before * np.uint64(3)) + every) >> _SPARE << _SPARE
 
 
 def segments_of(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -106,10 +107,29 @@ def _plain(data: bytes, size: int) -> bytes:
     return pa.decompress(data, size, "zstd", asbytes=True)
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The first bytes of all values, then the second ones, and so on: high bytes of small numbers are nearly all zero."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _packed_sorted(keys: np.ndarray) -> bytes:
+    """Sorted keys by their steps, which are smaller the more keys there are."""
+    return _packed(_planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8")))
+
+
+def _plain_sorted(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_from_planes(_plain(data, 8 * n), "<u8"), dtype=np.uint64)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, train_tokens, ids, held_out, count, words, token): texts of *docs* (id, held_out, text), some in a row.
+    """(chunk, train_tokens, ids, held_out, count, words, n_words, token): texts of *docs* (id, held_out, text), some in a row.
 
-    words are the sorted hashes of the distinct tokens, token the place of every token among them, packed.
+    words are the sorted hashes of the distinct tokens, token the place of every token among them, both packed.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 40
@@ -121,10 +141,9 @@ def chunks(docs: DataFrame) -> DataFrame:
             words, token = np.unique(np.concatenate(every), return_inverse=True)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             count_, held_ = np.concatenate(count), pa.concat_arrays(held)
-            # The first bytes of all places, then the second ones: high bytes are nearly all zero.
-            packed = _packed(token.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            packed = _packed(_planes(token.astype("<u4")))
             return record(chunk=[chunk], train_tokens=[int(count_[~held_.to_numpy(zero_copy_only=False)].sum())], ids=one(pa.concat_arrays(ids)),
-                          held_out=one(held_), count=one(pa.array(count_)), words=pa.array([words.tobytes()], pa.binary()), token=pa.array([packed], pa.binary()))
+                          held_out=one(held_), count=one(pa.array(count_)), words=pa.array([_packed_sorted(words)], pa.binary()), n_words=[len(words)], token=pa.array([packed], pa.binary()))
 
         for part, texts in pieces(batches):
             every, _, count = tokens(texts)
@@ -137,34 +156,21 @@ def chunks(docs: DataFrame) -> DataFrame:
         if waiting:
             yield flush()
 
-    return docs.mapInArrow(run, "chunk long, train_tokens long, ids array<long>, held_out array<boolean>, count array<long>, words binary, token binary")
+    return docs.mapInArrow(run, "chunk long, train_tokens long, ids array<long>, held_out array<boolean>, count array<long>, words binary, n_words long, token binary")
 
 
 def _unpacked(rows: pa.RecordBatch | pa.Table, i: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, held out, tokens per text, distinct words, place of every token among them, place of the one before it)."""
     ids, held, count = (rows.column(n)[i].values for n in ("ids", "held_out", "count"))
     count = count.to_numpy()
-    words = np.frombuffer(rows.column("words")[i].as_py(), np.uint64)
-    planes = np.frombuffer(_plain(rows.column("token")[i].as_py(), 4 * int(count.sum())), np.uint8).reshape(4, -1)
-    token = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    words = _plain_sorted(rows.column("words")[i].as_py(), rows.column("n_words")[i].as_py())
+    token = _from_planes(_plain(rows.column("token")[i].as_py(), 4 * int(count.sum())), "<u4").astype(np.int64)
     # Every text closes with the end, which therefore stands before the next.
     return ids, held.to_numpy(zero_copy_only=False), count, words, token, np.concatenate([np.searchsorted(words, [END]), token[:-1]])
 
 
-def _five(keys: np.ndarray) -> np.ndarray:
-    return (keys & _LOW40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-
-
-def _eight(blob: bytes) -> np.ndarray:
-    five = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.view("<u8").ravel()
-
-
-def _joined(kind: int, blobs: list[bytes]) -> np.ndarray:
-    data = b"".join(blobs)
-    return np.frombuffer(data, np.uint64) if kind == _WORDS else _eight(data)
+def _joined(rows: pa.Table) -> np.ndarray:
+    return np.concatenate([_plain_sorted(k, n) for k, n in zip(rows.column("keys").to_pylist(), rows.column("n").to_pylist())])
 
 
 def keys_of(chunks_: DataFrame, segments: int, learning: bool) -> DataFrame:
@@ -186,12 +192,12 @@ def keys_of(chunks_: DataFrame, segments: int, learning: bool) -> DataFrame:
                         times = np.bincount(place, np.repeat(~held, count), len(own)).astype("<u4")
                         own, times = own[times > 0], times[times > 0]
                     segment = segments_of(own, segments)
-                    low = _five(own) if kind == _PAIRS else own
+                    low = own >> _SPARE if kind == _PAIRS else own
                     cut = np.flatnonzero(np.diff(segment, prepend=-1))
                     ranges = list(zip(cut.tolist(), [*cut[1:].tolist(), len(own)]))
                     yield record(kind=np.full(len(cut), kind, np.int32), segment=segment[cut], chunk=np.full(len(cut), chunk, np.int64),
                                  n=np.array([b - a for a, b in ranges], np.int64),
-                                 keys=pa.array([low[a:b].tobytes() for a, b in ranges], pa.binary()),
+                                 keys=pa.array([_packed_sorted(low[a:b]) for a, b in ranges], pa.binary()),
                                  counts=pa.array([_packed(times[a:b]) if learning else None for a, b in ranges], pa.binary()))
 
     return chunks_.mapInArrow(run, "kind int, segment long, chunk long, n long, keys binary, counts binary")
@@ -205,11 +211,11 @@ def segment_rows(learning_keys: DataFrame, bits: int = BITS_PER_ENTRY) -> DataFr
     def run(rows: pa.Table) -> pa.Table:
         kind = rows.column("kind")[0].as_py()
         counts = [_plain(c, 4 * n) for c, n in zip(rows.column("counts").to_pylist(), rows.column("n").to_pylist())]
-        keys, at = np.unique(_joined(kind, rows.column("keys").to_pylist()), return_inverse=True)
+        keys, at = np.unique(_joined(rows), return_inverse=True)
         total = np.bincount(at, np.frombuffer(b"".join(counts), "<u4"), len(keys)).astype("<i8")
         words = kind == _WORDS
         return pa.table({"kind": pa.array([kind], pa.int32()), "segment": [rows.column("segment")[0].as_py()], "n": [len(keys)],
-                         "keys": pa.array([keys.tobytes() if words else b""], pa.binary()),
+                         "keys": pa.array([_packed_sorted(keys) if words else b""], pa.binary()),
                          "data": pa.array([_packed(total) if words else filled_segment(keys, total, bits)], pa.binary())})
 
     return learning_keys.groupBy("kind", "segment").applyInArrow(run, "kind int, segment long, n long, keys binary, data binary")
@@ -246,13 +252,13 @@ def answered(asked: DataFrame, model: Model) -> DataFrame:
     Words get exact counts (eight bytes), pairs the number of steps that the filter's segment shows (one byte).
     """
     def run(asked_: pa.Table, stored: pa.Table) -> pa.Table:
-        blobs, n = asked_.column("keys").to_pylist(), asked_.column("n").to_pylist()
+        n = asked_.column("n").to_pylist()
         found = np.zeros(sum(n), np.int64)
         if asked_.num_rows and stored.num_rows:
             kind, data = asked_.column("kind")[0].as_py(), stored.column("data")[0].as_py()
-            keys = _joined(kind, blobs)
+            keys = _joined(asked_)
             if kind == _WORDS:
-                known = np.frombuffer(stored.column("keys")[0].as_py(), np.uint64)
+                known = _plain_sorted(stored.column("keys")[0].as_py(), stored.column("n")[0].as_py())
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 found = np.where(known[at] == keys, np.frombuffer(_plain(data, 8 * len(known)), "<i8")[at], 0)
             else:
@@ -264,7 +270,7 @@ def answered(asked: DataFrame, model: Model) -> DataFrame:
                          "found": pa.array([_packed(found[a:b].astype(width[k])) for k, a, b in zip(kinds, cut, cut[1:])], pa.binary())})
 
     return asked.select("kind", "segment", "chunk", "n", "keys").groupBy("kind", "segment").cogroup(
-        model.rows.select("kind", "segment", "keys", "data").groupBy("kind", "segment")).applyInArrow(
+        model.rows.select("kind", "segment", "n", "keys", "data").groupBy("kind", "segment")).applyInArrow(
         run, "kind int, segment long, chunk long, n long, found binary")
 
 

@@ -241,6 +241,16 @@ def test_language_model_scores_texts_it_has_not_seen(spark):
     assert unknown.base_score == pytest.approx(0) and unknown.score == pytest.approx(3 * math.log10(0.85))
 
 
+def test_sorted_keys_are_packed_without_loss():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (language_model._plain_sorted(language_model._packed_sorted(keys), len(keys)) == keys).all()
+    keys = np.array([0, 0, 1, 2**64 - 1], np.uint64)
+    assert (language_model._plain_sorted(language_model._packed_sorted(keys), 4) == keys).all()
+    assert 4 * 3000 > len(language_model._packed_sorted(np.sort(rng.integers(0, 1 << 34, 3000, dtype=np.uint64))))
+
+
 def near_score(spark, rows, **options):
     """(score, expected score) of each row: pairs by their step, contexts and words by their counts."""
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
@@ -268,8 +278,8 @@ def test_language_model_sends_a_hot_pair_once_a_chunk(spark):
     n = chunks.count()
     for learning in (True, False):
         sent = language_model.keys_of(chunks, 8, learning).cache()
-        # END, "again", "and" of eight bytes; the end and first word, the two ways round and the last word and end of five.
-        assert sent.selectExpr("sum(length(keys))").first()[0] == n * (3 * 8 + 4 * 5)
+        # END, "again", "and"; the end and first word, the two ways round, and the last word and end.
+        assert {r.kind: r.n for r in sent.groupBy("kind").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()} == {0: 3 * n, 1: 4 * n}
         assert sent.where("counts IS NOT NULL").count() == (sent.count() if learning else 0)
     learned = {r.kind: r for r in language_model.segment_rows(language_model.keys_of(chunks, 1, True)).collect()}
     counts = np.frombuffer(pa.decompress(learned[0].data, 24, "zstd", asbytes=True), "<i8")

@@ -394,6 +394,62 @@ def test_quality_learns_and_scores(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def plain_features(text):
+    """The features of a text, counted one byte and one word at a time."""
+    if not text:
+        return [0.0] * len(quality.FEATURES)
+    data, words, lines = text.encode(), text.split(), text.splitlines()
+    n, m = len(data), max(1, len(text.split()))
+    share = lambda keep: sum(1 for b in data if keep(chr(b))) / n
+    upper, lower = sum("A" <= chr(b) <= "Z" for b in data), sum("a" <= chr(b) <= "z" for b in data)
+    marks = sum(a == b and 32 < b < 65 and not 48 <= b <= 57 for a, b in zip(data, data[1:]))
+    return [math.log1p(n), upper / n, lower / n, share(lambda c: "0" <= c <= "9"), share(lambda c: c == " "), share(lambda c: c == "\n"),
+            share(lambda c: ord(c) > 127), share(lambda c: c == "!"), share(lambda c: c == "|"), share(lambda c: c in "#$%&*@~^=+<>\\_{}[]"),
+            share(lambda c: c == "."), share(lambda c: c == ","), marks / n, math.log1p(len(words)), sum(len(w) for w in words) / m,
+            len(set(words)) / m, len(set(lines)) / max(1, len(lines)), sum(len(w) < 4 for w in words) / m,
+            len(words) / max(1, len(lines)), upper / max(1, upper + lower)]
+
+
+def plain_score(model, text):
+    """The logistic of the base, a value of each feature's table and one of each pair's grid, bins found one edge at a time."""
+    x = plain_features(text)
+    at = lambda edges, v: sum(1 for e in edges if e <= v)
+    total = model.base + sum(values[at(edges, v)] for edges, values, v in zip(model.edges, model.tables, x))
+    total += sum(grid[at(model.coarse[a], x[a]), at(model.coarse[b], x[b])] for (a, b), grid in model.pairs.items())
+    return 1 / (1 + math.exp(-total))
+
+
+def quality_rows():
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        words = ["".join(rng.choice("abcdefghijäß9") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 60))]
+        rows.append((i, rng.choice([" ", "\n", ", "]).join(words) + "." if i % 3 else "!! ## ".join(words).upper()))
+    return [*rows, (400, None), (401, ""), (402, " \n"), (403, "Ω| 1..2 " * 40_000), (404, "!!"), (None, rows[0][1]), (0, rows[0][1])]
+
+
+def test_quality_scores_equal_plain_addition(spark):
+    rows = quality_rows()
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, score int, id string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0)) for k, _ in rows[:300]], "doc_id long, quality int")
+    model = quality.learn(docs, labels)
+    assert len(model.pairs) == 6
+    got = sorted((str(r.doc_id), r.score) for r in quality.score(docs, model).collect())
+    wanted = sorted((str(k), plain_score(model, t)) for k, t in rows)
+    assert [g[0] for g in got] == [w[0] for w in wanted]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in wanted], abs=1e-12)
+
+
+def test_quality_learns_from_no_held_out_label(spark):
+    rows = [r for r in quality_rows() if r[0] is not None and r[0] < 300]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").dropDuplicates(["doc_id"])
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    models = [quality.learn(docs, spark.createDataFrame([(k, int(k % 3 != 0) ^ int(flip and held(k))) for k in range(300)], "doc_id long, quality int"))
+              for flip in (False, True)]
+    assert models[0].base == models[1].base and all((a == b).all() for a, b in zip(models[0].tables, models[1].tables))
+    assert all((models[0].pairs[k] == models[1].pairs[k]).all() for k in models[0].pairs)
+
+
 def test_interactions_are_learned():
     rng = np.random.default_rng(4)
     x = rng.random((4000, 3))

@@ -23,13 +23,16 @@ def measure_hot(rows: DataFrame, keys: list[str], parts: int | None = None) -> d
 
 
 def salted_join(rows: DataFrame, stats: DataFrame, keys: list[str], spread_by: str,
-                salts: int = 8, how: str = "inner", hot: dict[int, int] | None = None) -> DataFrame:
+                salts: int = 8, how: str = "inner", hot: dict[int, int] | None = None, from_files: bool = False) -> DataFrame:
     """Join many *rows* to one *stats* row per key without a hot partition.
 
     Rows of a key scatter over *salts* partitions by a hash of *spread_by*; the
     stats row is repeated once per salt.  With *hot* (``measure_hot`` of the rows) only the keys named there are
     spread, each by its share, and all other stats rows stay single.  When Catalyst finds the stats small
     enough it broadcasts them and the salt is only one more equality.
+
+    Catalyst takes stats read *from_files* for as small as their compressed columns, and repeated rows for one.
+    Joining them to the list of salts makes it count every copy, so that none but small stats are broadcast.
     """
     if hot is not None and not hot:
         return rows.join(stats, keys, how)
@@ -38,6 +41,9 @@ def salted_join(rows: DataFrame, stats: DataFrame, keys: list[str], spread_by: s
     count = F.lit(salts) if hot is None else _salts_of(hot, keys)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), count).cast("int"))
     salted_stats = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
+    if from_files and hot is None:
+        copies = rows.sparkSession.range(0, salts, 1, 1).select(F.col("id").cast("int").alias("_salt"))
+        salted_stats = salted_stats.join(F.broadcast(copies), "_salt")
     return salted_rows.join(salted_stats, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -14,7 +14,7 @@ KEYS = ["machine", "sensor"]
 def accuracy(series: DataFrame, dictionary: DataFrame, value: str = "mean", measured: bool = False) -> DataFrame:
     """(machine, sensor, n, issues, issue_pct, status) of every sensor in the dictionary.
 
-    The share is over non-null values.  With a dictionary small enough to broadcast,
+    The share is over non-null values.  With a dictionary whose copies are small enough to broadcast,
     values fold to counts before anything is shuffled.  With *measured* a job finds the hot sensors first,
     and only they are spread, by their share.
     """
@@ -22,7 +22,7 @@ def accuracy(series: DataFrame, dictionary: DataFrame, value: str = "mean", meas
     values = series.select("machine", F.lower("sensor").alias("sensor"), "ts", F.col(value).alias("x"))
     hot = measure_hot(values, ["sensor"]) if measured else None
     assessed = (
-        salted_join(values, known, ["sensor"], "ts", hot=hot)
+        salted_join(values, known, ["sensor"], "ts", hot=hot, from_files=True)
         .groupBy(*KEYS)
         .agg(F.count("x").alias("n"), F.count_if(violates_limits("x")).alias("issues"))
     )

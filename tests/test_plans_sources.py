@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +172,27 @@ def test_salted_join_equals_plain_join_with_a_hot_key(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_copies_of_a_dictionary_from_files_count_for_its_broadcast(spark):
+    """3,000 sensors in a few compressed KB are 24,000 rows in the join."""
+    path = scratch_path(spark, "dictionary")
+    spark.range(3000).coalesce(1).selectExpr(
+        "concat('S', id) AS tag", "'d' AS tag_description", "'g' AS machine_group", "'1' AS low_threshold", "'2' AS high_threshold",
+        "'Up/Down' AS threshold_type", "'avg' AS aggregation_rule").write.parquet(path)
+    known = spark.read.parquet(path)
+    data = spark.range(20_000).selectExpr("'m' AS machine", "concat('s', id % 4000) AS sensor", "id AS ts", "CAST(id % 4 AS DOUBLE) AS mean")
+    stored = sum(f.stat().st_size for f in Path(path.removeprefix("file:")).glob("*.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(stored))
+    try:
+        assessed = accuracy.accuracy(data, known)
+        assert "SortMergeJoin" in plan(assessed)
+        assert "SortMergeJoin" not in plan(accuracy.accuracy(data, known.limit(2))) and "SortMergeJoin" not in plan(accuracy.accuracy(data, inputs.event_dictionary(spark)))
+        assert assessed.agg(F.count("n"), F.sum("n"), F.sum("issues")).first() == (3000, 15_000, 7500)
+        # A sensor's five readings are all i % 4, since 4,000 is a multiple of 4.
+        assert assessed.where("issues > 0").agg(F.min("issues"), F.max("issues"), F.count("issues")).first() == (5, 5, 1500)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(SQL)
 
